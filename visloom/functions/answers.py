@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from visloom.functions.bind import bind
+
 # The patterns of answers, numbers, named arguments and action calls.
 ANSWER = r"(?i)\b(true|false)\b"
 NUMBER = r"-?[0-9.]+(?:[eE][+-]?[0-9]+)?"
@@ -33,11 +35,14 @@ def action_args(call: Column) -> Column:
             F.regexp_extract(p, pattern, 2).try_cast("double").alias("v"),
         ),
     )
-    kept = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]),
-    )
-    return F.map_from_entries(kept)
+
+    def last_of_each(found: Column) -> Column:
+        return F.filter(
+            found,
+            lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["k"] == e["k"]),
+        )
+
+    return F.map_from_entries(bind(entries, last_of_each))
 
 
 def action_number(call: Column, name: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from visloom.functions.bind import bind
 from visloom.functions.text import hashed_token_id, tokens
 from visloom.schemas import CONTENT, IMAGE, MESSAGE
 
@@ -93,14 +94,19 @@ def token_ids(rendered: Column) -> Column:
 
 def response_labels(ids: Column, prompt_length: Column) -> Column:
     """The ids with every prompt position replaced by the ignore marker."""
-    return F.transform(ids, lambda x, i: F.when(i < prompt_length, F.lit(IGNORE)).otherwise(x))
+    return bind(
+        prompt_length, lambda p: F.transform(ids, lambda x, i: F.when(i < p, F.lit(IGNORE)).otherwise(x))
+    )
 
 
-def scoring_labels(ids: Column, prompt_length: Column, pad_id: int = 0) -> Column:
+def scoring_labels(ids: Column, prompt_length: Column, pad_id: int | Column = 0) -> Column:
     """Labels for scoring: prompt, padding and the very first position are ignored."""
-    return F.transform(
-        ids,
-        lambda x, i: F.when((i < prompt_length) | (i == 0) | (x == pad_id), F.lit(IGNORE)).otherwise(x),
+    ignored = F.struct(prompt_length.alias("prompt"), (F.lit(pad_id) if isinstance(pad_id, int) else pad_id).alias("pad"))
+    return bind(
+        ignored,
+        lambda g: F.transform(
+            ids, lambda x, i: F.when((i < g["prompt"]) | (i == 0) | (x == g["pad"]), F.lit(IGNORE)).otherwise(x)
+        ),
     )
 
 

@@ -7,18 +7,22 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from visloom.functions.bind import bind
+
 LN2 = math.log(2.0)
 
 
 def log_normalizer(logits: Column) -> Column:
     """log(sum(exp(z))), shifted by the maximum so that exp never overflows."""
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, z: acc + F.exp(z - top)))
+
+    def shifted(z: Column, top: Column) -> Column:
+        return top + F.log(F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+
+    return bind(logits, lambda z: bind(F.array_max(z), lambda top: shifted(z, top)))
 
 
 def log_softmax(logits: Column) -> Column:
-    norm = log_normalizer(logits)
-    return F.transform(logits, lambda z: z - norm)
+    return bind(log_normalizer(logits), lambda norm: F.transform(logits, lambda z: z - norm))
 
 
 def target_logprob(logits: Column, target: Column) -> Column:

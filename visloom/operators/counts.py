@@ -10,16 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visloom.functions.bind import bind
 from visloom.operators.joins import spread_join
 
 
 def adjacent_pairs(tokens: Column, start: Column) -> Column:
     """array(pos, prev, token) for every position from ``start`` on."""
-    with_prev = F.transform(
-        tokens,
-        lambda t, i: F.struct(i.alias("pos"), F.get(tokens, i - 1).alias("prev"), t.alias("token")),
-    )
-    return F.slice(with_prev, F.greatest(start, F.lit(1)) + 1, F.size(tokens))
+
+    def paired(all_tokens: Column) -> Column:
+        return F.transform(
+            all_tokens,
+            lambda t, i: F.struct(i.alias("pos"), F.get(all_tokens, i - 1).alias("prev"), t.alias("token")),
+        )
+
+    return F.slice(bind(tokens, paired), F.greatest(start, F.lit(1)) + 1, F.size(tokens))
 
 
 def explode_pairs(df: DataFrame, *keys: str, tokens: str = "tokens", start: Column | int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visloom.functions import text as tx
+from visloom.functions.bind import bind
 from visloom.functions.images import image_info
 
 
@@ -19,13 +20,14 @@ def pair_images(image: str = "image", first: str = "image0", second: str = "imag
 
 def place_order(images: Column, seed: int, uid: Column) -> Column:
     """The original places 0..n-1 in an order drawn from (seed, uid)."""
-    ranked = F.array_sort(
-        F.transform(
-            images,
-            lambda _, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), uid, i)).alias("h"), i.alias("i")),
+
+
+    def keyed(u: Column) -> Column:
+        return F.transform(
+            images, lambda _, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), u, i)).alias("h"), i.alias("i"))
         )
-    )
-    return F.transform(ranked, lambda r: r["i"])
+
+    return F.transform(F.array_sort(bind(uid, keyed)), lambda r: r["i"])
 
 
 def reject_reason() -> Column:

@@ -42,9 +42,9 @@ def cache_extend(cache: DataFrame, new: DataFrame | Sequence[str]) -> DataFrame:
     if not isinstance(new, DataFrame):
         new = listed(cache.sparkSession, "uid", new)
     arrivals = new.groupBy("uid").agg(F.min("pos").alias("__pos"))
-    unseen = rerank(arrivals.join(cache.select("uid"), "uid", "left_anti"), "__pos", "__rank")
+    unseen = rerank(arrivals.join(cache.select("uid"), "uid", "left_anti"), "__pos", "__order")
     size = cache.agg(F.coalesce(F.max("position") + 1, F.lit(0))).scalar()
-    added = unseen.select((size + F.col("__rank")).cast("bigint").alias("position"), "uid")
+    added = unseen.select((size + F.col("__order")).cast("bigint").alias("position"), "uid")
     return cache.select(F.col("position").cast("bigint"), "uid").unionByName(added)
 
 
@@ -98,6 +98,5 @@ def cache_cycle(cache: DataFrame, steps: int | Column, start: str | None = None)
     steps = F.lit(steps) if isinstance(steps, int) else steps
     first = F.pmod(F.col("position") - begin, size)
     met = cache.withColumn("__size", size).withColumn("__first", first).withColumn("__steps", steps)
-    return met.where(F.col("__first") < F.col("__steps")).select(
-        F.explode(F.expr("sequence(__first, __steps - 1, __size)")).cast("bigint").alias("step"), "uid"
-    )
+    visits = F.sequence(F.col("__first"), F.col("__steps") - 1, F.col("__size"))
+    return met.where(F.col("__first") < F.col("__steps")).select(F.explode(visits).alias("step"), "uid")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits skewed join sides and coalesces small shuffle partitions at run time.
 DEFAULTS = {
@@ -48,6 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write a table several later steps read, and read it back.
+
+    The steps then scan only the columns they need and do not repeat the work before
+    it; lost executors cost nothing, since the files are in the shared folder.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing there is reused or overwritten."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
