@@ -77,15 +77,14 @@ def render(messages: Column) -> Column:
     return F.flatten(F.transform(messages, _turn_tokens))
 
 
-def response_start(messages: Column, rendered: Column) -> Column:
-    """Length of everything before the answer, the assistant opening included.
-
-    The prefix is the rendering without the last turn plus that opening token, so
-    its length follows from the last turn's own length and nothing is rendered twice.
-    """
-    last = _turn_tokens(F.element_at(messages, -1))
-    start = F.size(rendered) - F.size(last) + 1
-    return F.when(F.size(messages) > 1, F.least(start, F.size(rendered))).otherwise(0)
+def render_prompt(messages: Column) -> Column:
+    """Tokens before the last turn."""
+    return render(F.slice(messages, 1, F.size(messages) - 1))
+
+
+def render_last(messages: Column) -> Column:
+    """Tokens of the last turn, its opening included."""
+    return _turn_tokens(F.element_at(messages, -1))
 
 
 def token_ids(rendered: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace class, the token separator and the default prompt.
-WHITESPACE = r"[\s\x{0B}\p{Z}\x{1C}-\x{1F}\x{85}]"
+# All Unicode whitespace, as Python strips it.
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+# The token separator and the default prompt.
 TOKEN_SEPARATOR = r"[ \t\n\r\f\x{0B}]+"
 PAIR_PROMPT = (
     "You are given two images. Decide whether the statement is true.\n"
@@ -15,8 +16,8 @@ PAIR_PROMPT = (
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode whitespace at both ends (``trim`` only knows the space)."""
-    return F.regexp_replace(text, rf"^{WHITESPACE}+|{WHITESPACE}+\z", "")
+    """Remove Unicode whitespace at both ends; only the ends of the text are looked at."""
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def pair_prompt(statement: Column, template: str = PAIR_PROMPT) -> Column:

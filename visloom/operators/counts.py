@@ -32,28 +32,40 @@ def explode_pairs(df: DataFrame, *keys: str, tokens: str = "tokens", start: Colu
     return df.select(*keys, F.inline(adjacent_pairs(F.col(tokens), first)))
 
 
-def pair_counts(pairs: DataFrame) -> DataFrame:
-    """(prev, token, n): counts combine before the shuffle, so frequent pairs stay cheap."""
-    return pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
+def pair_table(pairs: DataFrame, trained: Column, asked: Column) -> DataFrame:
+    """(prev, token, n, asked): occurrences to learn from and occurrences to score.
+
+    One pass and one shuffle serve both sides; counts combine before the shuffle, so
+    frequent pairs stay cheap. Two data sets are scored against each other by
+    unioning their pairs with a flag column.
+    """
+    return pairs.groupBy("prev", "token").agg(
+        F.count_if(trained).alias("n"), F.count_if(asked).alias("asked")
+    )
 
 
-def pair_bits(counts: DataFrame, wanted: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Bits of each distinct (prev, token) in ``wanted`` under smoothed counts.
+def pair_counts(table: DataFrame) -> DataFrame:
+    return table.where(F.col("n") > 0).select("prev", "token", "n")
+
+
+def pair_bits(table: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """Bits of each distinct asked (prev, token) under smoothed counts, with its ``asked``.
 
     p = (n(prev, token) + α) / (n(prev) + α·V), V being the number of distinct trained
-    tokens plus one for everything unseen.
+    tokens plus one for everything unseen. ``table`` is read several times: write it
+    first (see :func:`visloom.session.materialized`).
     """
-    contexts = counts.groupBy("prev").agg(F.sum("n").alias("prev_n"))
-    vocabulary = counts.select("token").distinct().agg(F.count(F.lit(1)) + 1).scalar()
-    known = wanted.join(counts, ["prev", "token"], "left")
-    joined = spread_join(known, contexts, ["prev"], "left", spread=["token"])
-    p = (F.coalesce("n", F.lit(0)) + F.lit(alpha)) / (
-        F.coalesce("prev_n", F.lit(0)) + F.lit(alpha) * vocabulary
-    )
-    return joined.select("prev", "token", F.round(-F.log2(p), 6).alias("surprisal_bits"))
+    known = pair_counts(table)
+    contexts = known.groupBy("prev").agg(F.sum("n").alias("prev_n"))
+    vocabulary = known.select("token").distinct().agg(F.count(F.lit(1)) + 1).scalar()
+    wanted = table.where(F.col("asked") > 0)
+    joined = spread_join(wanted, contexts, ["prev"], "left", spread=["token"])
+    p = (F.col("n") + F.lit(alpha)) / (F.coalesce("prev_n", F.lit(0)) + F.lit(alpha) * vocabulary)
+    return joined.select("prev", "token", "asked", F.round(-F.log2(p), 6).alias("surprisal_bits"))
 
 
-def score_pairs(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Attach ``surprisal_bits`` to token rows; the few dominant pairs are salted."""
+def score_pairs(pairs: DataFrame, bits: DataFrame, table: DataFrame) -> DataFrame:
+    """Attach ``surprisal_bits`` to token rows; the dominant pairs, known by their counts, are salted."""
     spread = [c for c in pairs.columns if c not in ("prev", "token")]
-    return spread_join(pairs, bits, ["prev", "token"], "inner", spread=spread)
+    sizes = table.select("prev", "token", F.col("asked").alias("rows"))
+    return spread_join(pairs, bits.drop("asked"), ["prev", "token"], "inner", spread=spread, sizes=sizes)

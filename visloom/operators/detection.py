@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from visloom.functions.boxes import iou
 from visloom.operators.positions import random_positions
+from visloom.session import materialized
 
 GROUP = ["image_id", "label"]
 COORDS = ["x1", "y1", "x2", "y2"]
@@ -30,38 +31,43 @@ def _level(side: Column, ratio: float) -> Column:
     return F.floor(F.log(side) / math.log(ratio))
 
 
-def _cells(low: Column, high: Column, level: Column, ratio: float) -> Column:
-    size = F.pow(F.lit(ratio), level + 1)
-    return F.sequence(F.floor(low / size), F.floor(high / size))
+def _cell(edge: Column, level: Column, ratio: float) -> Column:
+    return F.floor(edge / F.pow(F.lit(ratio), level + 1))
 
 
 def _with_grid(truth: DataFrame, pred: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Give both sides grid keys such that every pair with IoU ≥ threshold shares exactly one.
 
-    IoU ≥ t bounds the side ratio by 1/t and the distance of the left (top) edges by
-    (1-t) times the longer side. A truth takes the cell of its top-left corner on the
-    grid of its own size level; a prediction takes all cells a partner could be in.
+    With IoU ≥ t the shorter of two sides is at least t times the longer one, and the
+    overlap along an axis is at least t times the longer one. A truth takes the cell of
+    its top-left corner on the grid of its own size level (cell = largest side of the
+    level); a prediction takes every cell in which the corner of a partner can lie.
     """
-    ratio = max(threshold**-4, 2.0)
+    t = threshold
+    ratio = max(t**-4, 2.0)
     # A little slack for rounding; extra cells cost time, never results.
     slack = 1e-6
     wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     real = (wide > 0) & (high > 0)
 
-    def own(start: str, side: Column) -> tuple[Column, Column]:
-        level = _level(side, ratio)
-        return level, F.floor(F.col(start) / F.pow(F.lit(ratio), level + 1))
-
-    lw, cx = own("x1", wide)
-    lh, cy = own("y1", high)
-    keyed_truth = truth.where(real).withColumns({"lw": lw, "lh": lh, "cx": cx, "cy": cy})
+    lw, lh = _level(wide, ratio), _level(high, ratio)
+    keyed_truth = truth.where(real).withColumns(
+        {"lw": lw, "lh": lh, "cx": _cell(F.col("x1"), lw, ratio), "cy": _cell(F.col("y1"), lh, ratio)}
+    )
 
     def levels(side: Column) -> Column:
-        return F.sequence(_level(side * threshold * (1 - slack), ratio), _level(side / threshold * (1 + slack), ratio))
+        return F.sequence(_level(side * t * (1 - slack), ratio), _level(side / t * (1 + slack), ratio))
 
     def cells(start: str, side: Column, level: str) -> Column:
-        reach = side * ((1 - threshold) / threshold + slack)
-        return _cells(F.col(start) - reach, F.col(start) + reach, F.col(level), ratio)
+        top = F.pow(F.lit(ratio), F.col(level) + 1)
+        longest, shortest = F.least(side / t, top), F.greatest(side * t, top / ratio)
+        before = longest - F.greatest(side, longest) * t
+        after = side - F.greatest(side, shortest) * t
+        low = F.col(start) - before - side * slack
+        up = F.col(start) + after + side * slack
+        # An empty reach still needs a well-formed range.
+        first = _cell(low, F.col(level), ratio)
+        return F.sequence(first, F.greatest(first, _cell(up, F.col(level), ratio)))
 
     keyed_pred = (
         pred.where(real)
@@ -126,11 +132,12 @@ def image_scores(
     """Per image: truths, predictions, matches, duplicates, wrong boxes and the reward.
 
     +1 for each match; a further prediction that overlaps a truth of its label is a
-    duplicate, any other is wrong. Copies are counted, never multiplied out.
+    duplicate, any other is wrong. Copies are counted, never multiplied out. The
+    overlapping pairs serve two aggregations and are written once.
     """
     truths = _distinct_boxes(true, "truth")
     preds = _distinct_boxes(pred, "pred")
-    pairs = _overlaps(truths, preds, threshold)
+    pairs = materialized(_overlaps(truths, preds, threshold), "box-pairs")
     touching = pairs.select("pred_id").distinct().withColumn("touches", F.lit(True))
     matched = _pick(pairs).groupBy("image_id").agg(F.count(F.lit(1)).alias("matched"))
     per_image = (

@@ -20,6 +20,7 @@ def spread_join(
     how: str = "inner",
     *,
     spread: Sequence[str] | None = None,
+    sizes: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -29,7 +30,8 @@ def spread_join(
     ``hot_rows`` rows or more) are found by a map-side combined count; any other key
     has fewer than ``hot_rows`` rows or less than 1/``HOT_KEYS`` of the table. Only
     hot keys are spread: their left rows by a hash of the ``spread`` columns, their
-    right row by one copy per salt. The key list is broadcast; its size is bounded by
+    right row by one copy per salt. ``sizes`` may hand in the rows per key
+    (keys, ``rows``) when they are known already. The key list is broadcast; its size is bounded by
     the limit. Null keys match nothing and are spread as well.
     """
     if how not in ("inner", "left"):
@@ -38,12 +40,11 @@ def spread_join(
     any_null = F.lit(False)
     for key in on:
         any_null = any_null | F.col(key).isNull()
+    if sizes is None:
+        sizes = left.where(~any_null).groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
     hot = F.broadcast(
-        left.where(~any_null)
-        .groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") >= hot_rows)
-        .orderBy(F.desc("__n"), *on)
+        sizes.where(F.col("rows") >= hot_rows)
+        .orderBy(F.desc("rows"), *on)
         .limit(HOT_KEYS)
         .select(*on, F.lit(True).alias("__hot"))
     )

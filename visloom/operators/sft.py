@@ -14,9 +14,19 @@ MAX_LENGTH = 2048
 
 
 def with_rendering(df: DataFrame, messages: str = "messages") -> DataFrame:
-    """Add ``tokens`` and ``response_start`` for a conversation column."""
-    rendered = df.withColumn("tokens", chat.render(F.col(messages)))
-    return rendered.withColumn("response_start", chat.response_start(F.col(messages), F.col("tokens")))
+    """Add ``tokens`` and ``response_start`` for a conversation column.
+
+    Everything before the answer counts as prompt, the opening of the last turn
+    included; a conversation of one turn has no prompt.
+    """
+    turns = F.col(messages)
+    parts = df.withColumn("__prompt", chat.render_prompt(turns)).withColumn("__last", chat.render_last(turns))
+    start = F.when(F.size(messages) > 1, F.size("__prompt") + 1).otherwise(0)
+    return (
+        parts.withColumn("tokens", F.concat("__prompt", "__last"))
+        .withColumn("response_start", F.least(start, F.size("tokens")))
+        .drop("__prompt", "__last")
+    )
 
 
 def sft_examples(df: DataFrame, max_length: int | None = MAX_LENGTH) -> DataFrame:

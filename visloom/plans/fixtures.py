@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visloom.functions import chat
-from visloom.functions.text import WHITESPACE, example_uid, fallback_uid, make_sample_id
+from visloom.functions.text import example_uid, fallback_uid, make_sample_id
 from visloom.operators.positions import rerank
 from visloom.operators.sft import with_rendering
 from visloom.schemas import IMAGE
@@ -27,8 +27,11 @@ def indexed(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame
     return scan_with_index(spark, f"{sf}/{name}.parquet", columns or None)
 
 
+SQL_SPACE = r"[\s\x{0B}\p{Z}\x{1C}-\x{1F}\x{85}]"
+
+
 def sql_strip(text: str) -> str:
-    return f"regexp_replace({text}, '^{WHITESPACE}+|{WHITESPACE}+\\z', '', 'g')"
+    return f"regexp_replace({text}, '^{SQL_SPACE}+|{SQL_SPACE}+\\z', '', 'g')"
 
 
 def sql_tokens(text: str) -> str:
@@ -132,12 +135,12 @@ def _exchanges(spark: SparkSession, sf: str) -> DataFrame:
     The three turns are sent to the place of the answer and meet in one aggregation on
     (conv_id, turn), so a conversation of any length is spread over tasks.
     """
-    turns = indexed(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    turns = table(spark, sf, "conversations")
     role = F.col("role")
     shift = F.when(role == "user", 1).when(role == "system", 2).otherwise(0)
 
-    def only(name: str, column: str = "text") -> Column:
-        return F.max(F.when(role == name, F.col(column)))
+    def only(name: str) -> Column:
+        return F.max(F.when(role == name, F.col("text")))
 
     return (
         turns.groupBy("conv_id", (F.col("turn") + shift).alias("turn"))
@@ -145,14 +148,12 @@ def _exchanges(spark: SparkSession, sf: str) -> DataFrame:
             only("system").alias("system"),
             only("user").alias("user"),
             only("assistant").alias("assistant"),
-            only("assistant", "index").alias("place"),
         )
-        .where(F.col("place").isNotNull())
+        .where(F.col("assistant").isNotNull())
     )
 
 
-def gui_raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations as raw GUI records with their place in the scan."""
+def _coordinates() -> list[Column]:
     conv = F.col("conv_id")
     config = (
         F.when(conv % 5 == 0, "webui350k")
@@ -161,6 +162,16 @@ def gui_raw(spark: SparkSession, sf: str) -> DataFrame:
         .when(conv % 5 == 3, "coat")
         .otherwise("aitw-l2")
     )
+    return [
+        F.when(conv % 5 < 2, "stage1").otherwise("stage2").alias("dataset"),
+        config.alias("config"),
+        F.when(conv % 4 == 0, "validation").otherwise("train").alias("split"),
+    ]
+
+
+def gui_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as raw GUI records."""
+    conv = F.col("conv_id")
     image = F.struct(
         F.concat(F.lit("shot/"), conv.cast("string"), F.lit(".png")).alias("path"),
         (1280 + (conv * 37) % 640).cast("int").alias("width"),
@@ -170,24 +181,24 @@ def gui_raw(spark: SparkSession, sf: str) -> DataFrame:
     return _exchanges(spark, sf).select(
         "conv_id",
         "turn",
-        "place",
         F.array(image).alias("images"),
         F.array(F.struct("system", "user", "assistant")).alias("texts"),
         F.when(conv % 3 != 0, F.concat(F.lit("web"), (conv % 7).cast("string"))).alias("source"),
-        F.when(conv % 5 < 2, "stage1").otherwise("stage2").alias("dataset"),
-        config.alias("config"),
-        F.when(conv % 4 == 0, "validation").otherwise("train").alias("split"),
+        *_coordinates(),
     )
 
 
 def gui(spark: SparkSession, sf: str) -> DataFrame:
-    """Normalised GUI records of both stages with coordinates, position and sample id."""
+    """Normalised GUI records of both stages with coordinates, position and sample id.
+
+    Positions are worked out on three narrow columns and joined on (conv_id, turn), the
+    keys the texts are already partitioned by, so the texts are shuffled only once.
+    """
     raw = gui_raw(spark, sf)
     first = F.get("texts", 0)
     records = raw.select(
         "conv_id",
         "turn",
-        "place",
         "dataset",
         "config",
         "split",
@@ -197,7 +208,10 @@ def gui(spark: SparkSession, sf: str) -> DataFrame:
         F.coalesce(first["user"], F.lit("")).alias("user"),
         F.coalesce(first["assistant"], F.lit("")).alias("assistant"),
     )
-    ranked = rerank(records, "place", "index", partition=("dataset", "config", "split"))
+    turns = indexed(spark, sf, "conversations", "conv_id", "turn", "role").where(F.col("role") == "assistant")
+    placed = turns.select("conv_id", "turn", F.col("index").alias("place"), *_coordinates())
+    places = rerank(placed, "place", partition=("dataset", "config", "split")).select("conv_id", "turn", "index")
+    ranked = records.join(places, ["conv_id", "turn"])
     sid = make_sample_id(F.col("dataset"), F.col("config"), F.col("split"), F.col("index"))
     return ranked.withColumn("sample_id", sid)
 

@@ -25,7 +25,7 @@ GUI, TOKENS = fx.GUI_CTES, fx.TOKEN_CTES
 def _load_written(spark, sf, stage: str, configs: list[str]) -> DataFrame:
     """Write the raw records partitioned by their coordinates and read configs back."""
     folder = scratch_path(spark, "gui")
-    raw = fx.gui_raw(spark, sf).drop("conv_id", "turn", "place")
+    raw = fx.gui_raw(spark, sf).drop("conv_id", "turn")
     raw.write.partitionBy("dataset", "config", "split").parquet(folder)
     loads = [
         source.load_gui(spark, folder, stage, config, split, keep=("config", "split"))

@@ -154,15 +154,17 @@ def token_table(spark, sf) -> DataFrame:
     return materialized(fx.gui_tokens(spark, sf).select(*needed, "response_start", "tokens"), "tokens")
 
 
-def _trained(tokens: DataFrame) -> DataFrame:
-    return counts.pair_counts(counts.explode_pairs(tokens.where(F.col("split") == "train")))
+def pair_table(tokens: DataFrame) -> DataFrame:
+    """Adjacent pairs: counts over the train split, and how often responses ask for each."""
+    pairs = counts.explode_pairs(tokens, "split", "response_start")
+    return counts.pair_table(pairs, F.col("split") == "train", F.col("pos") >= F.col("response_start"))
 
 
 def scored_tokens(tokens: DataFrame) -> DataFrame:
     """Response tokens of every record with their bits under counts of the train split."""
     rows = counts.explode_pairs(tokens, "sample_id", start=F.col("response_start"))
-    wanted = rows.select("prev", "token").distinct()
-    return counts.score_pairs(rows, counts.pair_bits(_trained(tokens), wanted))
+    table = materialized(pair_table(tokens), "pair-table")
+    return counts.score_pairs(rows, counts.pair_bits(table), table)
 
 
 def records(spark, sf) -> DataFrame:
@@ -174,7 +176,7 @@ def records(spark, sf) -> DataFrame:
 
 @query("ngram_counts", fx.with_ctes(*COUNT_CTES, select="SELECT prev, token, n FROM pair_counts"))
 def ngram_counts(spark, sf):
-    return _trained(fx.gui_tokens(spark, sf))
+    return counts.pair_counts(pair_table(fx.gui_tokens(spark, sf)))
 
 
 @query(
