@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from visloom.functions.bind import bind
 
 # The patterns of answers, numbers, named arguments and action calls.
-ANSWER = r"(?i)\b(true|false)\b"
+# Word edges are spelled out, as what \\b means for accented letters depends on the Java version.
+WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+ANSWER = rf"(?i){WORD_START}(true|false){WORD_END}"
 NUMBER = r"-?[0-9.]+(?:[eE][+-]?[0-9]+)?"
 ACTION = r"^\s*([a-z_]+)\((.*)\)\s*\z"
 
@@ -47,7 +49,7 @@ def action_args(call: Column) -> Column:
 
 def action_number(call: Column, name: str) -> Column:
     """One numeric argument; null when absent or malformed."""
-    value = F.regexp_extract(call, rf"\b{name}\s*=\s*({NUMBER})", 1)
+    value = F.regexp_extract(call, rf"{WORD_START}{name}\s*=\s*({NUMBER})", 1)
     return value.try_cast("double")
 
 

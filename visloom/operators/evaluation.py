@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visloom.functions.answers import true_false
+from visloom.functions.answers import WORD_END, WORD_START, true_false
 from visloom.functions.boxes import contains
 from visloom.operators.joins import MAX_LIST
 
@@ -99,7 +99,7 @@ def term_slices(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     terms = list(terms)
     if len(terms) > 1000:
         raise ValueError("at most 1000 terms")
-    hits = [F.when(F.col(text).rlike(rf"(?i)\b{t}\b"), F.lit(t)) for t in terms]
+    hits = [F.when(F.col(text).rlike(rf"(?i){WORD_START}{t}{WORD_END}"), F.lit(t)) for t in terms]
     return df.withColumn("term", F.explode(F.array_compact(F.array(*hits))))
 
 

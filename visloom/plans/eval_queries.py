@@ -86,11 +86,11 @@ SQL_TERMS = ", ".join(f"('{t}')" for t in TERMS)
 
 @query(
     "term_slice",
-    f"""SELECT 'documents' AS kind, doc_id AS id, term FROM documents CROSS JOIN (VALUES {SQL_TERMS}) AS t(term)
-WHERE regexp_matches(text, concat('(?i)(^|[^a-zA-Z0-9_])', term, '($|[^a-zA-Z0-9_])'))
+    rf"""SELECT 'documents' AS kind, doc_id AS id, term FROM documents CROSS JOIN (VALUES {SQL_TERMS}) AS t(term)
+WHERE regexp_matches(text, concat('(?i)(^|[^\p{L}\p{N}_])', term, '($|[^\p{L}\p{N}_])'))
 UNION ALL
 SELECT 'benchmark', item_id, term FROM benchmark CROSS JOIN (VALUES {SQL_TERMS}) AS t(term)
-WHERE regexp_matches(text, concat('(?i)(^|[^a-zA-Z0-9_])', term, '($|[^a-zA-Z0-9_])'))""",
+WHERE regexp_matches(text, concat('(?i)(^|[^\p{L}\p{N}_])', term, '($|[^\p{L}\p{N}_])'))""",
 )
 def term_slice(spark, sf):
     docs = fx.table(spark, sf, "documents").select(
