@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from visloom.functions.bind import bind
 
 # The patterns of answers, numbers, named arguments and action calls.
-# Word edges are spelled out, as what \\b means for accented letters depends on the Java version.
+# Word edges are spelled out, as what \b means for accented letters depends on the Java version.
 WORD_START, WORD_END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 ANSWER = rf"(?i){WORD_START}(true|false){WORD_END}"
 NUMBER = r"-?[0-9.]+(?:[eE][+-]?[0-9]+)?"

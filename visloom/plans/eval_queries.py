@@ -87,10 +87,10 @@ SQL_TERMS = ", ".join(f"('{t}')" for t in TERMS)
 @query(
     "term_slice",
     rf"""SELECT 'documents' AS kind, doc_id AS id, term FROM documents CROSS JOIN (VALUES {SQL_TERMS}) AS t(term)
-WHERE regexp_matches(text, concat('(?i)(^|[^\p{L}\p{N}_])', term, '($|[^\p{L}\p{N}_])'))
+WHERE regexp_matches(text, concat('(?i)(^|[^\pL\pN_])', term, '($|[^\pL\pN_])'))
 UNION ALL
 SELECT 'benchmark', item_id, term FROM benchmark CROSS JOIN (VALUES {SQL_TERMS}) AS t(term)
-WHERE regexp_matches(text, concat('(?i)(^|[^\p{L}\p{N}_])', term, '($|[^\p{L}\p{N}_])'))""",
+WHERE regexp_matches(text, concat('(?i)(^|[^\pL\pN_])', term, '($|[^\pL\pN_])'))""",
 )
 def term_slice(spark, sf):
     docs = fx.table(spark, sf, "documents").select(
