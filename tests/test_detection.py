@@ -52,8 +52,8 @@ def near(rng, box, box_id):
     return (box_id, box[1], box[2], x, y, x + w * rng.uniform(0.6, 1.6), y + h * rng.uniform(0.6, 1.6))
 
 
-@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.9, 1.0])
-def test_matches_equal_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold, dense_from", [(0.2, 10**6), (0.5, 10**6), (1.0, 10**6), (0.3, 5), (0.9, 5)])
+def test_matches_equal_brute_force(spark, threshold, dense_from):
     rng = random.Random(int(threshold * 10))
     true = random_boxes(rng, 150, 0)
     pred = [near(rng, rng.choice(true), 1000 + i) for i in range(250)]
@@ -62,12 +62,12 @@ def test_matches_equal_brute_force(spark, threshold):
     true.append((900, "hot", "a", 0.5, 0.5, 0.5, 0.7))
     pred.append((901, "hot", "a", 0.5, 0.5, 0.5, 0.7))
     p, t = spark.createDataFrame(pred, SCHEMA), spark.createDataFrame(true, SCHEMA)
-    got = detection.match_boxes(p, t, threshold).collect()
+    got = detection.match_boxes(p, t, threshold, dense_from).collect()
     assert {(r["truth_id"], r["pred_id"]) for r in got} == brute_matches(pred, true, threshold)
 
     touching = {q[0] for _, q, _ in brute_pairs(pred, true, threshold)}
     matched = brute_matches(pred, true, threshold)
-    scores = {r["image_id"]: r for r in detection.image_scores(p, t, threshold).collect()}
+    scores = {r["image_id"]: r for r in detection.image_scores(p, t, threshold, dense_from=dense_from).collect()}
     for image in ("hot", "img"):
         mine = [q for q in pred if q[1] == image]
         truths = {q[0] for q in true if q[1] == image}
@@ -150,7 +150,7 @@ def test_topk_and_its_bound(spark, monkeypatch):
     texts = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "text_id bigint, vector array<double>")
     got = evaluation.embedding_topk(images, texts, 3).orderBy("text_id", "rank").collect()
     assert [r["image_id"] for r in got] == [19, 18, 17, 0, 1, 2]
-    monkeypatch.setattr(evaluation, "MAX_LIST", 1)
+    monkeypatch.setattr(evaluation, "MAX_TEXTS", 1)
     with pytest.raises(Exception, match="too many text vectors"):
         evaluation.embedding_topk(images, texts, 3).collect()
 

@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visloom.functions.boxes import iou
-from visloom.operators.positions import random_positions
+from visloom.operators.positions import random_positions, rerank
 from visloom.session import materialized
 
 GROUP = ["image_id", "label"]
 COORDS = ["x1", "y1", "x2", "y2"]
+# Distinct boxes of one label in one image from which all-at-once search gets costly,
+# and the strict thresholds tried first in that case.
+DENSE_FROM = 20_000
+DENSE_STEPS = (0.999, 0.99, 0.9)
 
 
 def _distinct_boxes(boxes: DataFrame, name: str) -> DataFrame:
@@ -27,47 +31,47 @@ def _distinct_boxes(boxes: DataFrame, name: str) -> DataFrame:
     )
 
 
-def _level(side: Column, ratio: float) -> Column:
-    return F.floor(F.log(side) / math.log(ratio))
-
-
-def _cell(edge: Column, level: Column, ratio: float) -> Column:
-    return F.floor(edge / F.pow(F.lit(ratio), level + 1))
-
-
 def _with_grid(truth: DataFrame, pred: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Give both sides grid keys such that every pair with IoU ≥ threshold shares exactly one.
 
     With IoU ≥ t the shorter of two sides is at least t times the longer one, and the
     overlap along an axis is at least t times the longer one. A truth takes the cell of
-    its top-left corner on the grid of its own size level (cell = largest side of the
-    level); a prediction takes every cell in which the corner of a partner can lie.
+    its top-left corner on the grid of its own size level; a prediction takes every cell
+    in which the corner of a partner can lie. Cells are as wide as that reach for the
+    largest box of the level, so they shrink as the threshold rises.
     """
     t = threshold
     ratio = max(t**-4, 2.0)
+    share = min(1.0, max(2 * (1 - t), 1e-3))
     # A little slack for rounding; extra cells cost time, never results.
     slack = 1e-6
     wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     real = (wide > 0) & (high > 0)
 
-    lw, lh = _level(wide, ratio), _level(high, ratio)
+    def level(side: Column) -> Column:
+        return F.floor(F.log(side) / math.log(ratio))
+
+    def cell(edge: Column, at: Column) -> Column:
+        return F.floor(edge / (F.pow(F.lit(ratio), at + 1) * share))
+
+    lw, lh = level(wide), level(high)
     keyed_truth = truth.where(real).withColumns(
-        {"lw": lw, "lh": lh, "cx": _cell(F.col("x1"), lw, ratio), "cy": _cell(F.col("y1"), lh, ratio)}
+        {"lw": lw, "lh": lh, "cx": cell(F.col("x1"), lw), "cy": cell(F.col("y1"), lh)}
     )
 
     def levels(side: Column) -> Column:
-        return F.sequence(_level(side * t * (1 - slack), ratio), _level(side / t * (1 + slack), ratio))
+        return F.sequence(level(side * t * (1 - slack)), level(side / t * (1 + slack)))
 
-    def cells(start: str, side: Column, level: str) -> Column:
-        top = F.pow(F.lit(ratio), F.col(level) + 1)
+    def cells(start: str, side: Column, at: str) -> Column:
+        top = F.pow(F.lit(ratio), F.col(at) + 1)
         longest, shortest = F.least(side / t, top), F.greatest(side * t, top / ratio)
         before = longest - F.greatest(side, longest) * t
         after = side - F.greatest(side, shortest) * t
         low = F.col(start) - before - side * slack
         up = F.col(start) + after + side * slack
         # An empty reach still needs a well-formed range.
-        first = _cell(low, F.col(level), ratio)
-        return F.sequence(first, F.greatest(first, _cell(up, F.col(level), ratio)))
+        first = cell(low, F.col(at))
+        return F.sequence(first, F.greatest(first, cell(up, F.col(at))))
 
     keyed_pred = (
         pred.where(real)
@@ -89,36 +93,85 @@ def _overlaps(truth: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
 
     left = keyed_truth.select(*grid, "truth_id", packed("t"))
     right = keyed_pred.select(*grid, "pred_id", packed("p"))
-    overlap = F.round(iou(F.col("t"), F.col("p")), 6)
-    # Rounding is applied after the threshold so that it cannot lift a pair over it.
-    return (
-        left.join(right, grid)
-        .where(iou(F.col("t"), F.col("p")) >= threshold)
-        .select(*GROUP, "truth_id", "pred_id", overlap.alias("iou"))
+    overlap = iou(F.col("t"), F.col("p"))
+    # Rounding comes after the threshold so that it cannot lift a pair over it.
+    return left.join(right, grid).where(overlap >= threshold).select(
+        *GROUP, "truth_id", "pred_id", F.round(overlap, 6).alias("iou")
+    )
+
+
+def _best(pairs: DataFrame, of: str, other: str) -> DataFrame:
+    """For each ``of`` its pair with the largest IoU, then the smallest ``other``."""
+    top = F.max(F.struct("iou", (-F.col(other)).alias("neg"))).alias("best")
+    chosen = pairs.groupBy(*GROUP, of).agg(top)
+    return chosen.select(*GROUP, of, (-F.col("best.neg")).alias(other), "best.iou")
+
+
+def _is_dense(truth: DataFrame, pred: DataFrame, limit: int) -> bool:
+    """Whether some (image, label) group is large on both sides; one number comes back."""
+    sizes = (
+        truth.select(*GROUP, F.lit(1).alias("a"), F.lit(0).alias("b"))
+        .unionByName(pred.select(*GROUP, F.lit(0).alias("a"), F.lit(1).alias("b")))
+        .groupBy(*GROUP)
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
+    return not sizes.where(F.least("a", "b") > limit).isEmpty()
 
 
-def match_boxes(pred: DataFrame, true: DataFrame, threshold: float = 0.5) -> DataFrame:
+def _steps(threshold: float) -> list[float]:
+    return [s for s in DENSE_STEPS if s > threshold] + [threshold]
+
+
+def _stepwise(truth: DataFrame, pred: DataFrame, threshold: float, of: str, other: str) -> DataFrame:
+    """Best pair of each ``of``, found from strict to loose thresholds.
+
+    In a crowded image a box has a very close partner, which the fine grid of a strict
+    threshold finds among few candidates; such boxes leave before the coarser grids,
+    so a crowded group never meets all its pairs. A box with any pair at a step has its
+    best pair there, hence the outcome is that of one pass at the final threshold.
+    """
+    found = []
+    for step in _steps(threshold):
+        last = step == threshold
+        # Pairs that round to the same IoU must compete in the same step.
+        best = _best(_overlaps(truth, pred, step if last else step - 2e-6), of, other)
+        if not last:
+            best = materialized(best.where(F.col("iou") >= step), "box-step")
+            done = best.select(of)
+            if of == "truth_id":
+                truth = truth.join(done, of, "left_anti")
+            else:
+                pred = pred.join(done, of, "left_anti")
+        found.append(best)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def match_boxes(
+    pred: DataFrame, true: DataFrame, threshold: float = 0.5, dense_from: int = DENSE_FROM
+) -> DataFrame:
     """One-to-one matches (image_id, label, truth_id, pred_id, iou) of equal label.
 
     Every truth picks its best prediction (largest IoU, then smallest id); a prediction
     picked by several truths goes to the best of them. This greedy rule is repeatable
     but not an optimal assignment. Inputs hold box_id, image_id, label, x1, y1, x2, y2.
+    Groups of more than ``dense_from`` distinct boxes on both sides switch to the
+    stepwise search.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be in (0, 1]")
-    pairs = _overlaps(_distinct_boxes(true, "truth"), _distinct_boxes(pred, "pred"), threshold)
-    return _pick(pairs)
-
+    truths, preds = _prepared(pred, true, threshold)
+    if _is_dense(truths, preds, dense_from):
+        chosen = _stepwise(truths, preds, threshold, "truth_id", "pred_id")
+    else:
+        chosen = _best(_overlaps(truths, preds, threshold), "truth_id", "pred_id")
+    return _best(chosen, "pred_id", "truth_id")
 
-def _pick(pairs: DataFrame) -> DataFrame:
-    def best(other: str) -> Column:
-        return F.max(F.struct("iou", (-F.col(other)).alias("neg"))).alias("best")
 
-    chosen = pairs.groupBy(*GROUP, "truth_id").agg(best("pred_id"))
-    chosen = chosen.select(*GROUP, "truth_id", "best.iou", (-F.col("best.neg")).alias("pred_id"))
-    kept = chosen.groupBy(*GROUP, "pred_id").agg(best("truth_id"))
-    return kept.select(*GROUP, (-F.col("best.neg")).alias("truth_id"), "pred_id", "best.iou")
+def _prepared(pred: DataFrame, true: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    return _distinct_boxes(true, "truth"), _distinct_boxes(pred, "pred")
 
 
 def image_scores(
@@ -128,6 +181,7 @@ def image_scores(
     duplicate_penalty: float = 0.5,
     wrong_penalty: float = 0.5,
     call_cost: float = 0.0,
+    dense_from: int = DENSE_FROM,
 ) -> DataFrame:
     """Per image: truths, predictions, matches, duplicates, wrong boxes and the reward.
 
@@ -135,11 +189,16 @@ def image_scores(
     duplicate, any other is wrong. Copies are counted, never multiplied out. The
     overlapping pairs serve two aggregations and are written once.
     """
-    truths = _distinct_boxes(true, "truth")
-    preds = _distinct_boxes(pred, "pred")
-    pairs = materialized(_overlaps(truths, preds, threshold), "box-pairs")
-    touching = pairs.select("pred_id").distinct().withColumn("touches", F.lit(True))
-    matched = _pick(pairs).groupBy("image_id").agg(F.count(F.lit(1)).alias("matched"))
+    truths, preds = _prepared(pred, true, threshold)
+    if _is_dense(truths, preds, dense_from):
+        chosen = _stepwise(truths, preds, threshold, "truth_id", "pred_id")
+        touched = _stepwise(truths, preds, threshold, "pred_id", "truth_id")
+    else:
+        touched = materialized(_overlaps(truths, preds, threshold), "box-pairs")
+        chosen = _best(touched, "truth_id", "pred_id")
+    matches = _best(chosen, "pred_id", "truth_id")
+    touching = touched.select("pred_id").distinct().withColumn("touches", F.lit(True))
+    matched = matches.groupBy("image_id").agg(F.count(F.lit(1)).alias("matched"))
     per_image = (
         preds.join(touching, "pred_id", "left")
         .groupBy("image_id")
@@ -195,18 +254,21 @@ def episode_metrics(episodes: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def box_transcripts(boxes: DataFrame) -> DataFrame:
-    """Per image one tool-call text naming every box, in reading order.
+def box_transcripts(boxes: DataFrame, per_part: int = 256) -> DataFrame:
+    """Tool-call text naming the boxes of each image in order of their ids.
 
-    The text of an image holds all of its boxes, so its length is that of the result.
+    One row (image_id, part, transcript, n_boxes) per ``per_part`` boxes, so nearly
+    every image has a single part and no group grows with the data. The last line asks
+    for the labelled image.
     """
-    line = F.format_string(
-        "<label_tool>%s %.4f %.4f %.4f %.4f</label_tool>", "label", "x1", "y1", "x2", "y2"
-    )
-    entry = F.struct("y1", "x1", "box_id", line.alias("line"))
-    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"])
-    return boxes.groupBy("image_id").agg(
-        F.concat(F.array_join(ordered, "\n"), F.lit("\n<labeled_image>")).alias("transcript"),
+    line = F.format_string("<label_tool>%s %.4f %.4f %.4f %.4f</label_tool>", "label", *COORDS)
+    placed = rerank(boxes.select("image_id", "box_id", line.alias("line")), "box_id", "place", ("image_id",))
+    parts = placed.withColumn("part", F.floor(F.col("place") / per_part))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "line")))
+    return parts.groupBy("image_id", "part").agg(
+        F.concat(
+            F.array_join(F.transform(ordered, lambda e: e["line"]), "\n"), F.lit("\n<labeled_image>")
+        ).alias("transcript"),
         F.count(F.lit(1)).alias("n_boxes"),
     )
 

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from visloom.functions.answers import WORD_END, WORD_START, true_false
 from visloom.functions.boxes import contains
-from visloom.operators.joins import MAX_LIST
+from visloom.operators.joins import spread_join
+
+# Text vectors that may travel next to the image scan.
+MAX_TEXTS = 10_000
 
 
 def join_predictions(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """Predictions of one or several runs with the gold label of their uid."""
-    return predictions.join(gold.select("uid", "label"), "uid")
+    return spread_join(predictions, gold.select("uid", "label"), ["uid"])
 
 
 def with_verdict(joined: DataFrame) -> DataFrame:
@@ -107,7 +110,7 @@ def apply_corrections(predictions: DataFrame, corrections: DataFrame, keys: Sequ
     """Replace predicted labels by the latest human correction where there is one."""
     latest = corrections.groupBy(*keys).agg(F.max_by("corrected", "revision").alias("corrected"))
     return (
-        predictions.join(latest, list(keys), "left")
+        spread_join(predictions, latest, keys, "left")
         .withColumn("was_corrected", F.col("corrected").isNotNull())
         .withColumn("final", F.coalesce("corrected", "pred"))
         .drop("corrected")
@@ -141,7 +144,7 @@ def embedding_topk(
     # Counting first keeps the list itself within the bound.
     count = texts.agg(F.count(F.lit(1))).scalar()
     guarded = texts.where(
-        F.when(count <= MAX_LIST, True).otherwise(F.raise_error(F.lit("too many text vectors")).cast("boolean"))
+        F.when(count <= MAX_TEXTS, True).otherwise(F.raise_error(F.lit("too many text vectors")).cast("boolean"))
     )
     queries = guarded.agg(packed).scalar()
 

@@ -16,16 +16,10 @@ from visloom.functions.text import order_key
 CHUNK = 1 << 20
 
 
-def _group_offsets(sized: DataFrame, partition: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """Rows before each group, per partition; ``sized`` has one row per group."""
-    before = (
-        Window.partitionBy(*partition)
-        .orderBy(*group)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return sized.select(
-        *partition, *group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
-    )
+def _before(n: str, partition: Sequence[str], group: Sequence[str]) -> Column:
+    """Sum of ``n`` over the earlier groups of the partition."""
+    earlier = Window.partitionBy(*partition).orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(n).over(earlier), F.lit(0))
 
 
 def rerank(
@@ -40,7 +34,7 @@ def rerank(
     chunked = df.withColumn("__chunk", F.floor(F.col(position) / chunk))
     keys = [*partition, "__chunk"]
     sizes = chunked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _group_offsets(sizes, partition, ["__chunk"])
+    offsets = sizes.select(*keys, _before("__n", partition, ["__chunk"]).alias("__before"))
     inside = Window.partitionBy(*keys).orderBy(position)
     return (
         chunked.withColumn("__rank", F.row_number().over(inside) - 1)
@@ -69,7 +63,14 @@ def random_positions(
     )
     group = [*lead, "__bucket"]
     sizes = hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _group_offsets(sizes, [], group)
+    within = _before("__n", lead, ["__bucket"])
+    if lead:
+        # One row per lead value here, one row per bucket inside each.
+        leads = hashed.groupBy(*lead).agg(F.count(F.lit(1)).alias("__total"))
+        starts = leads.select(*lead, _before("__total", [], lead).alias("__start"))
+        offsets = sizes.join(starts, list(lead)).select(*group, (F.col("__start") + within).alias("__before"))
+    else:
+        offsets = sizes.select(*group, within.alias("__before"))
     inside = Window.partitionBy(*group).orderBy("__hash", key)
     return (
         hashed.withColumn("__rank", F.row_number().over(inside) - 1)
@@ -77,8 +78,3 @@ def random_positions(
         .withColumn(out, (F.col("__before") + F.col("__rank")).cast("bigint"))
         .drop("__hash", "__bucket", "__rank", "__before")
     )
-
-
-def row_digest(df: DataFrame) -> Column:
-    """Hash of a whole row, a repeatable salt source (``rand`` changes on a retry)."""
-    return F.xxhash64(*[F.col(c) for c in df.columns])

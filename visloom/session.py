@@ -18,8 +18,20 @@ DEFAULTS = {
 }
 
 
+# Shuffle bytes one task should hold; it then sorts and aggregates without spilling much.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions_for(input_bytes: int) -> int:
+    """Shuffle partitions for an input size; AQE merges those that turn out small."""
+    return max(200, -(-input_bytes // PARTITION_BYTES))
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """Start (or reuse) a session; on a cluster leave ``master`` to spark-submit."""
+    """Start (or reuse) a session; on a cluster leave ``master`` to spark-submit.
+
+    Give ``shuffle_partitions`` from :func:`partitions_for` when the input is large.
+    """
     builder = SparkSession.builder.appName("visloom")
     if master:
         builder = builder.master(master)
