@@ -58,12 +58,23 @@ def _image(k: int) -> Column:
     ).cast(IMAGE)
 
 
+def _pair_identity() -> list[Column]:
+    """The raw uid, identifier, id and sentence, none of which needs the labels."""
+    doc = F.col("doc_id")
+    key = doc.cast("string")
+    return [
+        F.when(doc % 5 == 1, "").when(doc % 5 != 0, F.concat(F.lit("dev-"), key, F.lit("-0-0"))).alias("uid"),
+        F.when(doc % 5 == 1, F.concat(F.lit("doc-"), key)).alias("identifier"),
+        F.when(doc % 10 == 5, F.concat(F.lit("id-"), key)).alias("id"),
+        F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("sentence"),
+    ]
+
+
 def pairs_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as raw pair records; one in thirteen lacks an image, some labels are bad."""
     docs = indexed(spark, sf, "documents", "doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     doc = F.col("doc_id")
-    key = doc.cast("string")
     second = F.when(doc % 13 != 0, _image(1))
     label = (
         F.when(F.col("quality") == 1, " TRUE ")
@@ -74,10 +85,7 @@ def pairs_raw(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").select(
         "doc_id",
         "index",
-        F.when(doc % 5 == 1, "").when(doc % 5 != 0, F.concat(F.lit("dev-"), key, F.lit("-0-0"))).alias("uid"),
-        F.when(doc % 5 == 1, F.concat(F.lit("doc-"), key)).alias("identifier"),
-        F.when(doc % 10 == 5, F.concat(F.lit("id-"), key)).alias("id"),
-        F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("sentence"),
+        *_pair_identity(),
         label.alias("label"),
         F.when(doc % 2 == 0, F.struct(_image(0).alias("left"), second.alias("right"))).alias("image"),
         F.when(doc % 2 != 0, _image(0)).alias("image0"),
@@ -90,7 +98,8 @@ def pair_keys(spark: SparkSession, sf: str) -> DataFrame:
     uid = F.coalesce(
         example_uid(F.col("uid"), F.col("identifier"), F.col("id")), fallback_uid(F.lit(SPLIT), F.col("sentence"))
     )
-    return pairs_raw(spark, sf).select("index", uid.alias("uid"))
+    docs = indexed(spark, sf, "documents", "doc_id", "text").select("index", *_pair_identity())
+    return docs.select("index", uid.alias("uid"))
 
 
 _W0, _H0 = "(640 + (d.doc_id * 37) % 640)::INT", "(360 + (d.doc_id * 53) % 360)::INT"

@@ -372,7 +372,8 @@ SQL_VOCAB = """vocab AS (
 
 def vocabulary(rendered: DataFrame) -> DataFrame:
     """Every distinct rendered token with a dense id."""
-    words = rendered.select(F.explode("tokens").alias("token")).distinct()
+    # The outer form, as the plain one would render every record twice to test for emptiness.
+    words = rendered.select(F.explode_outer("tokens").alias("token")).where(F.col("token").isNotNull()).distinct()
     return random_positions(words, "token", seed=0, out="token_id")
 
 

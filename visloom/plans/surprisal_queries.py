@@ -38,8 +38,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     ),
 )
 def log_softmax_query(spark, sf):
-    probs = fx.logits(spark, sf).select("vec_id", log_softmax(F.col("logits")).alias("logp"))
-    return probs.select("vec_id", F.posexplode("logp").alias("token_id", "logp")).select(
+    probs = fx.logits(spark, sf).select("vec_id", F.posexplode(log_softmax(F.col("logits"))).alias("token_id", "logp"))
+    return probs.select(
         "vec_id", F.col("token_id").cast("bigint").alias("token_id"), F.round("logp", 6).alias("logp")
     )
 
