@@ -88,7 +88,9 @@ def test_spread_join_equals_plain_join(spark, how):
     left_rows = [(rng.choice(["hot"] * 8 + ["a", "b", None, "x"]), i) for i in range(400)]
     left = spark.createDataFrame(left_rows, "k string, i int")
     right = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3), ("unused", 4)], "k string, v int")
-    got = spread_join(left, right, ["k"], how, hot_rows=50, salts=8)
+    got = spread_join(left, right, ["k"], how, hot_rows=50)
+    few = spread_join(left, right, ["k"], how, spread=["i"], hot_rows=10, hot_keys=1, max_salts=3)
+    assert sorted(map(repr, few.select("k", "i", "v").collect())) == sorted(map(repr, got.select("k", "i", "v").collect()))
     want = left.join(right, "k", how)
     assert sorted(map(repr, got.select("k", "i", "v").collect())) == sorted(map(repr, want.select("k", "i", "v").collect()))
 

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
-HOT_KEYS = 1024
+# A key is hot from this many rows on, and gets one salt per so many rows.
 HOT_ROWS = 1_000_000
+HOT_KEYS = 65_536
+MAX_SALTS = 65_536
 MAX_LIST = 100_000
 
 
@@ -22,17 +23,18 @@ def spread_join(
     spread: Sequence[str] | None = None,
     sizes: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    hot_keys: int = HOT_KEYS,
+    max_salts: int = MAX_SALTS,
 ) -> DataFrame:
     """Join ``left`` to a ``right`` side that has one row per key, salting hot left keys.
 
-    The most frequent left keys (at most ``HOT_KEYS``, and only those with
-    ``hot_rows`` rows or more) are found by a map-side combined count; any other key
-    has fewer than ``hot_rows`` rows or less than 1/``HOT_KEYS`` of the table. Only
-    hot keys are spread: their left rows by a hash of the ``spread`` columns, their
-    right row by one copy per salt. ``sizes`` may hand in the rows per key
-    (keys, ``rows``) when they are known already. The key list is broadcast; its size is bounded by
-    the limit. Null keys match nothing and are spread as well.
+    The keys with ``hot_rows`` rows or more, the largest ``hot_keys`` of them, are found
+    by a map-side combined count, so any other key has fewer than ``hot_rows`` rows or
+    less than 1/``hot_keys`` of the table. Each hot key gets salts in proportion to its
+    rows: its left rows are dealt out by a hash of the ``spread`` columns, its right row
+    is copied once per salt. ``sizes`` may hand in the rows per key (keys, ``rows``)
+    when they are known already. The key list is broadcast; its size is bounded by the
+    limit. Null keys match nothing and are dealt out as well.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
@@ -42,22 +44,27 @@ def spread_join(
         any_null = any_null | F.col(key).isNull()
     if sizes is None:
         sizes = left.where(~any_null).groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
+    salts = F.least(F.ceil(F.col("rows") / hot_rows), F.lit(max_salts)).cast("int")
     hot = F.broadcast(
         sizes.where(F.col("rows") >= hot_rows)
         .orderBy(F.desc("rows"), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.lit(True).alias("__hot"))
+        .limit(hot_keys)
+        .select(*on, salts.alias("__salts"))
     )
-    source = [F.col(c) for c in (spread or left.columns)]
-    salt = F.pmod(F.xxhash64(*source), F.lit(salts)).cast("int")
+    digest = F.xxhash64(*[F.col(c) for c in (spread or left.columns)])
+    dealt = F.coalesce("__salts", F.when(any_null, F.lit(max_salts)))
     asking = left.join(hot, on, "left").withColumn(
-        "__salt", F.when(F.coalesce("__hot", F.lit(False)) | any_null, salt).otherwise(0)
+        "__salt", F.when(dealt.isNotNull(), F.pmod(digest, dealt)).otherwise(0).cast("int")
     )
     answers = right.join(hot, on, "left").withColumn(
         "__salt",
-        F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
+        F.explode(
+            F.when(F.col("__salts").isNotNull(), F.sequence(F.lit(0), F.col("__salts") - 1)).otherwise(
+                F.array(F.lit(0))
+            )
+        ),
     )
-    return asking.drop("__hot").join(answers.drop("__hot"), [*on, "__salt"], how).drop("__salt")
+    return asking.drop("__salts").join(answers.drop("__salts"), [*on, "__salt"], how).drop("__salt")
 
 
 def listed(spark, column: str, values: Sequence, type_: str = "string") -> DataFrame:

@@ -75,16 +75,21 @@ def pairs_raw(spark: SparkSession, sf: str) -> DataFrame:
     docs = indexed(spark, sf, "documents", "doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     doc = F.col("doc_id")
-    second = F.when(doc % 13 != 0, _image(1))
     label = (
         F.when(F.col("quality") == 1, " TRUE ")
         .when(F.col("quality") == 0, "False")
         .when(doc % 10 == 3, "maybe")
         .when(doc % 10 != 7, "false")
     )
-    return docs.join(labels, "doc_id", "left").select(
+    return pair_records(docs.join(labels, "doc_id", "left"), label, "index")
+
+
+def pair_records(docs: DataFrame, label: Column, *keep: str) -> DataFrame:
+    doc = F.col("doc_id")
+    second = F.when(doc % 13 != 0, _image(1))
+    return docs.select(
         "doc_id",
-        "index",
+        *keep,
         *_pair_identity(),
         label.alias("label"),
         F.when(doc % 2 == 0, F.struct(_image(0).alias("left"), second.alias("right"))).alias("image"),

@@ -12,7 +12,8 @@ from visloom.functions import text as tx
 from visloom.operators import lookup, sampling, sft
 from visloom.operators.positions import random_positions
 from visloom.plans import fixtures as fx
-from visloom.plans.pair_queries import flat_messages, flat_parts
+from visloom.plans.flows import training_table
+from visloom.plans.pair_queries import SQL_PROMPT, flat_messages, flat_parts
 from visloom.plans.registry import query
 from visloom.schemas import STAGE1_CONFIGS, STAGE2_CONFIGS
 from visloom.session import scratch_path
@@ -388,3 +389,39 @@ WHERE token IN ('<image>', '<fake_token_around_image>', '<global-img>')""",
 )
 def special_token_ids(spark, sf):
     return lookup.image_token_ids(vocabulary(fx.gui_tokens(spark, sf)), chat.IMAGE_TOKENS)
+
+
+SQL_SHUFFLED = f"""shuffled AS (
+  SELECT *, row_number() OVER (ORDER BY block, h, idx) - 1 AS position
+  FROM (SELECT *, idx // 64 AS block, md5(concat('42:', idx)) AS h FROM keyed) WHERE reason IS NULL),
+rendered AS (
+  SELECT *, list_concat(['<|user|>', '<image>', '<image>'],
+    {fx.sql_tokens(f"replace('{SQL_PROMPT}', '{{statement}}', {fx.sql_strip('sentence')})")}, ['<|end|>', '<|assistant|>']) AS prefix
+  FROM shuffled),
+sized AS (
+  SELECT *, least(len(prefix) + 2, 2048) AS kept, position // 8 AS batch FROM rendered)"""
+
+
+@query(
+    "sft_table",
+    fx.with_ctes(
+        fx.SQL_RAW,
+        fx.SQL_KEYED,
+        SQL_SHUFFLED,
+        select="""SELECT uid, position, batch, (len(prefix) + 2)::INT AS n_tokens, len(prefix)::INT AS response_start,
+  (((max(kept) OVER (PARTITION BY batch) + 7) // 8) * 8)::INT AS padded_length,
+  greatest(0, kept - len(prefix))::INT AS n_scored FROM sized""",
+    ),
+)
+def sft_table(spark, sf):
+    """Shuffle, normalise, render, mask, cut and pad all pair records."""
+    table = training_table(fx.pairs_raw(spark, sf), split=fx.SPLIT, buffer=64, batch_size=8, strict=False)
+    return table.select(
+        "uid",
+        "position",
+        "batch",
+        "n_tokens",
+        "response_start",
+        "padded_length",
+        F.size(F.filter("labels", lambda x: x != chat.IGNORE)).alias("n_scored"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from visloom.functions import text as tx
 from visloom.functions.scoring import target_logprob
 from visloom.operators import surprisal
+from visloom.operators.pairs import normalize_pairs
 from visloom.operators.evaluation import generation_log
 from visloom.plans import fixtures as fx
 from visloom.plans.registry import query
@@ -23,19 +24,21 @@ def _stream(spark, sf, name):
 
 @query(
     "stream_normalize",
-    f"""SELECT doc_id, concat('dev-', substr(md5(text), 1, 8)) AS uid, {fx.sql_strip('text')} AS sentence,
-  CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS label FROM documents""",
+    fx.with_ctes(
+        fx.SQL_RAW,
+        select=f"""SELECT doc_id, coalesce(nullif(raw_uid, ''), nullif(identifier, ''), id,
+    concat('dev-', substr(md5(sentence), 1, 8))) AS uid, {fx.sql_strip('sentence')} AS sentence,
+  CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END AS label, CASE WHEN two_part THEN 'left' ELSE 'image0' END AS slot
+FROM raw WHERE NOT missing AND doc_id % 10 <> 3""",
+    ),
 )
 def stream_normalize(spark, sf):
-    """The record expressions of the batch path over arriving files."""
-    raw = _stream(spark, sf, "documents")
-    label = F.when(F.col("doc_id") % 2 == 0, " true\n").otherwise("FALSE")
-    records = raw.select(
-        "doc_id",
-        tx.fallback_uid(F.lit("dev"), F.col("text")).alias("uid"),
-        tx.strip(F.col("text")).alias("sentence"),
-        tx.clean_label(label).alias("label"),
-    )
+    """The normalisation of the batch path, applied to arriving files."""
+    doc = F.col("doc_id")
+    label = F.when(doc % 10 == 3, "maybe").when(doc % 2 == 0, " true\n").otherwise("FALSE")
+    raw = fx.pair_records(_stream(spark, sf, "documents"), label)
+    pairs = normalize_pairs(raw, split=fx.SPLIT, strict=False)
+    records = pairs.select("doc_id", "uid", "sentence", "label", F.get("metadata.images", 0)["slot"].alias("slot"))
     folder = scratch_path(spark, "stream-pairs")
     streams.run_to_files(records, folder)
     return spark.read.schema(records.schema).parquet(folder)

@@ -10,6 +10,7 @@ from visloom.functions.scoring import LN2, log_softmax, target_logprob
 from visloom.operators import counts, surprisal
 from visloom.operators.joins import spread_join
 from visloom.plans import fixtures as fx
+from visloom.plans.flows import count_scores
 from visloom.plans.gui_queries import SQL_VOCAB, vocabulary
 from visloom.plans.registry import query
 from visloom.session import materialized, scratch_path
@@ -162,9 +163,7 @@ def pair_table(tokens: DataFrame) -> DataFrame:
 
 def scored_tokens(tokens: DataFrame) -> DataFrame:
     """Response tokens of every record with their bits under counts of the train split."""
-    rows = counts.explode_pairs(tokens, "sample_id", start=F.col("response_start"))
-    table = materialized(pair_table(tokens), "pair-table")
-    return counts.score_pairs(rows, counts.pair_bits(table), table)
+    return count_scores(tokens, F.col("split") == "train")
 
 
 def records(spark, sf) -> DataFrame:
