@@ -29,7 +29,7 @@ def rerank(
 
     Groups are blocks of ``chunk`` positions, so no group exceeds ``chunk`` rows even
     when one partition value holds most of the table. The block sizes are one row
-    per million positions.
+    per million positions. Rank narrow rows and join the result: a block is one task's.
     """
     chunked = df.withColumn("__chunk", F.floor(F.col(position) / chunk))
     keys = [*partition, "__chunk"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from visloom.functions import chat
 from visloom.functions.text import PAIR_PROMPT, make_sample_id
 from visloom.operators import counts, lookup, sampling, sft, surprisal
-from visloom.operators.pairs import normalize_pairs
+from visloom.operators.pairs import normalize_pairs, with_reject_reason
 from visloom.operators.positions import rerank
 from visloom.session import materialized
 from visloom.sinks.files import write_run
@@ -99,20 +99,23 @@ def training_table(
 ) -> DataFrame:
     """Padded training batches from raw pair records that carry ``index``.
 
-    Order and take are decided on the positions alone; only the taken records are
-    normalised, rendered and padded.
+    Order, take and the places without rejected records are decided on two narrow
+    columns; only the taken records are normalised, rendered and padded.
     """
-    order = raw.select("index")
+    order = with_reject_reason(raw).select("index", F.col("reason").isNull().alias("__good"))
     order = sampling.shuffle(order, seed=seed, buffer=buffer) if shuffle else order.withColumn("position", F.col("index"))
     if take is not None:
         order = sampling.take(order, take)
-    pairs = normalize_pairs(raw.join(order, "index"), split=split, template=template, strict=strict)
+    if not strict:
+        kept = order.where("__good").withColumnRenamed("position", "__place")
+        order = rerank(kept, "__place", "position")
+    pairs = normalize_pairs(
+        raw.join(order.select("index", "position"), "index"), split=split, template=template, strict=strict
+    )
     messages = chat.attach_response(chat.conversation(F.col("images"), F.col("prompt")), F.col("label"))
     rendered = sft.with_rendering(pairs.select("position", "uid", messages.alias("messages")))
     examples = sft.sft_examples(rendered.drop("messages"), max_length).drop("tokens")
-    # Rejected records leave gaps, which would make uneven batches.
-    placed = rerank(examples.withColumnRenamed("position", "__position"), "__position", "position")
-    return sft.pad_batches(placed.drop("__position"), batch_size, index="position")
+    return sft.pad_batches(examples, batch_size, index="position")
 
 
 def gallery(
