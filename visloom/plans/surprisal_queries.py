@@ -107,13 +107,12 @@ def sample_surprisal(spark, sf):
     return rounded(_scored_sequences(spark, sf).drop("label"))
 
 
+TOTAL = "sum(round(image_bits + text_bits, 6)::DECIMAL(28, 6))::DOUBLE"
 SQL_SUMMARY_FIELDS = f"""count(*) AS samples, coalesce(sum(num_tokens), 0)::BIGINT AS total_tokens,
-  round(sum(round(image_bits + text_bits, 6)::DECIMAL(28, 6))::DOUBLE, 6) AS total_surprisal_bits,
-  round(sum(round(image_bits, 6)::DECIMAL(28, 6))::DOUBLE, 6) AS image_bits_total,
-  round(sum(round(text_bits, 6)::DECIMAL(28, 6))::DOUBLE, 6) AS text_bits_total,
-  round(sum(round(image_bits + text_bits, 6)::DECIMAL(28, 6))::DOUBLE * {LN2!r}::DOUBLE, 6) AS total_surprisal_nats,
-  round(coalesce(sum(round(image_bits + text_bits, 6)::DECIMAL(28, 6))::DOUBLE / nullif(sum(num_tokens), 0)::DOUBLE, 0), 6) AS mean_bits_per_token,
-  round(coalesce(sum(round(image_bits + text_bits, 6)::DECIMAL(28, 6))::DOUBLE / nullif(count(*), 0)::DOUBLE, 0), 6) AS mean_bits_per_sample"""
+  {TOTAL} AS total_surprisal_bits, sum(round(image_bits, 6)::DECIMAL(28, 6))::DOUBLE AS image_bits_total,
+  sum(round(text_bits, 6)::DECIMAL(28, 6))::DOUBLE AS text_bits_total, {TOTAL} * {LN2!r}::DOUBLE AS total_surprisal_nats,
+  coalesce({TOTAL} / nullif(sum(num_tokens), 0)::DOUBLE, 0) AS mean_bits_per_token,
+  coalesce({TOTAL} / nullif(count(*), 0)::DOUBLE, 0) AS mean_bits_per_sample"""
 
 
 @query(
@@ -121,7 +120,7 @@ SQL_SUMMARY_FIELDS = f"""count(*) AS samples, coalesce(sum(num_tokens), 0)::BIGI
     fx.with_ctes(fx.SQL_LOGITS, fx.SQL_SHIFTED, SQL_SAMPLE_BITS, select=f"SELECT {SQL_SUMMARY_FIELDS} FROM stats"),
 )
 def surprisal_summary(spark, sf):
-    return rounded(surprisal.run_summary(_scored_sequences(spark, sf)))
+    return surprisal.run_summary(_scored_sequences(spark, sf))
 
 
 def summary_by_label(spark, sf) -> DataFrame:
@@ -227,9 +226,9 @@ SQL_RECORDS = f"""stats AS (
     FROM scored GROUP BY sample_id) s USING (sample_id)),
 recs AS (
   SELECT sample_id, dataset, config, split, idx AS index, source, start::INT AS prompt_tokens, num_tokens AS response_tokens,
-    image_bits + text_bits AS total_surprisal_bits, round((image_bits + text_bits) * {LN2!r}::DOUBLE, 6) AS total_surprisal_nats,
-    round(coalesce((image_bits + text_bits) / nullif(num_tokens, 0), 0), 6) AS avg_surprisal_bits,
-    round(coalesce((image_bits + text_bits) / nullif(num_tokens, 0), 0) * {LN2!r}::DOUBLE, 6) AS avg_surprisal_nats,
+    image_bits + text_bits AS total_surprisal_bits, (image_bits + text_bits) * {LN2!r}::DOUBLE AS total_surprisal_nats,
+    coalesce((image_bits + text_bits) / nullif(num_tokens, 0), 0) AS avg_surprisal_bits,
+    coalesce((image_bits + text_bits) / nullif(num_tokens, 0), 0) * {LN2!r}::DOUBLE AS avg_surprisal_nats,
     num_tokens, num_image_tokens, num_tokens - num_image_tokens AS num_text_tokens,
     image_bits AS image_surprisal_bits, text_bits AS text_surprisal_bits, assistant_len, coalesce(system_len, -1) AS system_len
   FROM stats)"""
@@ -238,7 +237,7 @@ RECORD_CTES = (*COUNT_CTES, SQL_RECORDS)
 
 @query("surprisal_records", fx.with_ctes(*RECORD_CTES, select="SELECT * FROM recs"))
 def surprisal_records(spark, sf):
-    return rounded(records(spark, sf)).withColumn("system_len", F.coalesce("system_len", F.lit(-1)))
+    return records(spark, sf).withColumn("system_len", F.coalesce("system_len", F.lit(-1)))
 
 
 @query(
@@ -259,13 +258,13 @@ def surprisal_totals(spark, sf):
     fx.with_ctes(*RECORD_CTES, select=f"SELECT source, {SQL_SUMMARY_FIELDS} FROM stats GROUP BY source"),
 )
 def surprisal_by_source(spark, sf):
-    return rounded(surprisal.run_summary(records(spark, sf), ["source"]))
+    return surprisal.run_summary(records(spark, sf), ["source"])
 
 
 @query("sink_jsonl", fx.with_ctes(*RECORD_CTES, select="SELECT * FROM recs"))
 def sink_jsonl(spark, sf):
     """Write the records as JSON lines, nulls kept, and read them back."""
-    out = rounded(records(spark, sf))
+    out = records(spark, sf)
     folder = scratch_path(spark, "records")
     files.write_jsonl(out, folder)
     back = spark.read.schema(out.schema).json(folder)
@@ -317,8 +316,7 @@ def adapter_capacity(spark, sf):
     fx.with_ctes(
         *RECORD_CTES,
         fx.SQL_WIDTH,
-        select=f"""SELECT dataset, config, split, samples, total_tokens, round(total_surprisal_bits, 6) AS total_surprisal_bits,
-  round(mean_bits_per_token, 6) AS mean_bits_per_token, '{TIMESTAMP}' AS timestamp, '{MODEL}' AS model, 0::BIGINT AS skip,
+        select=f"""SELECT dataset, config, split, samples, total_tokens, total_surprisal_bits, mean_bits_per_token, '{TIMESTAMP}' AS timestamp, '{MODEL}' AS model, 0::BIGINT AS skip,
   concat(dataset, '_', config, '_', split, '_{TIMESTAMP}.jsonl') AS output_file, width * 16 AS params_16
 FROM (SELECT dataset, config, split, {SQL_SUMMARY_FIELDS} FROM stats GROUP BY dataset, config, split) CROSS JOIN width""",
     ),
@@ -337,8 +335,8 @@ def sink_run_meta(spark, sf):
         "split",
         "samples",
         "total_tokens",
-        F.round("total_surprisal_bits", 6).alias("total_surprisal_bits"),
-        F.round("mean_bits_per_token", 6).alias("mean_bits_per_token"),
+        "total_surprisal_bits",
+        "mean_bits_per_token",
         "timestamp",
         "model",
         "skip",
