@@ -166,7 +166,9 @@ def test_cache_texts(spark):
 
 
 def test_first_available(spark, scanned):
-    assert first_available(spark, ["/nowhere", scanned], ["k"]).count() == 1000
+    with open(f"{scanned}/../broken.parquet", "wb") as broken:
+        broken.write(b"no parquet at all")
+    assert first_available(spark, ["/nowhere", f"{scanned}/../broken.parquet", scanned], ["k"]).count() == 1000
     with pytest.raises(Exception):
         first_available(spark, ["/nowhere"], ["k"])
     with pytest.raises(ValueError):

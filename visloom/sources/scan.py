@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,12 +59,16 @@ def scan_with_index(
 def first_available(
     spark: SparkSession, candidates: Sequence[str], columns: Sequence[str], fmt: str = "parquet"
 ) -> DataFrame:
-    """The first candidate that can be read and has the columns; the last error is raised."""
+    """The first candidate that can be read and has the columns; the last error is raised.
+
+    A candidate may fail in many ways (absent, unreadable, other columns), and all of
+    them show here, since opening it reads its schema.
+    """
     error: Exception | None = None
     for path in candidates:
         try:
             return spark.read.format(fmt).load(path).select(*columns)
-        except AnalysisException as err:
+        except Exception as err:
             error = err
     if error is None:
         raise ValueError("no candidate sources given")
