@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -16,6 +20,25 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 WORDS_KEPT = 400_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run.
+
+    Spark's own file service carries the archive; it goes out once per application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        sc.addPyFile(archive)
+        _SHIPPED.add(sc.applicationId)
+
+
 class Scratch:
     """Tables written once below ``spark.checkpoint.dir`` and read by several later steps.
 
@@ -27,6 +50,7 @@ class Scratch:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        ship(spark)
         self.spark = spark
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visloom.llm import quality
+from visloom.llm import mixing, near_dedup, packing, quality, substring_dedup
 from visloom.llm.common import table
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -22,3 +26,35 @@ def query(fn):
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents."""
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at Jaccard 0.8 on 2-word shingles."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removable runs of repeated paragraphs in all documents."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' token pieces in sequences of 2048."""
+    return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weights, probabilities and the draw for all documents."""
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
+    import corpus_pipeline  # it imports this module for the tokenizer's place
+
+    return corpus_pipeline.run(spark, sf_dir)
