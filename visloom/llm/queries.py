@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visloom.llm import chat, fingerprints, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, token_counts
+from visloom.llm import chat, fingerprints, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, token_counts, warc
 from visloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,25 @@ FROM said GROUP BY conv_id
 """
 
 
+@query
+def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to packages of WARC records and read back."""
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
+SQL["op2_warc_packages"] = """
+WITH payloads AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), keepers AS (
+    SELECT payload_digest, max(page_id) AS keeper FROM payloads WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM payloads LEFT JOIN keepers USING (payload_digest)
+"""
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents."""
