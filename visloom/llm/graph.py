@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visloom.llm.common import Scratch
 
-STAR_ROUNDS = 3
+STAR_ROUNDS = 6
+CELL_BYTES = 8 << 20  # sets one side of a cell holds on average
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -47,25 +50,59 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) with 100 · |A ∩ B| ≥ percent · |A ∪ B| on the full sets (node, shingles).
+
+    Pairs are dealt into a grid of cells by hashes of a and b, and a set goes once into each
+    cell that asks for it, not once per pair: a crowd of pairs among the same documents costs
+    little more than its documents. Cells hold about 2 · CELL_BYTES of sets.
+    """
+    size = sets.agg(F.sum(8 * F.size("shingles"))).first()[0] or 0
+    grid = max(1, -(-size // CELL_BYTES))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
+    celled = pairs.select(place("a").alias("ca"), place("b").alias("cb"), "a", "b")
+    needs = celled.select(
+        F.col("ca").alias("da"), F.col("cb").alias("db"), F.explode(F.array("a", "b")).alias("node")
+    ).distinct()
+    dealt = needs.join(sets.select("node", "shingles"), "node")
+
+    def compare(asked: pa.Table, given: pa.Table) -> pa.Table:
+        held: dict[int, list[np.ndarray]] = {}
+        for node, shingles in zip(given.column("node").to_pylist(), given.column("shingles"), strict=True):
+            held.setdefault(node, []).append(shingles.values.to_numpy())
+        good = []
+        for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True):
+            for x in held.get(a, []):  # rows that share an id are one document
+                for y in held.get(b, []):
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        good.append((a, b))
+        good = sorted(set(good))
+        return pa.table({"a": pa.array([a for a, _ in good], pa.int64()), "b": pa.array([b for _, b in good], pa.int64())})
+
+    cells = celled.groupBy("ca", "cb").cogroup(dealt.groupBy("da", "db"))
+    return scratch.put(cells.applyInArrow(compare, "a long, b long"), name)
+
+
 def bucket_links(
     members: DataFrame,
     traits: DataFrame,
     plausible: Column,
-    confirm: Callable[[DataFrame], DataFrame],
+    confirm: Callable[[DataFrame, str], DataFrame],
     scratch: Scratch,
     rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
     """Confirmed links (a, b) that connect whatever pairs sharing a bucket can be connected.
 
-    ``members`` (key, node) holds the buckets; ``traits`` one row per node. ``plausible`` is
-    a cheap necessary condition on a pair's traits (suffixes _a and _b), ``confirm`` returns
-    the pairs (a, b) that are truly linked.
+    ``members`` (key, band, node) holds the buckets; ``traits`` one row per node, with ``bands``
+    naming its bucket in each band. ``plausible`` is a cheap necessary condition on a pair's traits
+    (suffixes _a and _b), ``confirm`` writes the pairs (a, b) that are truly linked under a name.
 
     A bucket of near copies would emit the square of its size. Instead, in each round
     every node is held against one head of its buckets, heads changing from round to
     round; linked nodes become one component, and a bucket inside one component needs nothing
     more. After ``rounds`` rounds, the nodes of different components that still share a bucket are
-    compared in pairs, so that no connection is lost.
+    compared in pairs, in the first band they share, so that no connection is lost.
     """
     columns = [c for c in traits.columns if c != "node"]
     as_a = traits.select(F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
@@ -90,13 +127,19 @@ def bucket_links(
             )
             pairs = pairs.join(as_a, "a").join(as_b, "b").where(plausible).select("a", "b")
         else:
-            rest = scratch.put(divided.select("key", "comp", F.col("node").alias("a")).join(as_a, "a"), "rest")
+            rest = divided.select("key", "band", "comp", F.col("node").alias("a")).join(as_a, "a")
+            rest = scratch.put(rest, "rest")
             other = rest.select(
-                "key", F.col("comp").alias("comp_b"), F.col("a").alias("b"), *[F.col(f"{c}_a").alias(f"{c}_b") for c in columns]
+                F.col("key").alias("key_b"),
+                F.col("comp").alias("comp_b"),
+                F.col("a").alias("b"),
+                *[F.col(f"{c}_a").alias(f"{c}_b") for c in columns],
             )
-            met = rest.join(other, (rest["key"] == other["key"]) & (F.col("comp") < F.col("comp_b")) & plausible)
+            shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True))
+            first = shared == F.col("band") + 1
+            met = rest.join(other, (F.col("key") == F.col("key_b")) & (F.col("comp") < F.col("comp_b")) & plausible & first)
             pairs = met.select("a", "b").distinct()
-        found = scratch.put(confirm(scratch.put(pairs, f"pairs{turn}")), f"found{turn}")
+        found = confirm(scratch.put(pairs, f"pairs{turn}"), f"found{turn}")
         links = found if links is None else links.union(found)
         if turn <= rounds:
             labels = components(links, scratch, f"turn{turn}")

@@ -1,9 +1,10 @@
 """Near duplicates: MinHash bands find candidates, odd sketches and full sets decide.
 
 Texts with equal shingle sets are one class from the start. One member of each class goes
-into BANDS bands of ROWS MinHash values. An odd sketch folds all MinHash values into a
-bitmap of parities; the population count of two bitmaps' XOR tells how many values differ.
-Candidates that pass it are compared on their full sets.
+into BANDS bands of ROWS MinHash values. Documents that share a band with another one get an
+odd sketch: SAMPLES further MinHash values folded into a bitmap of parities. The population
+count of two bitmaps' XOR tells precisely how many values differ, and only pairs that may reach the
+limit are compared on their full sets.
 
 No bucket emits all its pairs. In each round every document is held against one
 representative of its buckets, and what is linked becomes one component. Only documents of
@@ -20,41 +21,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visloom.llm.common import Scratch, WordHashes, mix, shingle_hashes, texts_as_bytes
-from visloom.llm.graph import bucket_links, components
+from visloom.llm.graph import bucket_links, components, confirmed
 
 # 40 bands of 5 values: a pair at similarity 0.8 is missed with probability (1 - 0.8^5)^40 = 1.2e-7.
 BANDS, ROWS = 40, 5
 VALUES = BANDS * ROWS
-SKETCH_WORDS = 6  # the odd sketch has 384 bits
+SAMPLES = 2048  # MinHash values in an odd sketch: estimates 0.8 with a deviation of 0.009
+SKETCH_WORDS = 64
 SKETCH_BITS = 64 * SKETCH_WORDS
-STEP = 512  # shingles hashed at once: bounds the memory of a very long text
+DEVIATIONS = 4.5  # a pair at the limit passes its sketch unless it is off by so many standard deviations
+STEP = 1 << 17  # hash values held at once: bounds the memory of a very long text
 
 _seeds = np.random.default_rng(20240229)
-MULTIPLIERS = _seeds.integers(0, 1 << 32, VALUES, dtype=np.uint32) | np.uint32(1)
-OFFSETS = _seeds.integers(0, 1 << 32, VALUES, dtype=np.uint32)
+MULTIPLIERS = _seeds.integers(0, 1 << 32, VALUES + SAMPLES, dtype=np.uint32) | np.uint32(1)
+OFFSETS = _seeds.integers(0, 1 << 32, VALUES + SAMPLES, dtype=np.uint32)
+FOR_BANDS, FOR_SKETCH = slice(0, VALUES), slice(VALUES, None)
 
 
 def most_odd_bits(similarity: float) -> int:
-    """XOR population count up to which a pair may still have ``similarity``.
+    """XOR population count up to which a pair may have ``similarity``.
 
-    Of VALUES MinHash values a share of 1 - similarity differs; each differing value flips two random
-    bits. The limit allows the similarity estimate to be six standard deviations too
-    low (and the bitmap another six), so practically no true pair is lost here.
+    Of the SAMPLES values a share of 1 - similarity differs (binomially), and each of them flips two
+    random bits. The limit is the expected count plus DEVIATIONS standard deviations.
     """
     share = 1 - similarity
-    differing = VALUES * share + 6 * np.sqrt(VALUES * similarity * share)
-    flips = 2 * differing
-    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** flips)
-    return int(expected + 6 * np.sqrt(SKETCH_BITS) / 2)
+    flips = 2 * SAMPLES * share
+    even = np.exp(-2 * flips / SKETCH_BITS)
+    expected = SKETCH_BITS / 2 * (1 - even)
+    sampled = 2 * np.sqrt(SAMPLES * similarity * share) * even
+    folded = np.sqrt(SKETCH_BITS) / 2 * np.sqrt(1 - even * even)
+    return int(expected + DEVIATIONS * np.hypot(sampled, folded))
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """VALUES MinHash values of a non-empty set of 64-bit hashes."""
+def minhash(shingles: np.ndarray, which: slice) -> np.ndarray:
+    """The chosen MinHash values of a non-empty set of 64-bit hashes."""
     keys = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(VALUES, 0xFFFFFFFF, np.uint32)
-    for start in range(0, len(keys), STEP):
-        part = keys[start : start + STEP]
-        np.minimum(least, (MULTIPLIERS[:, None] * part + OFFSETS[:, None]).min(axis=1), out=least)
+    times, plus = MULTIPLIERS[which, None], OFFSETS[which, None]
+    least = np.full(len(times), 0xFFFFFFFF, np.uint32)
+    step = max(1, STEP // len(times))
+    for start in range(0, len(keys), step):
+        np.minimum(least, (times * keys[start : start + step] + plus).min(axis=1), out=least)
     return least
 
 
@@ -69,13 +75,13 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 def odd_sketch(values: np.ndarray) -> np.ndarray:
     """The parity of the number of (place, value) pairs that fall on each bit."""
-    places = np.arange(VALUES, dtype=np.uint64) << np.uint64(32)
+    places = np.arange(len(values), dtype=np.uint64) << np.uint64(32)
     bits = mix(places | values.astype(np.uint64)) % np.uint64(SKETCH_BITS)
     odd = (np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, digest long, digest2 long, keys array<long>, sketch array<long>"
+SIGNED = "doc_id long, n_shingles long, digest long, digest2 long, keys array<long>"
 
 
 def _sets(batch: pa.RecordBatch, width: int, hashes: WordHashes) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -85,7 +91,7 @@ def _sets(batch: pa.RecordBatch, width: int, hashes: WordHashes) -> Iterator[tup
 
 
 def signatures(documents: DataFrame, width: int) -> DataFrame:
-    """Set size, set digest, band keys and odd sketch of every row."""
+    """Set size, set digest and band keys of every row."""
 
     def sign(batches):
         hashes = WordHashes()
@@ -94,14 +100,13 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
             for doc_id, shingles in _sets(batch, width, hashes):
                 n = len(shingles)
                 if n == 0:
-                    rows.append((doc_id, 0, 0, 0, [], []))
+                    rows.append((doc_id, 0, 0, 0, []))
                     continue
-                values = minhash(shingles)
                 digest = np.bitwise_xor.reduce(mix(shingles)).view(np.int64)
                 digest2 = np.add.reduce(mix(shingles ^ np.uint64(0xA0761D6478BD642F))).view(np.int64)
-                rows.append((doc_id, n, int(digest), int(digest2), band_keys(values), odd_sketch(values)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+                rows.append((doc_id, n, int(digest), int(digest2), band_keys(minhash(shingles, FOR_BANDS))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
             names = [field.split()[0] for field in SIGNED.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -109,42 +114,35 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the whole set of each row, as 64-bit hashes."""
+    """(node, shingles, sketch): the whole set of each row as 64-bit hashes, and its odd sketch."""
 
     def fill(batches):
         hashes = WordHashes()
         for batch in batches:
-            pairs = list(_sets(batch, width, hashes))
+            found = [(d, s) for d, s in _sets(batch, width, hashes) if len(s)]
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([d for d, _ in pairs], pa.int64()),
-                    pa.array([s.view(np.int64) for _, s in pairs], pa.list_(pa.int64())),
+                    pa.array([d for d, _ in found], pa.int64()),
+                    pa.array([s.view(np.int64) for _, s in found], lists),
+                    pa.array([odd_sketch(minhash(s, FOR_SKETCH)) for _, s in found], lists),
                 ],
-                ["doc_id", "shingles"],
+                ["node", "shingles", "sketch"],
             )
 
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        fill, "doc_id long, shingles array<long>"
+        fill, "node long, shingles array<long>, sketch array<long>"
     )
 
 
-def _close(sketch_a: str, sketch_b: str, limit: int):
+def _close(limit: int):
     differing = sum(
-        (F.bit_count(F.get(F.col(sketch_a), k).bitwiseXOR(F.get(F.col(sketch_b), k))) for k in range(SKETCH_WORDS)),
+        (F.bit_count(F.get(F.col("sketch_a"), k).bitwiseXOR(F.get(F.col("sketch_b"), k))) for k in range(SKETCH_WORDS)),
         F.lit(0),
     )
     return differing <= limit
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 · |A ∩ B| ≥ percent · |A ∪ B| on their full sets."""
-    with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - shared
-    return with_b.where(100 * shared >= percent * union).select("a", "b")
-
-
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``documents`` (doc_id, text): n_shingles, component_id, kept.
 
@@ -162,28 +160,30 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
 
     # Equal sets: every member is linked to the smallest doc_id of its class.
     classes = usable.groupBy("digest", "digest2").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("s")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("keys", "doc_id").alias("keys")
     )
-    classes = scratch.put(classes.select("digest", "digest2", "rep", "copies", "s.keys", "s.sketch"), "classes")
+    classes = scratch.put(classes, "classes")
     repeated = classes.where("copies > 1").select("digest", "digest2", "rep")
     equal = usable.join(repeated, ["digest", "digest2"]).where("doc_id <> rep")
     equal = equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # Buckets with at least two classes.
-    banded = classes.select(F.explode("keys").alias("key"), F.col("rep").alias("node"))
+    banded = classes.select(F.posexplode("keys").alias("band", "key"), F.col("rep").alias("node"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = scratch.put(shared.where("low < high").select("key"), "shared")
     members = scratch.put(banded.join(shared, "key"), "members")
     involved = scratch.put(members.select(F.col("node").alias("__wanted")).distinct(), "involved")
     wanted = documents.join(involved, documents["doc_id"] == F.col("__wanted"), "left_semi")
     sets = scratch.put(full_sets(wanted, width), "sets")
-    known = classes.join(involved, F.col("rep") == F.col("__wanted"), "left_semi")
-    sketches = scratch.put(known.select(F.col("rep").alias("node"), "sketch"), "sketches")
+    # 32 bits of each band's key tell which bands two documents share.
+    short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("bands")
+    known = classes.join(involved, F.col("rep") == F.col("__wanted"), "left_semi").select(F.col("rep").alias("node"), short)
+    traits = scratch.put(sets.select("node", "sketch").join(known, "node"), "traits")
     links = bucket_links(
         members,
-        sketches,
-        _close("sketch_a", "sketch_b", most_odd_bits(percent / 100)),
-        lambda pairs: confirmed(pairs, sets, percent),
+        traits,
+        _close(most_odd_bits(percent / 100)),
+        lambda pairs, name: confirmed(pairs, sets, percent, scratch, name),
         scratch,
     )
     labels = components(links.union(equal), scratch, "all")
