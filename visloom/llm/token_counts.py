@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from visloom.llm.common import ship
 
-SEGMENTS_KEPT = 600_000
-BATCH_BYTES = 1 << 20
+SEGMENTS_KEPT = 250_000
+BATCH_BYTES = 1 << 17  # text given to the tokenizer at once
 LIMIT = 1024
 DOUBLED = re.compile(r"\s ")
 SAFE = re.compile(r"(?<=\S) ")
@@ -85,7 +85,7 @@ def token_counts(documents: DataFrame, tokenizer: str, limit: int = LIMIT) -> Da
             start = size = 0
             for k, text in enumerate(texts):  # groups of rows balanced by their size
                 size += len(text)
-                if size >= 4 * BATCH_BYTES or k == len(texts) - 1:
+                if size >= 8 * BATCH_BYTES or k == len(texts) - 1:
                     counts += table.counts(texts[start : k + 1])
                     start, size = k + 1, 0
             yield pa.RecordBatch.from_arrays(
