@@ -8,6 +8,7 @@ there are; pieces of a length are numbered and take the plan's places by number.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from visloom.llm.common import Scratch, texts_as_bytes
 CAPACITY = 2048
 END = 0  # id after each document
 SALTS = 64  # groups a length is numbered in
-WORDS_KEPT = 600_000
-BATCH_BYTES = 1 << 20  # text given to the tokenizer at once
+WORDS_KEPT = 300_000
+BATCH_BYTES = 1 << 17  # text given to the tokenizer at once
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, ids binary"
 
@@ -66,6 +67,19 @@ def word_ids(path: str) -> WordIds:
     return _TABLES[path]
 
 
+def by_size(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows of (key, text) in groups of about 8 · BATCH_BYTES of text, so that few words are held at once."""
+    group, size = [], 0
+    for row in rows:
+        group.append(row)
+        size += len(row[1])
+        if size >= 8 * BATCH_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Each text's ids and END, cut into pieces of ``capacity``; the last piece may be shorter.
 
@@ -76,15 +90,16 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         table = word_ids(tokenizer)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [t.split() for t in texts_as_bytes(batch.column(1))]
-            table.learn(set().union(*texts))
             rows = []
-            for doc_id, words in zip(ids, texts, strict=True):
-                whole = b"".join([*map(table.__getitem__, words), end])
-                for piece, at in enumerate(range(0, len(whole), 4 * capacity)):
-                    part = whole[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), None, part if with_ids else None))
+            for group in by_size(zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True)):
+                split = [text.split() for _, text in group]
+                table.learn(set().union(*split))
+                for (doc_id, _), words in zip(group, split, strict=True):
+                    whole = b"".join([*map(table.__getitem__, words), end])
+                    for piece, at in enumerate(range(0, len(whole), 4 * capacity)):
+                        part = whole[at : at + 4 * capacity]
+                        ids = part if with_ids else None
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), None, ids))
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = [field.split()[0] for field in PIECES.split(", ")]
             columns = list(zip(*rows, strict=True)) or [[]] * len(types)
