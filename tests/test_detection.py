@@ -18,7 +18,7 @@ def overlap(a, b):
 
 def brute_pairs(pred, true, threshold):
     return [
-        (t, p, round(overlap(t[3:], p[3:]), 6))
+        (t, p, overlap(t[3:], p[3:]))
         for t in true
         for p in pred
         if t[1:3] == p[1:3] and overlap(t[3:], p[3:]) >= threshold
@@ -52,8 +52,21 @@ def near(rng, box, box_id):
     return (box_id, box[1], box[2], x, y, x + w * rng.uniform(0.6, 1.6), y + h * rng.uniform(0.6, 1.6))
 
 
-@pytest.mark.parametrize("threshold, dense_from", [(0.2, 10**6), (0.5, 10**6), (1.0, 10**6), (0.3, 5), (0.9, 5)])
-def test_matches_equal_brute_force(spark, threshold, dense_from):
+def test_a_crowded_image_does_not_meet_all_its_pairs(spark):
+    """2,000 boxes of side 0.07 in one image: 4,000,000 pairs, some thousand of which overlap."""
+    rng = random.Random(1)
+    rows = [(k, "i", "a", x, y, x + 0.07, y + 0.07) for k in range(2000) for x, y in [(rng.random(), rng.random())]]
+    boxes = spark.createDataFrame(rows, "box_id long, image_id string, label string, x1 double, y1 double, x2 double, y2 double")
+    truth, pred = detection._prepared(boxes, boxes, 0.5)
+    left, right = detection._with_grid(truth, pred, 0.5)
+    grid = ["image_id", "label", "lw", "lh", "cx", "cy"]
+    candidates = left.select(*grid, "truth_id").join(right.select(*grid, "pred_id"), grid).count()
+    overlapping = detection._overlaps(truth, pred, 0.5).count()
+    assert candidates <= 20 * overlapping
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.3, 0.5, 0.9, 1.0])
+def test_matches_equal_brute_force(spark, threshold):
     rng = random.Random(int(threshold * 10))
     true = random_boxes(rng, 150, 0)
     pred = [near(rng, rng.choice(true), 1000 + i) for i in range(250)]
@@ -62,12 +75,12 @@ def test_matches_equal_brute_force(spark, threshold, dense_from):
     true.append((900, "hot", "a", 0.5, 0.5, 0.5, 0.7))
     pred.append((901, "hot", "a", 0.5, 0.5, 0.5, 0.7))
     p, t = spark.createDataFrame(pred, SCHEMA), spark.createDataFrame(true, SCHEMA)
-    got = detection.match_boxes(p, t, threshold, dense_from).collect()
+    got = detection.match_boxes(p, t, threshold).collect()
     assert {(r["truth_id"], r["pred_id"]) for r in got} == brute_matches(pred, true, threshold)
 
     touching = {q[0] for _, q, _ in brute_pairs(pred, true, threshold)}
     matched = brute_matches(pred, true, threshold)
-    scores = {r["image_id"]: r for r in detection.image_scores(p, t, threshold, dense_from=dense_from).collect()}
+    scores = {r["image_id"]: r for r in detection.image_scores(p, t, threshold).collect()}
     for image in ("hot", "img"):
         mine = [q for q in pred if q[1] == image]
         truths = {q[0] for q in true if q[1] == image}
@@ -145,14 +158,13 @@ def test_latest_correction_wins(spark):
     assert got == {"a": ("False", True), "b": ("True", True), "c": ("False", False)}
 
 
-def test_topk_and_its_bound(spark, monkeypatch):
+def test_topk_in_blocks(spark, monkeypatch):
     images = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "image_id bigint, vector array<double>")
     texts = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "text_id bigint, vector array<double>")
     got = evaluation.embedding_topk(images, texts, 3).orderBy("text_id", "rank").collect()
     assert [r["image_id"] for r in got] == [19, 18, 17, 0, 1, 2]
-    monkeypatch.setattr(evaluation, "MAX_TEXTS", 1)
-    with pytest.raises(Exception, match="too many text vectors"):
-        evaluation.embedding_topk(images, texts, 3).collect()
+    monkeypatch.setattr(evaluation, "TEXT_BLOCK", 1)
+    assert evaluation.embedding_topk(images, texts, 3).orderBy("text_id", "rank").collect() == got
 
 
 def test_terms_are_whole_words(spark):
@@ -161,3 +173,7 @@ def test_terms_are_whole_words(spark):
     df = spark.createDataFrame([(1, "A Dog and a television"), (2, "dogma")], "id int, text string")
     got = {(r["id"], r["term"]) for r in evaluation.term_slices(df, "text", ["dog", "television"]).collect()}
     assert got == {(1, "dog"), (1, "television")}
+    odd = spark.createDataFrame([(1, "a.b or c++ (x"), (2, "axb Hot DOG")], "id int, text string")
+    terms = ["a.b", "c++", "(x", "hot dog", "Dog", "dog"]
+    got = {(r["id"], r["term"]) for r in evaluation.term_slices(odd, "text", terms).collect()}
+    assert got == {(1, "a.b"), (1, "c++"), (1, "(x"), (2, "hot dog"), (2, "Dog"), (2, "dog")}

@@ -137,6 +137,8 @@ def test_uid_cache_follows_list_semantics(spark):
     assert listing(uid_cache.cache_add(cache, "a")) == list("abc")
     assert listing(uid_cache.cache_remove(cache, ["b"])) == ["a", "c"]
     assert listing(uid_cache.cache_remove(cache, ["zz"])) == list("abc")
+    assert listing(uid_cache.cache_remove(cache_of(spark, ["a", "b", "a"]), ["a"])) == ["b", "a"]
+    assert uid_cache.members(cache, cache_of(spark, ["a", "a"])).count() == 1
     assert listing(uid_cache.cache_clear(cache)) == []
     assert listing(uid_cache.cache_extend(uid_cache.cache_clear(cache), ["x", "x"])) == ["x"]
     assert [uid_cache.cache_get(cache, i) for i in (0, 4, -1)] == ["a", "b", "c"]
@@ -162,7 +164,7 @@ def test_cache_texts(spark):
     got = {}
     for r in uid_cache.cache_from_text(df).orderBy("f", "position").collect():
         got.setdefault(r["f"], []).append(r["uid"])
-    assert got == {0: ["a", "b"], 3: ["1", "2"]}
+    assert got == {0: ["a", "b", "a"], 3: ["1", "2"]}
 
 
 def test_first_available(spark, scanned):

@@ -11,7 +11,7 @@ def test_dedup_across_batches(spark, tmp_path):
     rows = [("hot", i) for i in range(200)] + [("a", 1), ("b", 2)]
     spark.createDataFrame(rows, schema).repartition(4).write.parquet(folder)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    streams.run_to_files(streams.first_seen(stream, salts=4).select("uid"), f"{tmp_path}/out")
+    streams.run_to_files(streams.first_seen(stream, salts=4).select("uid"), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "hot"]
 
 
@@ -19,7 +19,7 @@ def test_dedup_within_watermark(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = streams.file_stream(spark, sf, "events.parquet", schema).select("ts", F.col("user_id").alias("uid"))
     target = scratch_path(spark, "within")
-    streams.run_to_files(streams.first_seen_within(stream, "ts", "365 days").select("uid"), target)
+    streams.run_to_files(streams.first_seen_within(stream, "ts", "365 days").select("uid"), target, f"{target}-checkpoint")
     users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
     assert spark.read.parquet(target).count() == users
 
@@ -28,9 +28,28 @@ def test_totals_over_several_batches(spark, tmp_path):
     schema = "source string, num_tokens int, total_surprisal_bits double"
     spark.createDataFrame([("s", 2, 0.1)] * 30 + [("t", 1, 0.2)], schema).repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    out = streams.run_totals_table(streams.running_totals(stream, ["source"]), "totals_test")
-    got = {r["source"]: (r["samples"], r["total_tokens"], r["total_surprisal_bits"]) for r in out.collect()}
-    assert got == {"s": (30, 60, 3.0), "t": (1, 1, 0.2)}
+
+    def totals():
+        out = streams.run_totals_to_files(
+            streams.running_totals(stream, ["source"]), f"{tmp_path}/totals", f"{tmp_path}/checkpoint"
+        )
+        return {r["source"]: (r["samples"], r["total_tokens"], round(r["total_surprisal_bits"], 6)) for r in out.collect()}
+
+    assert totals() == {"s": (30, 60, 3.0), "t": (1, 1, 0.2)}
+    assert totals() == {"s": (30, 60, 3.0), "t": (1, 1, 0.2)}  # nothing new
+    spark.createDataFrame([("t", 2, 0.5)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    assert totals() == {"s": (30, 60, 3.0), "t": (2, 3, 0.7)}
+
+
+def test_restart_takes_up_new_files_once(spark, tmp_path):
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    spark.range(5).write.parquet(folder)
+    stream = spark.readStream.schema("id long").parquet(folder)
+    streams.run_to_files(stream, out, f"{tmp_path}/checkpoint")
+    spark.range(5, 12).write.mode("append").parquet(folder)
+    streams.run_to_files(stream, out, f"{tmp_path}/checkpoint")
+    streams.run_to_files(stream, out, f"{tmp_path}/checkpoint")
+    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(12))
 
 
 def test_shared_dir_needs_a_setting_on_a_cluster(spark, monkeypatch):

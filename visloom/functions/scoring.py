@@ -39,5 +39,5 @@ def bits_to_nats(bits: Column) -> Column:
 
 
 def exact(value: Column) -> Column:
-    """Six-digit decimal, so that sums do not depend on the order of the rows."""
-    return F.round(value, 6).cast("decimal(28,6)")
+    """A decimal with 15 places, as many as doubles near 1 have: sums do not depend on the order of the rows."""
+    return value.cast("decimal(38,15)")

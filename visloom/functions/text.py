@@ -31,8 +31,9 @@ def tokens(text: Column) -> Column:
 
 
 def hashed_token_id(token: Column) -> Column:
-    """Stable positive id below 2**28 from the token's md5; 0 stays free for padding."""
-    return (F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("int") + F.lit(1)).cast("int")
+    """Stable positive id from 63 bits of the token's md5; 0 stays free for padding."""
+    half = lambda start: F.conv(F.substring(F.md5(token), start, 8), 16, 10).cast("bigint")
+    return F.greatest(half(1) * (1 << 31) + F.shiftright(half(9), 1), F.lit(1))
 
 
 def order_key(seed: int, key: Column) -> Column:
@@ -41,11 +42,12 @@ def order_key(seed: int, key: Column) -> Column:
 
 
 def example_uid(uid: Column, identifier: Column, id_: Column) -> Column:
-    """First usable of uid, identifier, id; empty and zero count as unusable except for id."""
+    """First usable of uid, identifier, id; the empty string and the number zero are unusable except for id."""
 
     def usable(value: Column) -> Column:
         text = value.cast("string")
-        return F.when(~text.isin("", "0"), text)
+        zero = (F.typeof(value) != "string") & F.coalesce(text.try_cast("double") == 0, F.lit(False))
+        return F.when((text != "") & ~zero, text)
 
     return F.coalesce(usable(uid), usable(identifier), id_.cast("string"))
 

@@ -61,7 +61,7 @@ def pair_bits(table: DataFrame, alpha: float = 1.0) -> DataFrame:
     wanted = table.where(F.col("asked") > 0)
     joined = spread_join(wanted, contexts, ["prev"], "left", spread=["token"])
     p = (F.col("n") + F.lit(alpha)) / (F.coalesce("prev_n", F.lit(0)) + F.lit(alpha) * vocabulary)
-    return joined.select("prev", "token", "asked", F.round(-F.log2(p), 6).alias("surprisal_bits"))
+    return joined.select("prev", "token", "asked", (-F.log2(p)).alias("surprisal_bits"))
 
 
 def score_pairs(pairs: DataFrame, bits: DataFrame, table: DataFrame) -> DataFrame:

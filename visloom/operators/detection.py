@@ -9,15 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visloom.functions.boxes import iou
-from visloom.operators.positions import random_positions, rerank
+from visloom.operators.positions import random_positions
 from visloom.session import materialized
 
 GROUP = ["image_id", "label"]
 COORDS = ["x1", "y1", "x2", "y2"]
-# Distinct boxes of one label in one image from which all-at-once search gets costly,
-# and the strict thresholds tried first in that case.
-DENSE_FROM = 20_000
-DENSE_STEPS = (0.999, 0.99, 0.9)
+RATIO = 2.0  # largest over smallest side of one size level of the grid
 
 
 def _distinct_boxes(boxes: DataFrame, name: str) -> DataFrame:
@@ -94,9 +91,8 @@ def _overlaps(truth: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
     left = keyed_truth.select(*grid, "truth_id", packed("t"))
     right = keyed_pred.select(*grid, "pred_id", packed("p"))
     overlap = iou(F.col("t"), F.col("p"))
-    # Rounding comes after the threshold so that it cannot lift a pair over it.
     return left.join(right, grid).where(overlap >= threshold).select(
-        *GROUP, "truth_id", "pred_id", F.round(overlap, 6).alias("iou")
+        *GROUP, "truth_id", "pred_id", overlap.alias("iou")
     )
 
 
@@ -107,64 +103,15 @@ def _best(pairs: DataFrame, of: str, other: str) -> DataFrame:
     return chosen.select(*GROUP, of, (-F.col("best.neg")).alias(other), "best.iou")
 
 
-def _is_dense(truth: DataFrame, pred: DataFrame, limit: int) -> bool:
-    """Whether some (image, label) group is large on both sides; one number comes back."""
-    sizes = (
-        truth.select(*GROUP, F.lit(1).alias("a"), F.lit(0).alias("b"))
-        .unionByName(pred.select(*GROUP, F.lit(0).alias("a"), F.lit(1).alias("b")))
-        .groupBy(*GROUP)
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    )
-    return not sizes.where(F.least("a", "b") > limit).isEmpty()
-
-
-def _steps(threshold: float) -> list[float]:
-    return [s for s in DENSE_STEPS if s > threshold] + [threshold]
-
-
-def _stepwise(truth: DataFrame, pred: DataFrame, threshold: float, of: str, other: str) -> DataFrame:
-    """Best pair of each ``of``, found from strict to loose thresholds.
-
-    In a crowded image a box has a very close partner, which the fine grid of a strict
-    threshold finds among few candidates; such boxes leave before the coarser grids,
-    so a crowded group never meets all its pairs. A box with any pair at a step has its
-    best pair there, hence the outcome is that of one pass at the final threshold.
-    """
-    found = []
-    for step in _steps(threshold):
-        last = step == threshold
-        # Pairs that round to the same IoU must compete in the same step.
-        best = _best(_overlaps(truth, pred, step if last else step - 2e-6), of, other)
-        if not last:
-            best = materialized(best.where(F.col("iou") >= step), "box-step")
-            done = best.select(of)
-            if of == "truth_id":
-                truth = truth.join(done, of, "left_anti")
-            else:
-                pred = pred.join(done, of, "left_anti")
-        found.append(best)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def match_boxes(
-    pred: DataFrame, true: DataFrame, threshold: float = 0.5, dense_from: int = DENSE_FROM
-) -> DataFrame:
+def match_boxes(pred: DataFrame, true: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-to-one matches (image_id, label, truth_id, pred_id, iou) of equal label.
 
     Every truth picks its best prediction (largest IoU, then smallest id); a prediction
     picked by several truths goes to the best of them. This greedy rule is repeatable
     but not an optimal assignment. Inputs hold box_id, image_id, label, x1, y1, x2, y2.
-    Groups of more than ``dense_from`` distinct boxes on both sides switch to the
-    stepwise search.
     """
     truths, preds = _prepared(pred, true, threshold)
-    if _is_dense(truths, preds, dense_from):
-        chosen = _stepwise(truths, preds, threshold, "truth_id", "pred_id")
-    else:
-        chosen = _best(_overlaps(truths, preds, threshold), "truth_id", "pred_id")
+    chosen = _best(_overlaps(truths, preds, threshold), "truth_id", "pred_id")
     return _best(chosen, "pred_id", "truth_id")
 
 
@@ -181,7 +128,6 @@ def image_scores(
     duplicate_penalty: float = 0.5,
     wrong_penalty: float = 0.5,
     call_cost: float = 0.0,
-    dense_from: int = DENSE_FROM,
 ) -> DataFrame:
     """Per image: truths, predictions, matches, duplicates, wrong boxes and the reward.
 
@@ -189,13 +135,9 @@ def image_scores(
     duplicate, any other is wrong. Copies are counted, never multiplied out. The
     overlapping pairs serve two aggregations and are written once.
     """
-    truths, preds = _prepared(pred, true, threshold)
-    if _is_dense(truths, preds, dense_from):
-        chosen = _stepwise(truths, preds, threshold, "truth_id", "pred_id")
-        touched = _stepwise(truths, preds, threshold, "pred_id", "truth_id")
-    else:
-        touched = materialized(_overlaps(truths, preds, threshold), "box-pairs")
-        chosen = _best(touched, "truth_id", "pred_id")
+    truths, preds = (materialized(side, "boxes") for side in _prepared(pred, true, threshold))
+    touched = materialized(_overlaps(truths, preds, threshold), "box-pairs")
+    chosen = _best(touched, "truth_id", "pred_id")
     matches = _best(chosen, "pred_id", "truth_id")
     touching = touched.select("pred_id").distinct().withColumn("touches", F.lit(True))
     matched = matches.groupBy("image_id").agg(F.count(F.lit(1)).alias("matched"))
@@ -254,18 +196,15 @@ def episode_metrics(episodes: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def box_transcripts(boxes: DataFrame, per_part: int = 256) -> DataFrame:
-    """Tool-call text naming the boxes of each image in order of their ids.
+def box_transcripts(boxes: DataFrame) -> DataFrame:
+    """Tool-call text naming the boxes of each image in order of their ids, one row per image.
 
-    One row (image_id, part, transcript, n_boxes) per ``per_part`` boxes, so nearly
-    every image has a single part and no group grows with the data. The last line asks
-    for the labelled image.
+    (image_id, transcript, n_boxes); the last line asks for the labelled image. A
+    transcript is one training sequence, so an image's lines meet in its row.
     """
     line = F.format_string("<label_tool>%s %.4f %.4f %.4f %.4f</label_tool>", "label", *COORDS)
-    placed = rerank(boxes.select("image_id", "box_id", line.alias("line")), "box_id", "place", ("image_id",))
-    parts = placed.withColumn("part", F.floor(F.col("place") / per_part))
-    ordered = F.array_sort(F.collect_list(F.struct("place", "line")))
-    return parts.groupBy("image_id", "part").agg(
+    ordered = F.array_sort(F.collect_list(F.struct("box_id", "line")))
+    return boxes.select("image_id", "box_id", line.alias("line")).groupBy("image_id").agg(
         F.concat(
             F.array_join(F.transform(ordered, lambda e: e["line"]), "\n"), F.lit("\n<labeled_image>")
         ).alias("transcript"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,7 @@ from visloom.functions.answers import WORD_END, WORD_START, true_false
 from visloom.functions.boxes import contains
 from visloom.operators.joins import spread_join
 
-# Text vectors that may travel next to the image scan.
-MAX_TEXTS = 10_000
+TEXT_BLOCK = 1000  # text vectors that meet an image at once
 
 
 def join_predictions(predictions: DataFrame, gold: DataFrame) -> DataFrame:
@@ -97,13 +97,30 @@ def hard_subset(judged: DataFrame, at_most: float = 0.5, key: str = "uid") -> Da
 def term_slices(df: DataFrame, text: str, terms: Sequence[str]) -> DataFrame:
     """One row per (row, term it mentions as a whole word), any letter case.
 
-    The terms are a short list kept in the expression, so there is nothing to join.
+    A text is cut into words once and its words are looked up among the one-word terms;
+    only terms of several words or with other characters search the text themselves.
     """
-    terms = list(terms)
-    if len(terms) > 1000:
-        raise ValueError("at most 1000 terms")
-    hits = [F.when(F.col(text).rlike(rf"(?i){WORD_START}{t}{WORD_END}"), F.lit(t)) for t in terms]
-    return df.withColumn("term", F.explode(F.array_compact(F.array(*hits))))
+    single = {t: t.lower() for t in terms if re.fullmatch(r"\w+", t)}
+    found = []
+    if single:
+        words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+        spelled: dict[str, list[str]] = {}
+        for term, low in single.items():
+            spelled.setdefault(low, []).append(term)
+        known = F.create_map(*[x for low, all_ in spelled.items() for x in (F.lit(low), F.array(*map(F.lit, all_)))])
+        hits = F.array_intersect(words, F.array(*map(F.lit, spelled)))
+        found.append(F.flatten(F.transform(hits, lambda w: F.try_element_at(known, w))))
+    other = [
+        F.when(F.col(text).rlike(rf"(?i){WORD_START}{quoted(t)}{WORD_END}"), F.lit(t)) for t in terms if t not in single
+    ]
+    if other:
+        found.append(F.array_compact(F.array(*other)))
+    return df.withColumn("term", F.explode(F.concat(*found) if found else F.array().cast("array<string>")))
+
+
+def quoted(term: str) -> str:
+    """A term as a pattern for itself."""
+    return re.sub(r"([^\w\s])", r"\\\1", term)
 
 
 def apply_corrections(predictions: DataFrame, corrections: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -136,25 +153,21 @@ def embedding_topk(
 ) -> DataFrame:
     """For each text vector the ``k`` images with the largest inner product.
 
-    The text vectors travel as one array value next to the image scan; their number is
-    checked while that value is built, and too many fail the query instead of filling
-    memory. Each task keeps only its own best ``k`` per text before the shuffle.
+    The text vectors, the stated queries, are dealt into blocks of about TEXT_BLOCK by a hash of
+    their id; every block meets every image, and each task keeps only its own best
+    ``k`` per text before the shuffle. Ties go to the smaller image id.
     """
-    packed = F.collect_list(F.struct(F.col(text_id).alias("id"), F.col("vector").alias("v")))
-    # Counting first keeps the list itself within the bound.
     count = texts.agg(F.count(F.lit(1))).scalar()
-    guarded = texts.where(
-        F.when(count <= MAX_TEXTS, True).otherwise(F.raise_error(F.lit("too many text vectors")).cast("boolean"))
+    place = F.pmod(F.xxhash64(text_id), F.ceil((count + 1) / TEXT_BLOCK))
+    blocks = texts.groupBy(place.alias("__block")).agg(
+        F.collect_list(F.struct(F.col(text_id).alias("id"), F.col("vector").alias("v"))).alias("__q")
     )
-    queries = guarded.agg(packed).scalar()
 
     def score(q: Column) -> Column:
         products = F.zip_with(q["v"], F.col("vector"), lambda a, b: a * b)
-        return F.struct(
-            q["id"].alias(text_id),
-            F.round(F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x), 6).alias("score"),
-        )
+        total = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+        return F.struct(q["id"].alias(text_id), total.alias("score"))
 
-    scored = images.withColumn("__q", queries).select(image_id, F.inline(F.transform("__q", score)))
+    scored = images.crossJoin(blocks).select(image_id, F.inline(F.transform("__q", score)))
     best = Window.partitionBy(text_id).orderBy(F.desc("score"), image_id)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 HOT_KEYS = 65_536
 MAX_SALTS = 65_536
-MAX_LIST = 100_000
+SMALL_LIST = 100_000  # longer lists are tables like any other, not broadcast
 
 
 def spread_join(
@@ -29,12 +29,11 @@ def spread_join(
     """Join ``left`` to a ``right`` side that has one row per key, salting hot left keys.
 
     The keys with ``hot_rows`` rows or more, the largest ``hot_keys`` of them, are found
-    by a map-side combined count, so any other key has fewer than ``hot_rows`` rows or
-    less than 1/``hot_keys`` of the table. Each hot key gets salts in proportion to its
-    rows: its left rows are dealt out by a hash of the ``spread`` columns, its right row
-    is copied once per salt. ``sizes`` may hand in the rows per key (keys, ``rows``)
-    when they are known already. The key list is broadcast; its size is bounded by the
-    limit. Null keys match nothing and are dealt out as well.
+    by one map-side combined count over the keys of ``left``, or taken from ``sizes`` (keys,
+    ``rows``), so any other key has fewer than ``hot_rows`` rows or less than 1/``hot_keys`` of the
+    table. Usually there are none, and the join is a plain one. Each hot key gets salts in
+    proportion to its rows: its left rows are dealt out by a hash of the ``spread`` columns,
+    its right row is copied once per salt. Null keys match nothing and are dealt out as well.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
@@ -42,34 +41,33 @@ def spread_join(
     any_null = F.lit(False)
     for key in on:
         any_null = any_null | F.col(key).isNull()
+    digest = F.xxhash64(*[F.col(c) for c in (spread or left.columns)])
+    null_salt = F.when(any_null, F.pmod(digest, F.lit(max_salts)) + 1)
     if sizes is None:
         sizes = left.where(~any_null).groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
     salts = F.least(F.ceil(F.col("rows") / hot_rows), F.lit(max_salts)).cast("int")
-    hot = F.broadcast(
-        sizes.where(F.col("rows") >= hot_rows)
-        .orderBy(F.desc("rows"), *on)
-        .limit(hot_keys)
-        .select(*on, salts.alias("__salts"))
-    )
-    digest = F.xxhash64(*[F.col(c) for c in (spread or left.columns)])
-    dealt = F.coalesce("__salts", F.when(any_null, F.lit(max_salts)))
+    largest = sizes.where(F.col("rows") >= hot_rows).orderBy(F.desc("rows"), *on).limit(hot_keys)
+    largest = largest.select(*on, salts.alias("__salts"))
+    found = largest.collect()
+    if not found:
+        # Only the left rows without a key are dealt out; they find no partner anywhere.
+        if how == "inner":
+            return left.join(right, on)
+        asking = left.withColumn("__salt", F.coalesce(null_salt, F.lit(0)).cast("int"))
+        return asking.join(right.withColumn("__salt", F.lit(0)), [*on, "__salt"], how).drop("__salt")
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, largest.schema))
     asking = left.join(hot, on, "left").withColumn(
-        "__salt", F.when(dealt.isNotNull(), F.pmod(digest, dealt)).otherwise(0).cast("int")
+        "__salt",
+        F.when(F.col("__salts").isNotNull(), F.pmod(digest, F.col("__salts"))).otherwise(F.coalesce(null_salt, F.lit(0))).cast("int"),
     )
     answers = right.join(hot, on, "left").withColumn(
-        "__salt",
-        F.explode(
-            F.when(F.col("__salts").isNotNull(), F.sequence(F.lit(0), F.col("__salts") - 1)).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts") - 1, F.lit(0))))
     )
     return asking.drop("__salts").join(answers.drop("__salts"), [*on, "__salt"], how).drop("__salt")
 
 
 def listed(spark, column: str, values: Sequence, type_: str = "string") -> DataFrame:
-    """A caller's list as a table (pos, column), broadcastable because its length is checked."""
+    """A caller's list as a table (pos, column); broadcast if its length is small."""
     values = list(values)
-    if len(values) > MAX_LIST:
-        raise ValueError(f"{len(values)} values given, at most {MAX_LIST}; pass a DataFrame instead")
-    return spark.createDataFrame(list(enumerate(values)), f"pos bigint, {column} {type_}")
+    rows = spark.createDataFrame(list(enumerate(values)), f"pos bigint, {column} {type_}")
+    return F.broadcast(rows) if len(values) <= SMALL_LIST else rows

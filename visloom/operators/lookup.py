@@ -26,18 +26,19 @@ def fetch_by_uid(df: DataFrame, uid: str, limit: int | None = None):
     """The row itself; ``KeyError`` when the slice does not hold the uid."""
     rows = find_by_uid(df, uid, limit).take(1)
     if not rows:
-        raise KeyError(f"UID {uid} not found in provided dataset slice")
+        raise KeyError(f"no row of the slice has the uid {uid!r}")
     return rows[0]
 
 
 def first_by_uid(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row per wanted uid, the one with the lowest position.
 
-    The positions are found on two narrow columns with map-side combining; whole rows
-    are fetched by the unique position, so a uid with many copies costs nothing extra.
+    A short list is broadcast and filters the scan. Of a uid's copies each task keeps one, so
+    only about as many rows are shuffled as uids are wanted.
     """
-    first = df.groupBy("uid").agg(F.min("index").alias("index")).join(wanted, "uid", "left_semi")
-    return df.join(first.select("index"), "index", "left_semi")
+    matches = df.join(wanted, "uid", "left_semi")
+    first = matches.groupBy("uid").agg(F.min_by(F.struct(*df.columns), "index").alias("__row"))
+    return first.select("__row.*")
 
 
 def _require(df: DataFrame, found: Column, message: Column) -> DataFrame:
@@ -55,7 +56,7 @@ def lookup_uids(df: DataFrame, uids: Sequence[str] | DataFrame, strict: bool = T
         requests, wanted = uids, uids.select("uid").distinct()
     else:
         requests = listed(df.sparkSession, "uid", uids)
-        wanted = F.broadcast(requests.select("uid").distinct())
+        wanted = listed(df.sparkSession, "uid", sorted(set(uids))).select("uid")
     matches = first_by_uid(df, wanted).withColumn("found", F.lit(True))
     out = spread_join(requests, matches, ["uid"], "left", spread=["pos"])
     if strict:
@@ -73,9 +74,19 @@ def parsed_ids(ids: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def lookup_sample_ids(df: DataFrame, ids: Sequence[str] | DataFrame, strict: bool = True) -> DataFrame:
-    """Rows of (dataset, config, split, index) for the given sample ids."""
-    requests = ids if isinstance(ids, DataFrame) else listed(df.sparkSession, "sample_id", ids)
+    """Rows of (dataset, config, split, index) for the given sample ids.
+
+    The parts of a list of ids go into the scan as filters, so stored data is pruned by its
+    partition columns; a table of ids is joined.
+    """
     keys = ["dataset", "config", "split", "index"]
+    if isinstance(ids, DataFrame):
+        requests = ids
+    else:
+        requests = listed(df.sparkSession, "sample_id", ids)
+        parts = [x.split(":") for x in ids]
+        for k, key in enumerate(keys[:3]):
+            df = df.where(F.col(key).isin(sorted({p[k] for p in parts if len(p) == 4})))
     wanted = parsed_ids(requests, strict).where(F.col("index").isNotNull())
     return spread_join(wanted, df, keys, "inner", spread=requests.columns)
 

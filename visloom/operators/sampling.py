@@ -30,8 +30,8 @@ def shuffle(
 
 
 def take(df: DataFrame, n: int, order: str = "position") -> DataFrame:
-    """First ``n`` rows by position (a top-n per task, then a merge; no full sort)."""
-    return df.orderBy(order).limit(n)
+    """The first ``n`` rows by a dense position (0, 1, 2, …): a filter, in the order the data has."""
+    return df.where(F.col(order) < n)
 
 
 def skip_limit(df: DataFrame, skip: int = 0, limit: int | None = None, index: str = "index") -> DataFrame:
@@ -51,5 +51,21 @@ def materialize(df: DataFrame, limit: int | None, *, lazy: bool = False, index:
 
 
 def sample_n(df: DataFrame, n: int, index: str = "index", seed: int = 42) -> DataFrame:
-    """``n`` random rows without replacement, or all rows when there are fewer."""
-    return df.orderBy(order_key(seed, F.col(index)), index).limit(n)
+    """``n`` random rows without replacement, or all rows when there are fewer.
+
+    The rows with the smallest hashes: buckets of hash prefixes are counted (at most 65,536 of them),
+    all rows of the lower buckets are in, and only the last bucket is ordered.
+    """
+    hashed = df.withColumn("__hash", order_key(seed, F.col(index)))
+    bucket = F.substring("__hash", 1, 4)
+    counts = sorted(tuple(r) for r in hashed.groupBy(bucket.alias("b")).count().collect())
+    before, last = 0, None
+    for name, rows in counts:
+        if before + rows > n:
+            last = name
+            break
+        before += rows
+    if last is None:
+        return df
+    rest = hashed.where(bucket == last).orderBy("__hash", index).limit(n - before)
+    return hashed.where(bucket < last).unionByName(rest).drop("__hash")

@@ -69,8 +69,8 @@ def sample_surprisal(
     """
     image = F.lit(False) if is_image is None else F.coalesce(is_image, F.lit(False))
     times = F.lit(1) if weight is None else F.col(weight)
-    bits = exact(F.col("surprisal_bits")) * times.cast("decimal(10,0)")
-    none = F.lit(0).cast("decimal(10,0)")
+    bits = exact(F.col("surprisal_bits") * times.cast("double"))
+    none = exact(F.lit(0.0))
     sums = tokens.groupBy("sample_id").agg(
         F.sum(times).cast("bigint").alias("num_tokens"),
         F.sum(F.when(image, times).otherwise(0)).cast("bigint").alias("num_image_tokens"),

@@ -18,14 +18,14 @@ def parse_cache_text(text: Column) -> Column:
 
 
 def cache_from_text(df: DataFrame, text: str = "text") -> DataFrame:
-    """Cache rows of stored JSON texts; a uid repeated within one text keeps its first place."""
+    """Cache rows of stored JSON texts, as the texts have them: repeated uids stay."""
     keys = [c for c in df.columns if c != text]
-    uids = F.array_distinct(parse_cache_text(F.col(text)))
-    return df.select(*keys, F.posexplode(uids).alias("position", "uid"))
+    return df.select(*keys, F.posexplode(parse_cache_text(F.col(text))).alias("position", "uid"))
 
 
 def _flagged(df: DataFrame, cache: DataFrame, how: str) -> DataFrame:
-    return spread_join(df, cache.select("uid", F.lit(True).alias("__cached")), ["uid"], how)
+    cached = cache.groupBy("uid").agg(F.lit(True).alias("__cached"))  # repeats in the cache match once
+    return spread_join(df, cached, ["uid"], how)
 
 
 def members(df: DataFrame, cache: DataFrame) -> DataFrame:
@@ -53,10 +53,11 @@ def cache_add(cache: DataFrame, uid: str) -> DataFrame:
 
 
 def cache_remove(cache: DataFrame, uids: DataFrame | Sequence[str]) -> DataFrame:
-    """Drop uids and let later positions move up."""
+    """Drop the first place of each uid and let later positions move up."""
     if not isinstance(uids, DataFrame):
-        uids = F.broadcast(listed(cache.sparkSession, "uid", uids))
-    kept = cache.join(uids.select("uid"), "uid", "left_anti")
+        uids = listed(cache.sparkSession, "uid", uids)
+    first = cache.join(uids.select("uid"), "uid", "left_semi").groupBy("uid").agg(F.min("position").alias("position"))
+    kept = cache.join(first.select("position"), "position", "left_anti")
     return rerank(kept.withColumnRenamed("position", "__pos"), "__pos", "position").select("position", "uid")
 
 

@@ -176,9 +176,9 @@ def box_iou(spark, sf):
     )
 
 
-@query("box_match", fx.with_ctes(*MATCH, select="SELECT image_id, label, truth_id, pred_id, iou FROM matches"))
+@query("box_match", fx.with_ctes(*MATCH, select="SELECT image_id, label, truth_id, pred_id, round(iou, 6) AS iou FROM matches"))
 def box_match(spark, sf):
-    return detection.match_boxes(fx.boxes_pred(spark, sf), fx.boxes_true(spark, sf))
+    return rounded(detection.match_boxes(fx.boxes_pred(spark, sf), fx.boxes_true(spark, sf)))
 
 
 def _scores(spark, sf) -> DataFrame:
@@ -240,13 +240,13 @@ def episode_metrics(spark, sf):
     "box_transcripts",
     fx.with_ctes(
         fx.SQL_BOXES_TRUE,
-        select="""SELECT image_id, part, concat(string_agg(printf('<label_tool>%s %.4f %.4f %.4f %.4f</label_tool>', label, x1, y1, x2, y2),
+        select="""SELECT image_id, concat(string_agg(printf('<label_tool>%s %.4f %.4f %.4f %.4f</label_tool>', label, x1, y1, x2, y2),
   chr(10) ORDER BY box_id), chr(10), '<labeled_image>') AS transcript, count(*) AS n_boxes
-FROM (SELECT *, (row_number() OVER (PARTITION BY image_id ORDER BY box_id) - 1) // 2 AS part FROM truth) GROUP BY image_id, part""",
+FROM truth GROUP BY image_id""",
     ),
 )
 def box_transcripts(spark, sf):
-    return detection.box_transcripts(fx.boxes_true(spark, sf), per_part=2)
+    return detection.box_transcripts(fx.boxes_true(spark, sf))
 
 
 @query(

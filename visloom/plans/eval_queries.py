@@ -205,9 +205,9 @@ def sink_append_log(spark, sf):
 texts AS (
   SELECT label AS text_id, list(m ORDER BY d) AS v FROM (SELECT label, d, round(avg(x), 6) AS m FROM dims GROUP BY label, d) GROUP BY label),
 scored AS (
-  SELECT text_id, vec_id AS image_id, round(list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * embedding[i]::DOUBLE)), 6) AS score
+  SELECT text_id, vec_id AS image_id, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * embedding[i]::DOUBLE)) AS score
   FROM embeddings CROSS JOIN texts)
-SELECT text_id, image_id, score, rank FROM (
+SELECT text_id, image_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, image_id)::INT AS rank FROM scored) WHERE rank <= 5""",
 )
 def embedding_topk(spark, sf):
@@ -222,7 +222,7 @@ def embedding_topk(spark, sf):
         .select(F.col("label").alias("text_id"), F.transform("dims", lambda e: e["m"]).alias("vector"))
     )
     images = vectors.select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return evaluation.embedding_topk(images, means, 5)
+    return rounded(evaluation.embedding_topk(images, means, 5))
 
 
 # --- uid caches -------------------------------------------------------------
@@ -244,7 +244,7 @@ SQL_TEXTS = """texts AS (
       SELECT conv_id, turn, CASE WHEN turn % 5 IN (0, 3) THEN from_json(text, '["VARCHAR"]') ELSE []::VARCHAR[] END AS u FROM texts))
   WHERE uid IS NOT NULL)""",
         select="""SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1)::INT AS position, uid
-FROM (SELECT conv_id, turn, uid, min(i) AS i FROM items GROUP BY conv_id, turn, uid)""",
+FROM items""",
     ),
 )
 def uid_cache_load(spark, sf):

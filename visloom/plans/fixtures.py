@@ -6,7 +6,7 @@ same view as common table expressions for the result check.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visloom.functions import chat
@@ -143,28 +143,38 @@ PAIRS_CTES = (SQL_RAW, SQL_KEYED, SQL_PAIRS)
 # --- GUI actions ------------------------------------------------------------
 
 
+# Turns of one conversation that one task looks at together; their texts are not among them.
+TURN_CHUNK = 1024
+
+
 def _exchanges(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per assistant turn with the user turn before it and a system turn before that.
+    """One row per assistant turn with the latest earlier user turn and its conversation's system text.
 
-    The three turns are sent to the place of the answer and meet in one aggregation on
-    (conv_id, turn), so a conversation of any length is spread over tasks.
+    Which user turn belongs to an answer is worked out on (conv_id, turn, role) in chunks of
+    turns; one row per chunk carries what earlier chunks and the system turn have to say.
+    Texts meet on (conv_id, turn), so a conversation of any length is spread over tasks.
     """
     turns = table(spark, sf, "conversations")
-    role = F.col("role")
-    shift = F.when(role == "user", 1).when(role == "system", 2).otherwise(0)
+    asked = F.when(F.col("role") == "user", F.col("turn"))
+    keyed = turns.select("conv_id", "turn", "role", F.floor(F.col("turn") / TURN_CHUNK).alias("chunk"))
+    earlier = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = keyed.groupBy("conv_id", "chunk").agg(F.max(asked).alias("last"))
+    chunks = chunks.select("conv_id", "chunk", F.max("last").over(earlier).alias("before"))
+    system = turns.where(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("text", "turn").alias("system"))
+    inside = Window.partitionBy("conv_id", "chunk").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        keyed.withColumn("here", F.max(asked).over(inside))
+        .where(F.col("role") == "assistant")
+        .join(chunks.join(system, "conv_id", "left"), ["conv_id", "chunk"])
+        .select("conv_id", "turn", F.coalesce("here", "before").alias("user_turn"), "system")
+    )
 
-    def only(name: str) -> Column:
-        return F.max(F.when(role == name, F.col("text")))
+    def said(role: str, turn: str) -> DataFrame:
+        rows = turns.where(F.col("role") == role)
+        return rows.groupBy("conv_id", F.col("turn").alias(turn)).agg(F.max("text").alias(role))
 
-    return (
-        turns.groupBy("conv_id", (F.col("turn") + shift).alias("turn"))
-        .agg(
-            only("system").alias("system"),
-            only("user").alias("user"),
-            only("assistant").alias("assistant"),
-        )
-        .where(F.col("assistant").isNotNull())
-    )
+    answered = placed.join(said("assistant", "turn"), ["conv_id", "turn"])
+    return answered.join(said("user", "user_turn"), ["conv_id", "user_turn"], "left").drop("user_turn")
 
 
 def _coordinates() -> list[Column]:
@@ -251,9 +261,11 @@ SQL_GUI = """gui AS (
       CASE WHEN a.conv_id % 5 >= 2 THEN coalesce(s.text, '') END AS sys,
       CASE WHEN a.conv_id % 3 <> 0 THEN concat('web', a.conv_id % 7) END AS raw_source,
       (1280 + (a.conv_id * 37) % 640)::INT AS width, (720 + (a.conv_id * 53) % 360)::INT AS height
-    FROM conversations a
-    LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 AND u.role = 'user'
-    LEFT JOIN conversations s ON s.conv_id = a.conv_id AND s.turn = a.turn - 2 AND s.role = 'system'
+    FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS user_turn FROM conversations) a
+    LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.user_turn
+    LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id) s
+      ON s.conv_id = a.conv_id
     WHERE a.role = 'assistant'))"""
 
 SQL_GUI_ID = """gui_id AS (
@@ -396,7 +408,7 @@ def sql_iou(a: str, b: str) -> str:
 
 
 SQL_MATCHES = f"""touching_pairs AS (
-  SELECT t.image_id, t.label, t.box_id AS truth_id, p.box_id AS pred_id, round({sql_iou('t', 'p')}, 6) AS iou
+  SELECT t.image_id, t.label, t.box_id AS truth_id, p.box_id AS pred_id, {sql_iou('t', 'p')} AS iou
   FROM truth t JOIN pred p ON p.image_id = t.image_id AND p.label = t.label AND {sql_iou('t', 'p')} >= 0.5),
 by_truth AS (
   SELECT *, row_number() OVER (PARTITION BY truth_id ORDER BY iou DESC, pred_id) AS rt FROM touching_pairs),

@@ -279,7 +279,7 @@ def prompt_response_split(spark, sf):
 
 
 SQL_IDS = """ids AS (
-  SELECT *, list_transform(toks, lambda t: ('0x' || substr(md5(t), 1, 7))::INT + 1) AS ids FROM gui_tok)"""
+  SELECT *, list_transform(toks, lambda t: greatest((('0x' || substr(md5(t), 1, 16))::UBIGINT // 2)::BIGINT, 1)) AS ids FROM gui_tok)"""
 
 
 def _joined(column: str):

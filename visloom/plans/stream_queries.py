@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from visloom.functions import text as tx
 from visloom.functions.scoring import target_logprob
 from visloom.operators import surprisal
 from visloom.operators.pairs import normalize_pairs
@@ -40,7 +37,7 @@ def stream_normalize(spark, sf):
     pairs = normalize_pairs(raw, split=fx.SPLIT, strict=False)
     records = pairs.select("doc_id", "uid", "sentence", "label", F.get("metadata.images", 0)["slot"].alias("slot"))
     folder = scratch_path(spark, "stream-pairs")
-    streams.run_to_files(records, folder)
+    streams.run_to_files(records, folder, f"{folder}-checkpoint")
     return spark.read.schema(records.schema).parquet(folder)
 
 
@@ -49,7 +46,7 @@ def stream_normalize(spark, sf):
     fx.with_ctes(
         fx.SQL_LOGITS,
         select="""SELECT token_id AS label, count(*) AS samples, count(*) AS total_tokens,
-  sum(round((norm - z[token_id + 1]) / ln(2::DOUBLE), 6)::DECIMAL(28, 6))::DOUBLE AS total_surprisal_bits FROM logits GROUP BY token_id""",
+  round(sum(((norm - z[token_id + 1]) / ln(2::DOUBLE))::DECIMAL(38, 15))::DOUBLE, 6) AS total_surprisal_bits FROM logits GROUP BY token_id""",
     ),
 )
 def stream_totals(spark, sf):
@@ -60,16 +57,19 @@ def stream_totals(spark, sf):
         target_logprob(logits, F.col("label")).alias("logprob"),
     )
     records = surprisal.token_surprisal(scored).withColumnRenamed("surprisal_bits", "total_surprisal_bits")
-    return streams.run_totals_table(streams.running_totals(records, ["label"]), f"totals_{uuid.uuid4().hex}")
+    folder = scratch_path(spark, "stream-totals")
+    totals = streams.run_totals_to_files(streams.running_totals(records, ["label"]), folder, f"{folder}-checkpoint")
+    return totals.withColumn("total_surprisal_bits", F.round("total_surprisal_bits", 6))
 
 
-@query("stream_dedup", "SELECT DISTINCT concat('dev-', substr(md5(text), 1, 8)) AS uid FROM documents")
+@query("stream_dedup", "SELECT DISTINCT concat('dev-', sha256(text)) AS uid FROM documents")
 def stream_dedup(spark, sf):
-    uid = tx.fallback_uid(F.lit("dev"), F.col("text"))
+    """Different texts as they arrive, told apart by the whole digest."""
+    uid = F.concat(F.lit("dev-"), F.sha2("text", 256))
     records = _stream(spark, sf, "documents").select(uid.alias("uid"), "doc_id")
     folder = scratch_path(spark, "stream-uids")
     unique = streams.first_seen(records).select("uid")
-    streams.run_to_files(unique, folder)
+    streams.run_to_files(unique, folder, f"{folder}-checkpoint")
     return spark.read.schema(unique.schema).parquet(folder)
 
 
@@ -96,6 +96,6 @@ def stream_append_log(spark, sf):
         )
     )
     folder = scratch_path(spark, "stream-log")
-    streams.run_to_files(log, folder, "json", ignoreNullFields="false")
+    streams.run_to_files(log, folder, f"{folder}-checkpoint", "json", ignoreNullFields="false")
     back = spark.read.schema(log.schema).json(folder)
     return back.select("response", "uid", "index", "max_new_tokens")

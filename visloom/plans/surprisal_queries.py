@@ -27,6 +27,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def sql_rounded(select: str, *columns: str) -> str:
+    """The same in SQL, for the named columns."""
+    return f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in columns)}) FROM ({select})"
+
+
 # --- from logits ------------------------------------------------------------
 
 
@@ -75,7 +80,7 @@ SQL_SAMPLE_BITS = f"""bits AS (
   SELECT sample_id, count(*) AS num_tokens, count(*) FILTER (WHERE token_id IN (0, 1)) AS num_image_tokens,
     coalesce(sum(b) FILTER (WHERE token_id IN (0, 1)), 0)::DOUBLE AS image_bits,
     coalesce(sum(b) FILTER (WHERE token_id NOT IN (0, 1)), 0)::DOUBLE AS text_bits
-  FROM (SELECT *, round(-logprob / {LN2!r}::DOUBLE, 6)::DECIMAL(28, 6) AS b FROM shifted) GROUP BY sample_id),
+  FROM (SELECT *, (-logprob / {LN2!r}::DOUBLE)::DECIMAL(38, 15) AS b FROM shifted) GROUP BY sample_id),
 stats AS (
   SELECT s.sample_id, s.label, coalesce(num_tokens, 0) AS num_tokens, coalesce(num_image_tokens, 0) AS num_image_tokens,
     coalesce(image_bits, 0) AS image_bits, coalesce(text_bits, 0) AS text_bits
@@ -107,20 +112,27 @@ def sample_surprisal(spark, sf):
     return rounded(_scored_sequences(spark, sf).drop("label"))
 
 
-TOTAL = "sum(round(image_bits + text_bits, 6)::DECIMAL(28, 6))::DOUBLE"
+TOTAL = "sum((image_bits + text_bits)::DECIMAL(38, 15))::DOUBLE"
 SQL_SUMMARY_FIELDS = f"""count(*) AS samples, coalesce(sum(num_tokens), 0)::BIGINT AS total_tokens,
-  {TOTAL} AS total_surprisal_bits, sum(round(image_bits, 6)::DECIMAL(28, 6))::DOUBLE AS image_bits_total,
-  sum(round(text_bits, 6)::DECIMAL(28, 6))::DOUBLE AS text_bits_total, {TOTAL} * {LN2!r}::DOUBLE AS total_surprisal_nats,
+  {TOTAL} AS total_surprisal_bits, sum((image_bits)::DECIMAL(38, 15))::DOUBLE AS image_bits_total,
+  sum((text_bits)::DECIMAL(38, 15))::DOUBLE AS text_bits_total, {TOTAL} * {LN2!r}::DOUBLE AS total_surprisal_nats,
   coalesce({TOTAL} / nullif(sum(num_tokens), 0)::DOUBLE, 0) AS mean_bits_per_token,
   coalesce({TOTAL} / nullif(count(*), 0)::DOUBLE, 0) AS mean_bits_per_sample"""
 
 
+TOTAL_NAMES = ("total_surprisal_bits", "image_bits_total", "text_bits_total")
+SUMMARY_NAMES = (*TOTAL_NAMES, "total_surprisal_nats", "mean_bits_per_token", "mean_bits_per_sample")
+
+
 @query(
     "surprisal_summary",
-    fx.with_ctes(fx.SQL_LOGITS, fx.SQL_SHIFTED, SQL_SAMPLE_BITS, select=f"SELECT {SQL_SUMMARY_FIELDS} FROM stats"),
+    fx.with_ctes(
+        fx.SQL_LOGITS, fx.SQL_SHIFTED, SQL_SAMPLE_BITS,
+        select=sql_rounded(f"SELECT {SQL_SUMMARY_FIELDS} FROM stats", *SUMMARY_NAMES),
+    ),
 )
 def surprisal_summary(spark, sf):
-    return surprisal.run_summary(_scored_sequences(spark, sf))
+    return rounded(surprisal.run_summary(_scored_sequences(spark, sf)))
 
 
 def summary_by_label(spark, sf) -> DataFrame:
@@ -138,7 +150,7 @@ pair_counts AS (
     FROM (SELECT toks, unnest(range(2, len(toks) + 1)) AS i FROM gui_tok WHERE split = 'train'))
   GROUP BY prev, token),
 pair_bits AS (
-  SELECT w.prev, w.token, round(-log2((coalesce(c.n, 0) + 1.0::DOUBLE) / (coalesce(u.n, 0) + 1.0::DOUBLE * v.v)), 6) AS b
+  SELECT w.prev, w.token, -log2((coalesce(c.n, 0) + 1.0::DOUBLE) / (coalesce(u.n, 0) + 1.0::DOUBLE * v.v)) AS b
   FROM (SELECT DISTINCT prev, token FROM pair_rows) w
   LEFT JOIN pair_counts c ON c.prev = w.prev AND c.token = w.token
   LEFT JOIN (SELECT prev, sum(n)::BIGINT AS n FROM pair_counts GROUP BY prev) u ON u.prev = w.prev
@@ -179,10 +191,10 @@ def ngram_counts(spark, sf):
 
 @query(
     "ngram_surprisal",
-    fx.with_ctes(*COUNT_CTES, select="SELECT sample_id, pos::INT AS pos, prev, token, b AS surprisal_bits FROM scored"),
+    fx.with_ctes(*COUNT_CTES, select="SELECT sample_id, pos::INT AS pos, prev, token, round(b, 6) AS surprisal_bits FROM scored"),
 )
 def ngram_surprisal(spark, sf):
-    return scored_tokens(token_table(spark, sf)).select("sample_id", "pos", "prev", "token", "surprisal_bits")
+    return rounded(scored_tokens(token_table(spark, sf)).select("sample_id", "pos", "prev", "token", "surprisal_bits"))
 
 
 @query(
@@ -191,7 +203,7 @@ def ngram_surprisal(spark, sf):
         *COUNT_CTES,
         SQL_VOCAB,
         select="""SELECT sample_id, count(*) AS n, string_agg(concat(v.token_id, '=', s.token), ' ' ORDER BY s.pos) AS details,
-  sum(b::DECIMAL(28, 6))::DOUBLE AS bits FROM scored s JOIN vocab v ON v.token = s.token GROUP BY sample_id""",
+  round(sum(b::DECIMAL(38, 15))::DOUBLE, 6) AS bits FROM scored s JOIN vocab v ON v.token = s.token GROUP BY sample_id""",
     ),
 )
 def token_details(spark, sf):
@@ -202,14 +214,14 @@ def token_details(spark, sf):
     shown = F.transform("token_details", lambda t: F.concat(t["token_id"].cast("string"), F.lit("="), t["token"]))
     bits = F.aggregate(
         "token_details",
-        F.lit(0).cast("decimal(28,6)"),
-        lambda acc, t: (acc + t["surprisal_bits"].cast("decimal(18,6)")).cast("decimal(28,6)"),
+        F.lit(0).cast("decimal(38,15)"),
+        lambda acc, t: (acc + t["surprisal_bits"].cast("decimal(38,15)")).cast("decimal(38,15)"),
     )
     return details.select(
         "sample_id",
         F.size("token_details").cast("bigint").alias("n"),
         F.array_join(shown, " ").alias("details"),
-        bits.cast("double").alias("bits"),
+        F.round(bits.cast("double"), 6).alias("bits"),
     )
 
 
@@ -221,8 +233,8 @@ SQL_RECORDS = f"""stats AS (
   FROM gui_tok g LEFT JOIN (
     SELECT sample_id, count(*) AS n,
       count(*) FILTER (WHERE token IN ('<image>', '<fake_token_around_image>', '<global-img>')) AS n_img,
-      sum(b::DECIMAL(28, 6)) FILTER (WHERE token IN ('<image>', '<fake_token_around_image>', '<global-img>')) AS img,
-      sum(b::DECIMAL(28, 6)) FILTER (WHERE token NOT IN ('<image>', '<fake_token_around_image>', '<global-img>')) AS txt
+      sum(b::DECIMAL(38, 15)) FILTER (WHERE token IN ('<image>', '<fake_token_around_image>', '<global-img>')) AS img,
+      sum(b::DECIMAL(38, 15)) FILTER (WHERE token NOT IN ('<image>', '<fake_token_around_image>', '<global-img>')) AS txt
     FROM scored GROUP BY sample_id) s USING (sample_id)),
 recs AS (
   SELECT sample_id, dataset, config, split, idx AS index, source, start::INT AS prompt_tokens, num_tokens AS response_tokens,
@@ -233,41 +245,45 @@ recs AS (
     image_bits AS image_surprisal_bits, text_bits AS text_surprisal_bits, assistant_len, coalesce(system_len, -1) AS system_len
   FROM stats)"""
 RECORD_CTES = (*COUNT_CTES, SQL_RECORDS)
+RECORD_NAMES = [
+    f"{part}_surprisal_{unit}" for part, unit in (("total", "bits"), ("total", "nats"), ("avg", "bits"), ("avg", "nats"), ("image", "bits"), ("text", "bits"))
+]
+SQL_ALL_RECORDS = sql_rounded("SELECT * FROM recs", *RECORD_NAMES)
 
 
-@query("surprisal_records", fx.with_ctes(*RECORD_CTES, select="SELECT * FROM recs"))
+@query("surprisal_records", fx.with_ctes(*RECORD_CTES, select=SQL_ALL_RECORDS))
 def surprisal_records(spark, sf):
-    return records(spark, sf).withColumn("system_len", F.coalesce("system_len", F.lit(-1)))
+    return rounded(records(spark, sf)).withColumn("system_len", F.coalesce("system_len", F.lit(-1)))
 
 
 @query(
     "surprisal_totals",
     fx.with_ctes(
         *RECORD_CTES,
-        select="""SELECT count(*) AS samples, sum(num_tokens)::BIGINT AS total_tokens,
-  sum((image_bits + text_bits)::DECIMAL(28, 6))::DOUBLE AS total_surprisal_bits, sum(image_bits::DECIMAL(28, 6))::DOUBLE AS image_bits_total,
-  sum(text_bits::DECIMAL(28, 6))::DOUBLE AS text_bits_total FROM stats""",
+        select=sql_rounded("""SELECT count(*) AS samples, sum(num_tokens)::BIGINT AS total_tokens,
+  sum((image_bits + text_bits)::DECIMAL(38, 15))::DOUBLE AS total_surprisal_bits, sum(image_bits::DECIMAL(38, 15))::DOUBLE AS image_bits_total,
+  sum(text_bits::DECIMAL(38, 15))::DOUBLE AS text_bits_total FROM stats""", *TOTAL_NAMES),
     ),
 )
 def surprisal_totals(spark, sf):
-    return surprisal.run_totals(records(spark, sf))
+    return rounded(surprisal.run_totals(records(spark, sf)))
 
 
 @query(
     "surprisal_by_source",
-    fx.with_ctes(*RECORD_CTES, select=f"SELECT source, {SQL_SUMMARY_FIELDS} FROM stats GROUP BY source"),
+    fx.with_ctes(*RECORD_CTES, select=sql_rounded(f"SELECT source, {SQL_SUMMARY_FIELDS} FROM stats GROUP BY source", *SUMMARY_NAMES)),
 )
 def surprisal_by_source(spark, sf):
-    return surprisal.run_summary(records(spark, sf), ["source"])
+    return rounded(surprisal.run_summary(records(spark, sf), ["source"]))
 
 
-@query("sink_jsonl", fx.with_ctes(*RECORD_CTES, select="SELECT * FROM recs"))
+@query("sink_jsonl", fx.with_ctes(*RECORD_CTES, select=SQL_ALL_RECORDS))
 def sink_jsonl(spark, sf):
     """Write the records as JSON lines, nulls kept, and read them back."""
     out = records(spark, sf)
     folder = scratch_path(spark, "records")
     files.write_jsonl(out, folder)
-    back = spark.read.schema(out.schema).json(folder)
+    back = rounded(spark.read.schema(out.schema).json(folder))
     return back.withColumn("system_len", F.coalesce("system_len", F.lit(-1)))
 
 
@@ -293,7 +309,7 @@ def adapter_params(spark, sf):
         fx.SQL_WIDTH,
         select="""SELECT rank, (width * rank)::BIGINT AS params, round(bits, 6) AS total_bits, (width * rank * 2)::DOUBLE AS capacity_bits,
   round(bits / (width * rank * 2), 9) AS load, ceil(bits / (width * 2))::BIGINT AS min_rank
-FROM width CROSS JOIN (SELECT sum((image_bits + text_bits)::DECIMAL(28, 6))::DOUBLE AS bits FROM stats)
+FROM width CROSS JOIN (SELECT sum((image_bits + text_bits)::DECIMAL(38, 15))::DOUBLE AS bits FROM stats)
 CROSS JOIN (VALUES (8), (16), (32), (64)) AS r(rank)""",
     ),
 )
@@ -316,7 +332,7 @@ def adapter_capacity(spark, sf):
     fx.with_ctes(
         *RECORD_CTES,
         fx.SQL_WIDTH,
-        select=f"""SELECT dataset, config, split, samples, total_tokens, total_surprisal_bits, mean_bits_per_token, '{TIMESTAMP}' AS timestamp, '{MODEL}' AS model, 0::BIGINT AS skip,
+        select=f"""SELECT dataset, config, split, samples, total_tokens, round(total_surprisal_bits, 6) AS total_surprisal_bits, round(mean_bits_per_token, 6) AS mean_bits_per_token, '{TIMESTAMP}' AS timestamp, '{MODEL}' AS model, 0::BIGINT AS skip,
   concat(dataset, '_', config, '_', split, '_{TIMESTAMP}.jsonl') AS output_file, width * 16 AS params_16
 FROM (SELECT dataset, config, split, {SQL_SUMMARY_FIELDS} FROM stats GROUP BY dataset, config, split) CROSS JOIN width""",
     ),
@@ -328,7 +344,7 @@ def sink_run_meta(spark, sf):
     meta = surprisal.run_metadata(summary, TIMESTAMP, MODEL, params=params.scalar())
     folder = scratch_path(spark, "run-meta")
     files.write_jsonl(meta, folder)
-    back = spark.read.schema(meta.schema).json(folder)
+    back = rounded(spark.read.schema(meta.schema).json(folder))
     return back.select(
         "dataset",
         "config",

@@ -47,14 +47,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a temporary folder; a cluster
-    session without it is an error, since executors do not share local disks.
+    A session inside one process (tests, trials) that lacks the setting gets a temporary
+    folder; any other session without it is an error, since executors do not share local disks.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="visloom-"))
     return sc.getCheckpointDir()

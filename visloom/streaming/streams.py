@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visloom.functions.scoring import exact
-from visloom.session import scratch_path
 
 DEDUP_SALTS = 32
 
@@ -45,29 +44,35 @@ def first_seen_within(records: DataFrame, event_time: str, delay: str, uid: str
     return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([uid])
 
 
-def run_to_files(stream: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
-    """Process everything available, appending to files; restarts continue at the checkpoint."""
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", **options: str) -> None:
+    """Process what has arrived since the last call with this ``checkpoint``, appending to files.
+
+    ``checkpoint`` belongs to ``path``: give the same pair on every call, and a restart goes on
+    where the last call ended, each row written once.
+    """
     writer = stream.writeStream.format(fmt).outputMode("append").options(**options)
-    query = (
-        writer.option("checkpointLocation", scratch_path(stream.sparkSession, "stream-checkpoint"))
-        .trigger(availableNow=True)
-        .start(path)
-    )
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     query.awaitTermination()
 
 
-def run_totals_table(totals: DataFrame, name: str) -> DataFrame:
-    """Process everything available into an in-memory table of running totals.
+def run_totals_to_files(totals: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Bring the table of running totals in ``path`` up to date with what has arrived, and read it.
 
-    Only for aggregates over few groups (one row per data set configuration).
+    The state lives in ``checkpoint``, which belongs to ``path``. Every batch writes the whole
+    table into a folder of its own, so a reader never meets half of one; the newest counts.
     """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+
     query = (
-        totals.writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
-        .option("checkpointLocation", scratch_path(totals.sparkSession, "stream-checkpoint"))
+        totals.writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return totals.sparkSession.table(name)
+    stored = totals.sparkSession.read.schema(totals.schema.add("batch", "long")).parquet(path)
+    newest = stored.agg(F.max("batch")).scalar()
+    return stored.where(F.col("batch") == newest).drop("batch")
