@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visloom.session import shared_dir
+
 # White space between words is \x20 and \x09-\x0D. ``bytes.split()`` splits at exactly
 # these, and ``bytes.lower()`` changes A-Z only.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -43,15 +46,13 @@ class Scratch:
     """Tables written once below ``spark.checkpoint.dir`` and read by several later steps.
 
     ``drop`` deletes tables nothing reads any more; what the returned DataFrame still
-    reads stays. The setting is required: no executor-local folder stands in for it.
+    reads stays.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not root:
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         ship(spark)
         self.spark = spark
+        root = re.sub("^file:/(?!/)", "file:///", shared_dir(spark))
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
