@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +20,28 @@ from visloom.llm.common import Scratch, texts_as_bytes
 
 CAPACITY = 2048
 END = 0  # id after each document
-SALTS = 64  # groups a length is numbered in
-WORDS_KEPT = 300_000
-BATCH_BYTES = 1 << 17  # text given to the tokenizer at once
+SALTS = 16  # groups a length is numbered in
+WORDS_KEPT = 500_000
+PARTS_AT_ONCE = 500  # parts of words given to the tokenizer at once
+GROUP_BYTES = 1 << 20  # text split at once
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, ids binary"
 
 
+# What the tokenizer's pre-tokenizer cuts a lower-cased word into (fixed values of its file), and the
+# words it may be applied to here: no white space, nothing that NFC or lower-casing treats by context.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+PLAIN = regex.compile("[!-~\u00a1-\u024f]+")
+WORD_END = "</w>"
+
+
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit) of the words of a tokenizer that drops white space.
 
-    Its ids of a text are the ids of the words one after the other. New words are encoded in batches;
-    the table stops growing at ``limit`` words, later new words live for one batch.
+    Its ids of a text are the ids of the words one after the other, and those of a plain word the ids
+    of its parts. Parts not seen before are encoded many at a time, each ending with a word-end
+    id; any other word is encoded by itself. The tables stop growing at ``limit`` entries;
+    later ones live for one batch.
     """
 
     def __init__(self, path: str, limit: int = WORDS_KEPT):
@@ -39,23 +50,45 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.parts: dict[str, bytes] = {}
         self.now: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
 
     def __missing__(self, word: bytes) -> bytes:
         return self.now[word]
 
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4") for e in found]
+
+    def part_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, from one text that holds them all; one by one if it does not come apart evenly."""
+        ids = self.encoded([" ".join(parts)])[0]
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(parts) or (len(ids) and stops[-1] != len(ids)):
+            return [x.tobytes() for x in self.encoded(parts)]
+        return [x.tobytes() for x in np.split(ids, stops[:-1])]
+
     def learn(self, words: set[bytes]) -> None:
-        new = sorted(words.difference(self.keys()))
-        self.now = {}
-        start = size = 0
-        for k, word in enumerate(new):
-            size += len(word)
-            if size >= BATCH_BYTES or k == len(new) - 1:
-                part = new[start : k + 1]
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                for w, e in zip(part, found, strict=True):
-                    (self if len(self) < self.limit else self.now)[w] = np.array(e.ids, "<u4").tobytes()
-                start, size = k + 1, 0
+        new = [(w, w.decode()) for w in words.difference(self.keys())]
+        cut = {w: PARTS.findall(t.lower()) for w, t in new if PLAIN.fullmatch(t) and "<|" not in t}
+        missing = sorted(set().union(*cut.values()).difference(self.parts.keys()))
+        seen: dict[str, bytes] = {}
+        for k in range(0, len(missing), PARTS_AT_ONCE):
+            group = missing[k : k + PARTS_AT_ONCE]
+            seen.update(zip(group, self.part_ids(group), strict=True))
+        if len(self.parts) < self.limit:
+            self.parts.update(seen)
+        known = lambda p: seen[p] if p in seen else self.parts[p]
+        learned = {w: b"".join(map(known, parts)) for w, parts in cut.items()}
+        other = [(w, t) for w, t in new if w not in cut]
+        learned.update((w, x.tobytes()) for (w, _), x in zip(other, self.encoded([t for _, t in other]), strict=True))
+        if len(self) < self.limit:
+            self.update(learned)
+            self.now = {}
+        else:
+            self.now = learned
 
 
 _TABLES: dict[str, WordIds] = {}  # one per worker process, kept between its tasks
@@ -68,12 +101,12 @@ def word_ids(path: str) -> WordIds:
 
 
 def by_size(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
-    """Rows of (key, text) in groups of about 8 · BATCH_BYTES of text, so that few words are held at once."""
+    """Rows of (key, text) in groups of about GROUP_BYTES of text, so that few words are held at once."""
     group, size = [], 0
     for row in rows:
         group.append(row)
         size += len(row[1])
-        if size >= 8 * BATCH_BYTES:
+        if size >= GROUP_BYTES:
             yield group
             group, size = [], 0
     if group:
