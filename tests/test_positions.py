@@ -78,8 +78,8 @@ def test_materialize_and_sample(spark):
     assert sampling.materialize(df, 50).count() == 10
     assert sorted(r[0] for r in sampling.materialize(df, 3, lazy=True).collect()) == [0, 1, 2]
     assert sampling.sample_n(df, 99).count() == 10
-    a = [r[0] for r in sampling.sample_n(df, 4).collect()]
-    assert a == [r[0] for r in sampling.sample_n(df.repartition(6), 4).collect()] and len(set(a)) == 4
+    a = sorted(r[0] for r in sampling.sample_n(df, 4).collect())
+    assert a == sorted(r[0] for r in sampling.sample_n(df.repartition(6), 4).collect()) and len(set(a)) == 4
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])

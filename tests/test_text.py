@@ -29,7 +29,9 @@ def test_uid_choice(spark):
     rows = [("u", "d", "i"), ("", "d", "i"), ("0", "", "i"), (None, None, ""), (None, None, None)]
     df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, u string, d string, i string")
     got = df.orderBy("n").select(tx.example_uid(F.col("u"), F.col("d"), F.col("i"))).collect()
-    assert [r[0] for r in got] == ["u", "d", "i", "", None]
+    assert [r[0] for r in got] == ["u", "d", "0", "", None]
+    numbers = df.select(tx.example_uid(F.lit(0), F.lit(0.0), F.lit(7)), tx.example_uid(F.lit(5), F.col("d"), F.col("i")))
+    assert tuple(numbers.first()) == ("7", "5")
 
 
 def test_labels(spark):

@@ -34,12 +34,12 @@ def _with_grid(truth: DataFrame, pred: DataFrame, threshold: float) -> tuple[Dat
     With IoU ≥ t the shorter of two sides is at least t times the longer one, and the
     overlap along an axis is at least t times the longer one. A truth takes the cell of
     its top-left corner on the grid of its own size level; a prediction takes every cell
-    in which the corner of a partner can lie. Cells are as wide as that reach for the
-    largest box of the level, so they shrink as the threshold rises.
+    in which the corner of a partner can lie. The sides of a level differ by less than
+    RATIO, and cells are smaller than its boxes and shrink as the threshold rises, so boxes
+    that share a cell mostly overlap.
     """
-    t = threshold
-    ratio = max(t**-4, 2.0)
-    share = min(1.0, max(2 * (1 - t), 1e-3))
+    t, ratio = threshold, RATIO
+    share = min(1.0, max(1 - t, 1e-3))
     # A little slack for rounding; extra cells cost time, never results.
     slack = 1e-6
     wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
