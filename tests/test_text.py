@@ -3,7 +3,16 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from visloom.functions import text as tx
-from visloom.functions.answers import action_args, action_name, action_number, blocks, true_false
+from visloom.functions.answers import (
+    action_args,
+    action_calls,
+    action_lists,
+    action_name,
+    action_number,
+    action_texts,
+    blocks,
+    true_false,
+)
 from visloom.functions.images import png_header, png_size
 
 
@@ -66,6 +75,21 @@ def test_actions(spark):
     assert column(spark, calls, lambda c: action_number(c, "x")) == [0.5, None, 1.0, None]
 
 
+def test_action_arguments_of_all_kinds(spark):
+    calls = [
+        'type(text="hello, x=1 (ok)")',
+        "pyautogui.click(\n  x=0.1,\n  y=2)",
+        "press(keys=['ctrl', \"a\", 3])",
+        r'write(message="say \"hi\"", interval=0.5)',
+    ]
+    assert column(spark, calls, action_name) == ["type", "click", "press", "write"]
+    assert column(spark, calls, action_args) == [{}, {"x": 0.1, "y": 2.0}, {}, {"interval": 0.5}]
+    assert column(spark, calls, action_texts) == [{"text": "hello, x=1 (ok)"}, {}, {}, {"message": 'say "hi"'}]
+    assert column(spark, calls, action_lists)[2] == {"keys": ["ctrl", "a", "3"]}
+    block = 'pyautogui.click(x=1, y=2)\ntype(text="a) b(") scroll(dy=-3)'
+    assert column(spark, [block], action_calls) == [["pyautogui.click(x=1, y=2)", 'type(text="a) b(")', "scroll(dy=-3)"]]
+
+
 def test_blocks(spark):
     text = "<think>a\nb</think>x<think></think><code>c</code><think>open"
     assert column(spark, [text], lambda c: blocks(c, "think")) == [["a\nb", ""]]

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from visloom.functions import chat
 from visloom.functions.text import PAIR_PROMPT, make_sample_id
-from visloom.operators import counts, lookup, sampling, sft, surprisal
+from visloom.operators import counts, evaluation, lookup, sampling, sft, surprisal
 from visloom.operators.pairs import normalize_pairs, with_reject_reason
 from visloom.operators.positions import rerank
 from visloom.session import materialized
-from visloom.sinks.files import write_run
+from visloom.sinks.files import write_jsonl, write_run
 from visloom.sources.gui import normalize_gui
+from visloom.sources.pairs import raw_pairs
 from visloom.sources.scan import check_config, scan_with_index
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -118,6 +119,47 @@ def training_table(
     return sft.pad_batches(examples, batch_size, index="position")
 
 
+def training_run(spark: SparkSession, candidates: Sequence[str], split: str = "train", **options) -> DataFrame:
+    """Training batches from the first pair source that works: load, shuffle, take, normalise, render, pad."""
+    return training_table(raw_pairs(spark, candidates, split), split=split, **options)
+
+
+def evaluation_run(
+    raw: DataFrame,
+    predict: Callable[[DataFrame], DataFrame],
+    folder: str,
+    *,
+    split: str = "dev",
+    take: int | None = 512,
+    shuffle: bool = True,
+    buffer: int | None = None,
+    seed: int = 42,
+    template: str = PAIR_PROMPT,
+    by: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Answer a slice of the raw pair records (with ``index``), judge it and write both results.
+
+    The slice is taken by position before anything is rendered; records that cannot be used
+    are left out. ``predict`` gets the normalised examples and returns (position, response),
+    for a model by :func:`visloom.operators.sft.map_batches`. Returns the judged predictions and the
+    accuracy (per ``by``, if given), as read from ``folder``/predictions.jsonl and accuracy.jsonl.
+    """
+    order = raw.select("index")
+    order = sampling.shuffle(order, seed=seed, buffer=buffer) if shuffle else order.withColumn("position", F.col("index"))
+    if take is not None:
+        order = sampling.take(order, take)
+    pairs = normalize_pairs(raw.join(order, "index"), split=split, template=template, strict=False)
+    gold = pairs.select("position", "index", "uid", "label", *by)
+    # The position is unique, which a uid need not be: each answer meets its own example.
+    judged = evaluation.with_verdict(predict(pairs).select("position", "response").join(gold, "position"))
+    predictions = f"{folder}/predictions.jsonl"
+    write_jsonl(judged, predictions)
+    stored = raw.sparkSession.read.schema(judged.schema).json(predictions)
+    summary = evaluation.accuracy(stored, by)
+    write_jsonl(summary, f"{folder}/accuracy.jsonl")
+    return stored, raw.sparkSession.read.schema(summary.schema).json(f"{folder}/accuracy.jsonl")
+
+
 def gallery(
     pairs: DataFrame, uids: Sequence[str] | None = None, n: int = 4, seed: int = 42, limit: int | None = None
 ) -> DataFrame:

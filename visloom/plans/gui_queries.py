@@ -12,12 +12,13 @@ from visloom.functions import text as tx
 from visloom.operators import lookup, sampling, sft
 from visloom.operators.positions import random_positions
 from visloom.plans import fixtures as fx
-from visloom.plans.flows import training_table
+from visloom.plans.flows import training_run, training_table
 from visloom.plans.pair_queries import SQL_PROMPT, flat_messages, flat_parts
 from visloom.plans.registry import query
 from visloom.schemas import STAGE1_CONFIGS, STAGE2_CONFIGS
 from visloom.session import scratch_path
 from visloom.sources import gui as source
+from visloom.sources.pairs import COLUMNS
 from visloom.sources.scan import unknown_configs
 
 GUI, TOKENS = fx.GUI_CTES, fx.TOKEN_CTES
@@ -402,20 +403,17 @@ sized AS (
   SELECT *, least(len(prefix) + 2, 2048) AS kept, position // 8 AS batch FROM rendered)"""
 
 
-@query(
-    "sft_table",
-    fx.with_ctes(
+SFT_TABLE = fx.with_ctes(
         fx.SQL_RAW,
         fx.SQL_KEYED,
         SQL_SHUFFLED,
         select="""SELECT uid, position, batch, (len(prefix) + 2)::INT AS n_tokens, len(prefix)::INT AS response_start,
   (((max(kept) OVER (PARTITION BY batch) + 7) // 8) * 8)::INT AS padded_length,
   greatest(0, kept - len(prefix))::INT AS n_scored FROM sized""",
-    ),
-)
-def sft_table(spark, sf):
-    """Shuffle, normalise, render, mask, cut and pad all pair records."""
-    table = training_table(fx.pairs_raw(spark, sf), split=fx.SPLIT, buffer=64, batch_size=8, strict=False)
+    )
+
+
+def _table_view(table: DataFrame) -> DataFrame:
     return table.select(
         "uid",
         "position",
@@ -425,3 +423,22 @@ def sft_table(spark, sf):
         "padded_length",
         F.size(F.filter("labels", lambda x: x != chat.IGNORE)).alias("n_scored"),
     )
+
+
+@query("sft_table", SFT_TABLE)
+def sft_table(spark, sf):
+    """Shuffle, normalise, render, mask, cut and pad all pair records."""
+    table = training_table(fx.pairs_raw(spark, sf), split=fx.SPLIT, buffer=64, batch_size=8, strict=False)
+    return _table_view(table)
+
+
+@query("training_flow", SFT_TABLE)
+def training_flow(spark, sf):
+    """The same from stored pair files, the first source being absent."""
+    folder = scratch_path(spark, "pairs")
+    raw = fx.pairs_raw(spark, sf)
+    raw.repartitionByRange("index").sortWithinPartitions("index").select(*COLUMNS).write.parquet(
+        f"{folder}/mirror/split={fx.SPLIT}"
+    )
+    sources = [f"{folder}/absent", f"{folder}/mirror"]
+    return _table_view(training_run(spark, sources, fx.SPLIT, buffer=64, batch_size=8, strict=False))

@@ -10,6 +10,7 @@ from visloom.functions import text as tx
 from visloom.functions.images import png_header, png_size
 from visloom.operators import lookup, pairs, sampling
 from visloom.plans import fixtures as fx
+from visloom.plans.flows import evaluation_run
 from visloom.plans.registry import query
 from visloom.session import scratch_path
 from visloom.sinks import files
@@ -280,6 +281,32 @@ def shuffle_full(spark, sf):
     return sampling.shuffle(fx.pair_keys(spark, sf)).select("index", "uid", "position")
 
 
+@query(
+    "evaluation_flow",
+    fx.with_ctes(
+        *PAIRS,
+        """answers AS (
+  SELECT label_text AS label, CASE WHEN idx % 11 = 0 THEN NULL WHEN idx % 3 = 0 THEN 'False' ELSE 'True' END AS pred
+  FROM pairs WHERE idx IN (SELECT idx FROM keyed ORDER BY md5(concat('42:', idx)), idx LIMIT 512))""",
+        select="""SELECT count(*) AS n, count(*) FILTER (WHERE pred = label) AS n_correct, count(*) FILTER (WHERE pred IS NULL) AS unparsed,
+  count(*) FILTER (WHERE label = 'True' AND pred = 'True') AS tp, count(*) FILTER (WHERE label = 'False' AND pred = 'True') AS fp,
+  count(*) FILTER (WHERE label = 'False' AND pred = 'False') AS tn, count(*) FILTER (WHERE label = 'True' AND pred = 'False') AS fn,
+  round(avg(coalesce(pred = label, false)::INT::DOUBLE), 6) AS accuracy FROM answers""",
+    ),
+)
+def evaluation_flow(spark, sf):
+    """A shuffled slice answered by a stand-in, judged, written and read back."""
+    index = F.col("index")
+    answer = F.when(index % 11 == 0, "unsure").when(index % 3 == 0, "I say FALSE.").otherwise("true")
+    _, accuracy = evaluation_run(
+        fx.pairs_raw(spark, sf),
+        lambda pairs: pairs.select("position", answer.alias("response")),
+        scratch_path(spark, "evaluation"),
+        split=fx.SPLIT,
+    )
+    return accuracy.withColumn("accuracy", F.round("accuracy", 6))
+
+
 BUFFER = 256
 SQL_BUFFERED = f"""buffered AS (
   SELECT *, (idx // {BUFFER}) * {BUFFER}

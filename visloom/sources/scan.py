@@ -57,17 +57,20 @@ def scan_with_index(
 
 
 def first_available(
-    spark: SparkSession, candidates: Sequence[str], columns: Sequence[str], fmt: str = "parquet"
+    spark: SparkSession, candidates: Sequence[str], columns: Sequence[str], fmt: str = "parquet", index: str | None = None
 ) -> DataFrame:
     """The first candidate that can be read and has the columns; the last error is raised.
 
+    ``index`` names a column for the rows' positions (parquet only, see :func:`scan_with_index`).
+
     A candidate may fail in many ways (absent, unreadable, other columns), and all of
     them show here, since opening it reads its schema.
     """
     error: Exception | None = None
     for path in candidates:
         try:
-            return spark.read.format(fmt).load(path).select(*columns)
+            found = spark.read.format(fmt).load(path).select(*columns)
+            return found if index is None else scan_with_index(spark, path, columns, index)
         except Exception as err:
             error = err
     if error is None:
