@@ -50,21 +50,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) with 100 · |A ∩ B| ≥ percent · |A ∪ B| on the full sets (node, shingles).
+def confirmer(sets: DataFrame, percent: int, scratch: Scratch) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes those of its pairs (a, b) with 100 · |A ∩ B| ≥ percent · |A ∪ B| under a name.
 
-    Pairs are dealt into a grid of cells by hashes of a and b, and a set goes once into each
+    A and B are the full sets (node, shingles). Pairs are dealt into a grid of cells by hashes of a and b, and a set goes once into each
     cell that asks for it, not once per pair: a crowd of pairs among the same documents costs
     little more than its documents. Cells hold about 2 · CELL_BYTES of sets.
     """
     size = sets.agg(F.sum(8 * F.size("shingles"))).first()[0] or 0
     grid = max(1, -(-size // CELL_BYTES))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
-    celled = pairs.select(place("a").alias("ca"), place("b").alias("cb"), "a", "b")
-    needs = celled.select(
-        F.col("ca").alias("da"), F.col("cb").alias("db"), F.explode(F.array("a", "b")).alias("node")
-    ).distinct()
-    dealt = needs.join(sets.select("node", "shingles"), "node")
 
     def compare(asked: pa.Table, given: pa.Table) -> pa.Table:
         held: dict[int, list[np.ndarray]] = {}
@@ -80,8 +74,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch,
         good = sorted(set(good))
         return pa.table({"a": pa.array([a for a, _ in good], pa.int64()), "b": pa.array([b for _, b in good], pa.int64())})
 
-    cells = celled.groupBy("ca", "cb").cogroup(dealt.groupBy("da", "db"))
-    return scratch.put(cells.applyInArrow(compare, "a long, b long"), name)
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
+        celled = pairs.select(place("a").alias("ca"), place("b").alias("cb"), "a", "b")
+        needs = celled.select(
+            F.col("ca").alias("da"), F.col("cb").alias("db"), F.explode(F.array("a", "b")).alias("node")
+        ).distinct()
+        dealt = needs.join(sets.select("node", "shingles"), "node")
+        cells = celled.groupBy("ca", "cb").cogroup(dealt.groupBy("da", "db"))
+        return scratch.put(cells.applyInArrow(compare, "a long, b long"), name)
+
+    return confirmed
 
 
 def bucket_links(
@@ -101,7 +104,7 @@ def bucket_links(
     A bucket of near copies would emit the square of its size. Instead, in each round
     every node is held against one head of its buckets, heads changing from round to
     round; linked nodes become one component, and a bucket inside one component needs nothing
-    more. After ``rounds`` rounds, the nodes of different components that still share a bucket are
+    more. After ``rounds`` rounds, or one that links nothing, the nodes of different components that still share a bucket are
     compared in pairs, in the first band they share, so that no connection is lost.
     """
     columns = [c for c in traits.columns if c != "node"]
@@ -109,7 +112,9 @@ def bucket_links(
     as_b = traits.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
     links = None
     placed = traits.select("node", F.col("node").alias("comp"))
+    last = False
     for turn in range(1, rounds + 2):
+        last = last or turn > rounds
         here = members.join(placed, "node")
         heads = here.groupBy("key").agg(
             F.min_by(F.struct("node", "comp"), F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"))).alias("head"),
@@ -120,7 +125,7 @@ def bucket_links(
         if heads.isEmpty():
             break
         divided = here.join(heads, "key")
-        if turn <= rounds:
+        if not last:
             asked = divided.where(F.col("comp") != F.col("head.comp"))
             pairs = asked.groupBy(F.col("node").alias("a")).agg(
                 F.min_by(F.col("head.node"), F.xxhash64(F.lit(turn), F.col("head.node"))).alias("b")
@@ -141,7 +146,10 @@ def bucket_links(
             pairs = met.select("a", "b").distinct()
         found = confirm(scratch.put(pairs, f"pairs{turn}"), f"found{turn}")
         links = found if links is None else links.union(found)
-        if turn <= rounds:
+        if last:
+            break
+        last = found.isEmpty()
+        if not last:
             labels = components(links, scratch, f"turn{turn}")
             joined = traits.select("node").join(labels.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left")
             placed = scratch.put(joined.select("node", F.coalesce("component", "node").alias("comp")), f"placed{turn}")

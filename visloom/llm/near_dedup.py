@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visloom.llm.common import Scratch, WordHashes, mix, shingle_hashes, texts_as_bytes
-from visloom.llm.graph import bucket_links, components, confirmed
+from visloom.llm.graph import bucket_links, components, confirmer
 
 # 40 bands of 5 values: a pair at similarity 0.8 is missed with probability (1 - 0.8^5)^40 = 1.2e-7.
 BANDS, ROWS = 40, 5
@@ -183,7 +183,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         members,
         traits,
         _close(most_odd_bits(percent / 100)),
-        lambda pairs, name: confirmed(pairs, sets, percent, scratch, name),
+        confirmer(sets, percent, scratch),
         scratch,
     )
     labels = components(links.union(equal), scratch, "all")
