@@ -15,6 +15,7 @@ A block asks for each of its words once.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from math import log10
 
 import numpy as np
@@ -75,10 +76,18 @@ def coded_blocks(documents: DataFrame, block_tokens: int = BLOCK) -> DataFrame:
     return rows.mapInArrow(code, BLOCKS).withColumn("block", F.monotonically_increasing_id())
 
 
-def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One block at a time: lists as Arrow arrays, so that no Python object is made per word."""
+    for k in range(batch.num_rows):
+        cells = {name: batch.column(name)[k] for name in batch.schema.names}
+        yield {n: c.values if isinstance(c, pa.ListScalar) else c.as_buffer() for n, c in cells.items()}
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, sizes and the held-out mark of each token of a block row."""
-    sizes = np.array(row["sizes"], np.int64)
-    return np.frombuffer(row["codes"], "<u4").astype(np.int64), sizes, np.repeat(np.array(row["held_out"], bool), sizes)
+    sizes = row["sizes"].to_numpy().astype(np.int64)
+    held = np.repeat(row["held_out"].to_numpy(zero_copy_only=False), sizes)
+    return np.frombuffer(row["codes"], "<u4"), sizes, held
 
 
 def frequent_ngrams(blocks: DataFrame, frequent: np.ndarray, prefixes: np.ndarray, order: int, least: float):
@@ -92,9 +101,9 @@ def frequent_ngrams(blocks: DataFrame, frequent: np.ndarray, prefixes: np.ndarra
 
     def count(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 codes, sizes, held = _unpacked(row)
-                words = np.array(row["words"], np.int64).view(np.uint64)
+                words = row["words"].to_numpy().view(np.uint64)
                 at = np.searchsorted(frequent, words)
                 known = frequent[np.minimum(at, len(frequent) - 1)] == words if len(frequent) else np.zeros(len(words), bool)
                 ids = np.where(known, at + 1, 0)[codes]  # 0: not frequent
@@ -221,10 +230,10 @@ def lm_scores(documents: DataFrame, share: float = SHARE, block_tokens: int = BL
         frequent, *counts = model.value
         automaton = Automaton(*counts, total=n_tokens, kinds=kinds)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 codes, sizes, _ = _unpacked(row)
-                words = np.array(row["words"], np.int64).view(np.uint64)
-                c = np.array(row["c"], np.int64)
+                words = row["words"].to_numpy().view(np.uint64)
+                c = row["c"].to_numpy()
                 at = np.searchsorted(frequent, words)
                 known = frequent[np.minimum(at, len(frequent) - 1)] == words if len(frequent) else np.zeros(len(words), bool)
                 ids = np.where(known, at + 1, 0)
@@ -239,7 +248,8 @@ def lm_scores(documents: DataFrame, share: float = SHARE, block_tokens: int = BL
                 columns = [row["doc_ids"], row["held_out"], sizes, seen, [n_tokens] * len(sizes), base, scores]
                 types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(columns, types, strict=True)], [f.split()[0] for f in schema.split(", ")]
+                    [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)],
+                    [f.split()[0] for f in schema.split(", ")],
                 )
 
     answers = totals.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("found"))
