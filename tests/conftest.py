@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,7 +13,10 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 8, **{"spark.ui.showConsoleProgress": "false"})
+    shared = tempfile.mkdtemp(prefix="tests-")
+    session = build_session(
+        "local[8]", 8, **{"spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{shared}"}
+    )
     session.sparkContext.setLogLevel("OFF")
     return session
 
