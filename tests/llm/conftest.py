@@ -1,13 +1,6 @@
 import pytest
 
 
-@pytest.fixture(scope="session", autouse=True)
-def shared_folder(spark, tmp_path_factory):
-    """The tests' stand-in for the folder a cluster names."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
-
-
 @pytest.fixture
 def docs(spark):
     """Builds a documents table from (doc_id, text[, lang, source]) rows, with a clashing extra column."""
