@@ -4,28 +4,29 @@ States are the empty context, frequent words and frequent word pairs; arcs carry
 log-probabilities and lead to the longest state the text allows; every other state has a failure
 arc with its backoff weight to the next shorter one. A text is scored in one left-to-right traversal.
 
-An n-gram is frequent if its share of all training tokens is at least SHARE, so there are at most
-1 / SHARE of each order whatever the corpus: that bound, not the corpus, sizes what is
-sent to the tasks. Counts of single words are exact for all words; they are joined to the texts.
+An n-gram is frequent from LEAST occurrences in the training texts on, whatever the corpus. All of them stand
+in tables; a block gets the states and arcs of its own texts by joins, and nothing is
+broadcast or collected.
 
 The corpus is kept as blocks: the texts of up to BLOCK tokens coded by a vocabulary of their own.
-A block asks for each of its words once.
+A block asks for each of its words, pairs and triples once.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visloom.llm.common import Scratch, WordHashes, texts_as_bytes
+from visloom.llm.common import Scratch, WordHashes, mix, texts_as_bytes
 
-SHARE = 4e-6
+SHARE = 0.0  # of all training tokens; above 0, n-grams below the share are not frequent
+LEAST = 2
 DISCOUNT = 0.75
 BLOCK = 1 << 21  # tokens
 FOLDS, HELD_OUT = 7, 2
@@ -80,7 +81,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """One block at a time: lists as Arrow arrays, so that no Python object is made per word."""
     for k in range(batch.num_rows):
         cells = {name: batch.column(name)[k] for name in batch.schema.names}
-        yield {n: c.values if isinstance(c, pa.ListScalar) else c.as_buffer() for n, c in cells.items()}
+        yield {n: c.values if isinstance(c, pa.ListScalar) else c.as_buffer() if n == "codes" else c.as_py() for n, c in cells.items()}
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,98 +91,92 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["codes"], "<u4"), sizes, held
 
 
-def frequent_ngrams(blocks: DataFrame, frequent: np.ndarray, prefixes: np.ndarray, order: int, least: float):
-    """Counts of the training n-grams of ``order`` (2 or 3) with at least ``least`` occurrences.
-
-    ``frequent``: sorted hashes of the frequent words, whose places are the n-gram's parts;
-    ``prefixes``: sorted keys of the frequent (order - 1)-grams. An n-gram can only be frequent if its
-    two (order - 1)-grams are, so no others are counted. The result has 1 / SHARE rows at most.
-    """
-    base = len(frequent) + 1
-
-    def count(batches):
-        for batch in batches:
+def _longer(context: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
+    """64-bit keys of n-grams from the keys of their contexts (words: their hashes) and last words."""
+    return mix(mix(context + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+class _Answers:
+    """What a block has been told of its words or n-grams, looked up by key; 0 for keys not told."""
+
+    def __init__(self, told: pa.Table, order: int):
+        rows = told.filter(pa.compute.equal(told.column("gram_order"), order))
+        keys = rows.column("key").to_numpy().view(np.uint64)
+        sorting = np.argsort(keys)
+        self.keys = keys[sorting]
+        self.n = rows.column("n").to_numpy()[sorting]
+        self.mass = rows.column("mass").to_numpy()[sorting] if "mass" in rows.column_names else np.zeros(len(keys))
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts, and masses that followers seen take of the context."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return np.where(hit, self.n[at], 0), np.where(hit, self.mass[at], 0.0)
+
+
+class _Block:
+    """A block's tokens, and the keys of the pair and triple each of them ends (where ``deep`` allows)."""
+
+    def __init__(self, row: dict):
+        self.codes, self.sizes, self.held = _unpacked(row)
+        self.words = row["words"].to_numpy().view(np.uint64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = starts
+        place = np.arange(len(self.codes)) - np.repeat(starts, self.sizes)
+        self.deep = [place >= k for k in range(3)]
+        tokens = self.words[self.codes]
+        self.pairs = np.zeros(len(tokens), np.uint64)
+        self.pairs[1:] = _longer(tokens[:-1], tokens[1:], 2)
+        self.triples = np.zeros(len(tokens), np.uint64)
+        self.triples[1:] = _longer(self.pairs[:-1], tokens[1:], 3)
+
+    def asked(self, keys: np.ndarray, contexts: np.ndarray, wanted: np.ndarray) -> list[pa.Array]:
+        """Distinct n-grams among the ``wanted`` tokens, their contexts and training counts."""
+        keys, contexts, train = keys[wanted], contexts[wanted], ~self.held[wanted]
+        found, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        n = np.bincount(inverse[train], minlength=len(found))
+        return [pa.array(found.view(np.int64)), pa.array(contexts[first].view(np.int64)), pa.array(n, pa.int64())]
+
+
+def _asked(blocks: DataFrame, told: DataFrame, order: int, least: float) -> DataFrame:
+    """(block, key, context, n): each block's distinct n-grams whose shorter n-grams are all frequent."""
+
+    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = []
+        for batch in block.to_batches():
             for row in _rows(batch):
-                codes, sizes, held = _unpacked(row)
-                words = row["words"].to_numpy().view(np.uint64)
-                at = np.searchsorted(frequent, words)
-                known = frequent[np.minimum(at, len(frequent) - 1)] == words if len(frequent) else np.zeros(len(words), bool)
-                ids = np.where(known, at + 1, 0)[codes]  # 0: not frequent
-                first = np.zeros(len(codes), bool)
-                first[np.cumsum(sizes)[:-1]] = True
-                first[0] = True
-                pair = np.where((ids[:-1] > 0) & (ids[1:] > 0) & ~first[1:] & ~held[1:], ids[:-1] * base + ids[1:], 0)
+                b = _Block(row)
                 if order == 2:
-                    keys = pair[pair > 0]
+                    good = (_Answers(answers, 1).of(b.words)[0] >= least)[b.codes]
+                    keys, contexts = b.pairs, np.roll(b.words[b.codes], 1)
                 else:
-                    good = np.isin(pair, prefixes) & (pair > 0)
-                    both = good[:-1] & good[1:]
-                    keys = pair[:-1][both] * base + ids[2:][both]
-                found, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["gram", "n"])
+                    good = (_Answers(answers, 2).of(b.pairs)[0] > 0) & b.deep[1]
+                    keys, contexts = b.triples, np.roll(b.pairs, 1)
+                columns = b.asked(keys, contexts, good & np.roll(good, 1) & b.deep[order - 1])
+                parts.append(pa.table([pa.array(np.full(len(columns[0]), row["block"], np.int64)), *columns], names))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], pa.int64())] * 4, names)
 
-    parts = blocks.select("sizes", "held_out", "codes", "words").mapInArrow(count, "gram long, n long")
-    rows = parts.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("gram").toPandas()
-    return rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    names = ["block", "key", "context", "n"]
+    pairs = blocks.groupBy("block").cogroup(told.groupBy("block"))
+    return pairs.applyInArrow(ask, "block long, key long, context long, n long")
 
 
-class Automaton:
-    """Arcs and failure arcs of the states over one or two frequent words.
+def _frequent(asked: DataFrame, least: float) -> DataFrame:
+    """(key, context, n) of the n-grams with at least ``least`` occurrences in training texts."""
+    counted = asked.groupBy("key").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= least)
 
-    State 0 is the empty context. ``arcs[state]`` maps a frequent word's number to
-    (log-probability, next state); ``failure[state]`` is (backoff log-weight, shorter state).
-    At state 0 a word's own log-probability is used, and it leads to the word's state.
-    """
 
-    def __init__(self, word_counts, pairs, pair_counts, triples, triple_counts, total: int, kinds: int):
-        base = len(word_counts) + 1
-        self.unigram = lambda c: (c + 1) / (total + kinds + 1)
-        single = [0.0, *map(self.unigram, map(int, word_counts))]
-        self.arcs: list[dict[int, tuple[float, int]]] = [{} for _ in range(base + len(pairs))]
-        self.failure: list[tuple[float, int]] = [(0.0, 0)] * len(self.arcs)
-        state_of = {int(p): base + k for k, p in enumerate(pairs)}
-
-        followers: dict[int, list[tuple[int, int]]] = {}
-        for p, n in zip(pairs.tolist(), pair_counts.tolist(), strict=True):
-            followers.setdefault(p // base, []).append((p % base, n))
-        second: dict[int, float] = {}
-        rest = [1.0] * base
-        for v, seen in followers.items():
-            context = int(word_counts[v - 1])
-            rest[v] = 1 - sum(n - DISCOUNT for _, n in seen) / context
-            for w, n in seen:
-                second[v * base + w] = p = (n - DISCOUNT) / context + rest[v] * single[w]
-                self.arcs[v][w] = (log10(p), state_of[v * base + w])
-            self.failure[v] = (log10(rest[v]), 0)
-
-        longer: dict[int, list[tuple[int, int]]] = {}
-        for t, n in zip(triples.tolist(), triple_counts.tolist(), strict=True):
-            longer.setdefault(t // base, []).append((t % base, n))
-        for k, (p, context) in enumerate(zip(pairs.tolist(), pair_counts.tolist(), strict=True)):
-            state, v = base + k, p % base
-            seen = longer.get(p, [])
-            left = 1 - sum(n - DISCOUNT for _, n in seen) / context
-            for w, n in seen:
-                q = (n - DISCOUNT) / context + left * second[v * base + w]
-                self.arcs[state][w] = (log10(q), state_of[v * base + w])
-            self.failure[state] = (log10(left), v)
-
-    def score(self, ids: list[int], singles: list[float]) -> float:
-        """Log-probability of a text: frequent-word numbers (0: none) and log unigram probabilities."""
-        arcs, failure = self.arcs, self.failure
-        total, state = 0.0, 0
-        for word, single in zip(ids, singles, strict=True):
-            while state:
-                if word in arcs[state]:
-                    weight, state = arcs[state][word]
-                    total += weight
-                    break
-                weight, state = failure[state]
-                total += weight
-            else:
-                total += single
-                state = word
-        return total
+def _masses(frequent: DataFrame) -> DataFrame:
+    """(of, mass): what the frequent followers of each context take after the discount."""
+    return frequent.groupBy(F.col("context").alias("of")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+
+
+def _told(asked: DataFrame, frequent: DataFrame, order: int) -> DataFrame:
+    """(block, gram_order, key, n): the asked n-grams that are frequent."""
+    return asked.select("block", "key").join(frequent.select("key", "n"), "key").select("block", F.lit(order).alias("gram_order"), "key", "n")
 
 
 def lm_scores(documents: DataFrame, share: float = SHARE, block_tokens: int = BLOCK) -> DataFrame:
@@ -197,61 +192,68 @@ def lm_scores(documents: DataFrame, share: float = SHARE, block_tokens: int = BL
     """
     scratch = Scratch(documents.sparkSession, "lm")
     blocks = scratch.put(coded_blocks(documents, block_tokens), "blocks")
-    asked = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
-    asked = asked.select("block", "at", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    asked = blocks.select("block", F.explode(F.arrays_zip("words", "counts")).alias("x"))
+    asked = asked.select("block", F.col("x.words").alias("key"), F.col("x.counts").alias("n"))
     # A word has one row per block it is in, so no word makes a large group.
-    same = Window.partitionBy("word")
-    totals = asked.select(
+    same = Window.partitionBy("key")
+    words = asked.select(
         "block",
-        "at",
-        F.sum("n").over(same).alias("c"),
-        "word",
+        F.lit(1).alias("gram_order"),
+        "key",
+        F.sum("n").over(same).alias("n"),
         (F.row_number().over(same.orderBy("block")) == 1).alias("once"),
     )
+    words = scratch.put(words, "words")
     n_tokens = blocks.select(F.explode("counts").alias("n")).agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, share * n_tokens)
-    lead = F.when(F.col("once") & (F.col("c") >= least), F.col("word"))
-    totals = scratch.put(totals.select("block", "at", "c", lead.alias("frequent"), "once"), "totals")
-    kinds = totals.where("once AND c > 0").count()
-    # At most 1 / share words: each has at least that share of the training tokens.
-    common = totals.where("frequent IS NOT NULL").select("frequent", "c").toPandas()
-    words = common["frequent"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    frequent, word_counts = words[order], common["c"].to_numpy(np.int64)[order]
-    pairs, pair_counts = frequent_ngrams(blocks, frequent, frequent, 2, least)
-    triples, triple_counts = frequent_ngrams(blocks, frequent, pairs, 3, least)
+    kinds = words.where("once AND n > 0").count()
+    least = max(float(LEAST), share * n_tokens)
+    words = words.drop("once")
+    texts = blocks.drop("counts", "doc_ids")
+
+    pairs_asked = scratch.put(_asked(texts, words, 2, least), "pairs-asked")
+    pairs = scratch.put(_frequent(pairs_asked, least), "pairs")
+    pairs_told = scratch.put(_told(pairs_asked, pairs, 2), "pairs-told")
+    scratch.drop("pairs-asked")
+    triples_asked = scratch.put(_asked(texts, pairs_told, 3, least), "triples-asked")
+    triples = scratch.put(_frequent(triples_asked, least), "triples")
+    no_mass = F.lit(0.0).alias("mass")
+    with_mass = lambda told, grams: told.join(_masses(grams), F.col("key") == F.col("of"), "left").select(
+        *told.columns, F.coalesce("mass", F.lit(0.0)).alias("mass")
+    )
+    told = with_mass(words, pairs).unionByName(with_mass(pairs_told, triples))
+    told = told.unionByName(_told(triples_asked, triples, 3).select("*", no_mass))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    model = documents.sparkSession.sparkContext.broadcast(
-        (frequent, word_counts, pairs, pair_counts, triples, triple_counts)
-    )
 
-    def score(batches):
-        frequent, *counts = model.value
-        automaton = Automaton(*counts, total=n_tokens, kinds=kinds)
-        for batch in batches:
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = []
+        for batch in block.to_batches():
             for row in _rows(batch):
-                codes, sizes, _ = _unpacked(row)
-                words = row["words"].to_numpy().view(np.uint64)
-                c = row["c"].to_numpy()
-                at = np.searchsorted(frequent, words)
-                known = frequent[np.minimum(at, len(frequent) - 1)] == words if len(frequent) else np.zeros(len(words), bool)
-                ids = np.where(known, at + 1, 0)
-                singles = np.log10((c + 1) / (n_tokens + kinds + 1))
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                base = np.add.reduceat(singles[codes], starts)
-                seen = np.add.reduceat((c > 0)[codes].astype(np.int64), starts)
-                scores = [
-                    automaton.score(ids[part].tolist(), singles[part].tolist())
-                    for part in np.split(codes, starts[1:])
-                ]
-                columns = [row["doc_ids"], row["held_out"], sizes, seen, [n_tokens] * len(sizes), base, scores]
-                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays(
-                    [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)],
-                    [f.split()[0] for f in schema.split(", ")],
+                b = _Block(row)
+                c, mass = (x[b.codes] for x in _Answers(answers, 1).of(b.words))
+                single = (c + 1) / (n_tokens + kinds + 1)
+                p = single.copy()
+                before = lambda x: np.roll(x, 1)
+                # From each state the arc of a frequent n-gram, or the failure arc's weight times the shorter state's.
+                pair_n, pair_mass = _Answers(answers, 2).of(b.pairs)
+                pair_n = np.where(b.deep[1], pair_n, 0)
+                state = b.deep[1] & (before(c) >= least)
+                v = np.where(state, before(c), 1)
+                p = np.where(state, np.maximum(pair_n - DISCOUNT, 0) / v + (1 - before(mass) / v) * p, p)
+                triple_n, _ = _Answers(answers, 3).of(b.triples)
+                state = b.deep[2] & (before(pair_n) > 0)
+                v = np.where(state, before(pair_n), 1)
+                p = np.where(state, np.maximum(triple_n - DISCOUNT, 0) / v + (1 - before(pair_mass) / v) * p, p)
+                sums = lambda x: np.add.reduceat(x, b.starts)
+                columns = [row["doc_ids"], row["held_out"], b.sizes, sums((c > 0).astype(np.int64)), [n_tokens] * len(b.sizes)]
+                columns += [sums(np.log10(single)), sums(np.log10(p))]
+                parts.append(
+                    pa.table(
+                        [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], names
+                    )
                 )
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in types], names)
 
-    answers = totals.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("found"))
-    answers = answers.select("block", F.transform("found", lambda x: x["c"]).alias("c"))
-    return blocks.drop("counts").join(answers, "block").drop("block").mapInArrow(score, schema)
+    names = [f.split()[0] for f in schema.split(", ")]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return blocks.drop("counts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
