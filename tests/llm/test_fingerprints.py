@@ -74,6 +74,15 @@ def test_closed_syncmers_do_not_depend_on_the_surroundings(spark):
     assert set(alone.values()) == closed
 
 
+def test_a_passage_keeps_its_anchors_in_a_long_text(spark):
+    rng = random.Random(14)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = say(60)
+    df = spark.createDataFrame([(0, passage), (1, f"{say(5000)} {passage} {say(5000)}")], "k long, text string")
+    alone, within = ({a["h"]: a["at"] for a in r["a"]} for r in df.orderBy("k").select(fingerprints.anchors(F.col("text")).alias("a")).collect())
+    assert len(alone) > 10 and {within.get(h, -1) - at for h, at in alone.items()} == {5000}
+
+
 def test_likeness_counts_only_anchors_in_order(spark):
     rng = random.Random(4)
     words = [f"w{rng.randrange(10**6)}" for _ in range(80)]

@@ -2,8 +2,8 @@
 
 A window of K words is an anchor if the smallest hash among its inner windows of S words stands
 at its first or last place. Whether it is depends on the window alone, so equal stretches
-of text have equal anchors wherever they stand. A fingerprint keeps the KEPT anchors of smallest
-hash with their word positions; two fingerprints are compared by common anchors in the same order.
+of text have equal anchors wherever they stand. A fingerprint keeps all anchors
+with their word positions; two fingerprints are compared by common anchors in the same order.
 Everything is built-in DataFrame functions.
 """
 
@@ -16,14 +16,13 @@ from visloom.functions.bind import bind
 from visloom.llm.common import words_of
 
 K, S = 6, 2
-KEPT = 48
 CHUNK = 1000  # documents next to each other that one group holds on average
 SUPER = 4096  # chunks per group when neighbouring chunks are looked up
 NULL_CHUNKS = 1024  # groups of rows without a doc_id
 
 
 def anchors(text: Column) -> Column:
-    """The KEPT anchors of a text, smallest hash first: array of (h, at).
+    """All anchors of a text, smallest hash first: array of (h, at).
 
     ``at`` is the anchor's first word, the first one if the anchor repeats. A text of 1 to
     K - 1 words is one anchor as a whole; a text without words has none.
@@ -36,17 +35,11 @@ def anchors(text: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), n - K), lambda i: ends(i) <= between(i))
         name = lambda i: F.xxhash64(*[F.get(inner, i + k) for k in range(0, last + 1, S)])
 
-        def smallest(at: Column) -> Column:
-            hashes = F.transform(at, name)
-            return bind(
-                hashes,
-                lambda h: F.transform(
-                    F.slice(F.sort_array(F.array_distinct(h)), 1, KEPT),
-                    lambda x: F.struct(x.alias("h"), F.get(at, F.array_position(h, x).cast("int") - 1).alias("at")),
-                ),
-            )
+        def each_once(s: Column) -> Column:
+            return F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] != x["h"], F.lit(True)))
 
-        return bind(places, smallest)
+        named = F.sort_array(F.transform(places, lambda i: F.struct(name(i).alias("h"), i.cast("int").alias("at"))))
+        return bind(named, each_once)
 
     def of_words(w: Column) -> Column:
         inner = F.transform(
@@ -71,31 +64,33 @@ def as_text(found: Column) -> Column:
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Estimated share of common anchors (0 to 1), counting only those in the same order in both.
+    """Share of common anchors (0 to 1), counting only those in the same order in both.
 
-    Of the KEPT smallest hashes of both together, the common ones estimate the Jaccard similarity J;
-    the result is 2J / (1 + J), the share each has of the other when sizes are equal. Two
+    With J the Jaccard similarity of the anchors, the result is 2J / (1 + J), the share each has of the other when sizes are equal. Two
     fingerprints without anchors are alike, one without is unlike any other.
     """
-    hashes = lambda x: F.transform(x, lambda e: e["h"])
-
-    def with_pools(a: Column, b: Column) -> Column:
-        pool = F.slice(F.sort_array(F.array_union(hashes(a), hashes(b))), 1, KEPT)
-        common = lambda p: F.array_intersect(p, F.array_intersect(hashes(a), hashes(b)))
-        place = lambda x, h: F.get(x, F.array_position(hashes(x), h).cast("int") - 1)["at"]
-        matched = lambda c: F.sort_array(
-            F.transform(c, lambda h: F.struct(place(a, h).alias("x"), place(b, h).alias("y")))
-        )
-        ordered = lambda m: F.size(
-            F.filter(m, lambda e, i: F.coalesce(e["y"] > F.get(m, i - 1)["y"], F.lit(True)))
-        )
-        share = lambda p: bind(bind(common(p), matched), ordered) / F.size(p)
-        return bind(bind(pool, share), lambda j: 2 * j / (1 + j))
+
+    def compared(a: Column, b: Column) -> Column:
+        side = lambda x, k: F.transform(x, lambda e: F.struct(e["h"].alias("h"), F.lit(k).alias("side"), e["at"].alias("at")))
+        both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+
+        def common(s: Column) -> Column:
+            placed = F.transform(
+                s,
+                lambda x, i: F.when(F.get(s, i + 1)["h"] == x["h"], F.struct(x["at"].alias("x"), F.get(s, i + 1)["at"].alias("y"))),
+            )
+            return F.sort_array(F.filter(placed, lambda m: m.isNotNull()))
+
+        def share(m: Column) -> Column:
+            ordered = F.size(F.filter(m, lambda e, i: F.coalesce(e["y"] > F.get(m, i - 1)["y"], F.lit(True))))
+            return ordered / (F.size(a) + F.size(b) - F.size(m))
+
+        return bind(bind(bind(both, common), share), lambda j: 2 * j / (1 + j))
 
     both_empty = (F.size(one) == 0) & (F.size(other) == 0)
     either_empty = (F.size(one) == 0) | (F.size(other) == 0)
-    compared = bind(F.struct(one.alias("a"), other.alias("b")), lambda s: with_pools(s["a"], s["b"]))
-    return F.when(both_empty, 1.0).when(either_empty, 0.0).otherwise(compared)
+    found = bind(F.struct(one.alias("a"), other.alias("b")), lambda s: compared(s["a"], s["b"]))
+    return F.when(both_empty, 1.0).when(either_empty, 0.0).otherwise(found)
 
 
 def _chunks(documents: DataFrame) -> DataFrame:
