@@ -175,3 +175,13 @@ def test_first_available(spark, scanned):
         first_available(spark, ["/nowhere"], ["k"])
     with pytest.raises(ValueError):
         first_available(spark, [], ["k"])
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(k, None if k % 3 else "a") for k in range(0, 60, 2)], "p long, g string")
+    got = rerank(df, "p", partition=["g"], chunk=7).collect()
+    want = {k: n for r in (0, 1) for n, k in enumerate(k for k in range(0, 60, 2) if bool(k % 3) == bool(r))}
+    assert {r["p"]: r["index"] for r in got} == want
+    placed = random_positions(df, "p", lead=["g"], digits=1).collect()
+    assert sorted(r["position"] for r in placed) == list(range(30))
+    assert {r["g"] for r in placed if r["position"] < 20} == {None}

@@ -22,6 +22,15 @@ def _before(n: str, partition: Sequence[str], group: Sequence[str]) -> Column:
     return F.coalesce(F.sum(n).over(earlier), F.lit(0))
 
 
+def _beside(rows: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with their group's other columns of ``offsets``; null keys meet null keys."""
+    named = offsets.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(named[f"__of_{k}"])
+    return rows.join(named, same).drop(*[f"__of_{k}" for k in keys])
+
+
 def rerank(
     df: DataFrame, position: str, out: str = "index", partition: Sequence[str] = (), chunk: int = CHUNK
 ) -> DataFrame:
@@ -36,9 +45,9 @@ def rerank(
     sizes = chunked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select(*keys, _before("__n", partition, ["__chunk"]).alias("__before"))
     inside = Window.partitionBy(*keys).orderBy(position)
+    ranked = chunked.withColumn("__rank", F.row_number().over(inside) - 1)
     return (
-        chunked.withColumn("__rank", F.row_number().over(inside) - 1)
-        .join(offsets, keys)
+        _beside(ranked, offsets, keys)
         .withColumn(out, (F.col("__before") + F.col("__rank")).cast("bigint"))
         .drop("__chunk", "__rank", "__before")
     )
@@ -68,13 +77,13 @@ def random_positions(
         # One row per lead value here, one row per bucket inside each.
         leads = hashed.groupBy(*lead).agg(F.count(F.lit(1)).alias("__total"))
         starts = leads.select(*lead, _before("__total", [], lead).alias("__start"))
-        offsets = sizes.join(starts, list(lead)).select(*group, (F.col("__start") + within).alias("__before"))
+        offsets = _beside(sizes, starts, list(lead)).select(*group, (F.col("__start") + within).alias("__before"))
     else:
         offsets = sizes.select(*group, within.alias("__before"))
     inside = Window.partitionBy(*group).orderBy("__hash", key)
+    ranked = hashed.withColumn("__rank", F.row_number().over(inside) - 1)
     return (
-        hashed.withColumn("__rank", F.row_number().over(inside) - 1)
-        .join(offsets, group)
+        _beside(ranked, offsets, group)
         .withColumn(out, (F.col("__before") + F.col("__rank")).cast("bigint"))
         .drop("__hash", "__bucket", "__rank", "__before")
     )
