@@ -27,6 +27,14 @@ def test_marginals_meet_their_targets(spark):
     assert math.isclose(odds(0), odds(1), rel_tol=1e-6, abs_tol=1e-9)
 
 
+def test_the_rate_is_met_beside_vanishing_shares(spark):
+    rows = [("a", 1000, 0.5), ("b", 4000, 0.5 - 1e-21), ("c", 5000, 1e-21)]
+    cells = spark.createDataFrame(rows, "k string, tokens long, share double")
+    for keep in (0.1, 0.45, 0.8):
+        rate = mixing.sampling_rate(cells, keep)
+        assert math.isclose(sum(min(n, rate * 10_000 * s) for _, n, s in rows), keep * 10_000, rel_tol=1e-6)
+
+
 def test_all_documents(spark, sf):
     df = table(spark, sf, "documents")
     rows = mixing.mixed(df).collect()

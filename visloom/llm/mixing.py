@@ -24,6 +24,7 @@ KEEP = 0.5  # share of all tokens the sample is to have
 MAX_ROUNDS = 30
 TOLERANCE = 1e-4  # largest error of a marginal share
 GRID = 64  # candidates for the sampling rate tried at once
+EXACT = 1e-9  # relative error of the sampling rate
 SEED = 42
 
 
@@ -107,21 +108,23 @@ def sampling_rate(cells: DataFrame, keep: float) -> float:
     """The factor r at which the expected sample, Σ min(tokens, r · share · whole), has ``keep`` of all tokens.
 
     Cells that would need more than they have give all of it. The sum rises with r, so each pass over the
-    cells tries GRID factors at once and narrows the bracket.
+    cells tries GRID factors at once, evenly on a logarithmic scale, and narrows the bracket to EXACT.
     """
     whole, least = cells.agg(
         F.sum("tokens"), F.min(F.when(F.col("share") > 0, F.col("share") / F.col("tokens")))
     ).first()
-    if not whole or not least:
+    if not whole or not least or keep <= 0:
         return 0.0
-    low, high = 0.0, 1 / (least * whole)  # at high every cell gives all
-    for _ in range(5):
-        tries = [low + (high - low) * (k + 1) / GRID for k in range(GRID)]
+    # At ``high`` every cell gives all; the sum is at most r · whole, so ``low`` is not above the rate.
+    low, high = keep, max(keep, min(1 / (least * whole) * (1 + EXACT), 1e300) if least * whole > 1e-300 else 1e300)
+    while high > low * (1 + EXACT):
+        step = (high / low) ** (1 / GRID)
+        tries = [*[low * step ** (k + 1) for k in range(GRID - 1)], high]
         sums = cells.agg(
             *[F.sum(F.least(F.col("tokens").cast("double"), F.lit(r * whole) * F.col("share"))) for r in tries]
         ).first()
         k = next((k for k, s in enumerate(sums) if s >= keep * whole), GRID - 1)
-        low, high = tries[k] - (high - low) / GRID, tries[k]
+        low, high = ([low, *tries])[k], tries[k]
     return high
 
 
