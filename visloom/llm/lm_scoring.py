@@ -164,19 +164,22 @@ def _asked(blocks: DataFrame, told: DataFrame, order: int, least: float) -> Data
 
 
 def _frequent(asked: DataFrame, least: float) -> DataFrame:
-    """(key, context, n) of the n-grams with at least ``least`` occurrences in training texts."""
-    counted = asked.groupBy("key").agg(F.first("context").alias("context"), F.sum("n").alias("n"))
+    """``asked`` with training counts, for n-grams that have at least ``least``; ``once`` in one row of each."""
+    # An n-gram has one row per block it is in, so none makes a large group.
+    same = Window.partitionBy("key")
+    counted = asked.select(
+        "block", "key", "context", F.sum("n").over(same).alias("n"), (F.row_number().over(same.orderBy("block")) == 1).alias("once")
+    )
     return counted.where(F.col("n") >= least)
 
 
 def _masses(frequent: DataFrame) -> DataFrame:
     """(of, mass): what the frequent followers of each context take after the discount."""
-    return frequent.groupBy(F.col("context").alias("of")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+    return frequent.where("once").groupBy(F.col("context").alias("of")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
 
 
-def _told(asked: DataFrame, frequent: DataFrame, order: int) -> DataFrame:
-    """(block, gram_order, key, n): the asked n-grams that are frequent."""
-    return asked.select("block", "key").join(frequent.select("key", "n"), "key").select("block", F.lit(order).alias("gram_order"), "key", "n")
+def _told(frequent: DataFrame, order: int) -> DataFrame:
+    return frequent.select("block", F.lit(order).alias("gram_order"), "key", "n")
 
 
 def lm_scores(documents: DataFrame, share: float = SHARE, block_tokens: int = BLOCK) -> DataFrame:
@@ -210,18 +213,14 @@ def lm_scores(documents: DataFrame, share: float = SHARE, block_tokens: int = BL
     words = words.drop("once")
     texts = blocks.drop("counts", "doc_ids")
 
-    pairs_asked = scratch.put(_asked(texts, words, 2, least), "pairs-asked")
-    pairs = scratch.put(_frequent(pairs_asked, least), "pairs")
-    pairs_told = scratch.put(_told(pairs_asked, pairs, 2), "pairs-told")
-    scratch.drop("pairs-asked")
-    triples_asked = scratch.put(_asked(texts, pairs_told, 3, least), "triples-asked")
-    triples = scratch.put(_frequent(triples_asked, least), "triples")
+    pairs = scratch.put(_frequent(_asked(texts, words, 2, least), least), "pairs")
+    triples = scratch.put(_frequent(_asked(texts, _told(pairs, 2), 3, least), least), "triples")
     no_mass = F.lit(0.0).alias("mass")
     with_mass = lambda told, grams: told.join(_masses(grams), F.col("key") == F.col("of"), "left").select(
         *told.columns, F.coalesce("mass", F.lit(0.0)).alias("mass")
     )
-    told = with_mass(words, pairs).unionByName(with_mass(pairs_told, triples))
-    told = told.unionByName(_told(triples_asked, triples, 3).select("*", no_mass))
+    told = with_mass(words, pairs).unionByName(with_mass(_told(pairs, 2), triples))
+    told = told.unionByName(_told(triples, 3).select("*", no_mass))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
