@@ -1,6 +1,7 @@
 """Every registered query that has SQL against it on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,9 +17,13 @@ def duck(sf):
     return con
 
 
+def plain(value):
+    return None if pd.api.types.is_scalar(value) and pd.isna(value) else value
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    clean = [tuple(None if v is None or v != v else v for v in r) for r in frame.itertuples(index=False, name=None)]
+    clean = [tuple(map(plain, r)) for r in frame.itertuples(index=False, name=None)]
     return sorted(clean, key=repr)
 
 
