@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visloom.llm import chat, fingerprints, lm_scoring, mixing, near_dedup, packing, quality, substring_dedup, token_counts, warc
+from visloom.llm import chat, fingerprints, language_id, lm_scoring, mixing, near_dedup, packing, quality, ranked_search
+from visloom.llm import spelling, substring_dedup, token_counts, warc
 from visloom.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -151,6 +152,91 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and roots of all words of all documents."""
+    return spelling.variant_forms(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (
+    SELECT doc_id, run, length(run) AS size, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), crc AS (
+    SELECT list_transform(range(256), lambda x: list_reduce(range(8)::UBIGINT[],
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, x::UBIGINT)) AS steps
+), summed AS (
+    SELECT run, size, n, xor(4294967295, list_reduce(flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+            lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))::UBIGINT[],
+        lambda c, b: xor(steps[(xor(c, b) & 255)::INT + 1], c >> 8), 4294967295::UBIGINT)) AS h
+    FROM counted, crc
+), words AS (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % size)::INT) || substr(run, (h % size)::INT + 2) ELSE run END AS word,
+        sum(n)::BIGINT AS n FROM summed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), without AS (
+    SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM without a JOIN without b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min({'other': other, 'n': other_n}, {'less': -other_n, 'other': other}) AS top FROM near GROUP BY word
+), formed AS (
+    SELECT word, CASE WHEN top.n >= 5 * n THEN top.other END AS form, n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN top.n >= 5 * n THEN top.n END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), climbed AS (
+    SELECT word, word AS spot FROM words
+    UNION ALL SELECT climbed.word, formed.form FROM climbed JOIN formed ON spot = formed.word WHERE form IS NOT NULL
+), roots AS (
+    SELECT climbed.word, spot AS root FROM climbed JOIN formed ON spot = formed.word WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted languages of all documents."""
+    return language_id.predicted_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return ranked_search.ranked_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+SQL["op13_ranked_search"] = r"""
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), occurrences AS (
+    SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id
+), totals AS (
+    SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM sizes
+), lengths AS (
+    SELECT doc_id, 100 - 90 + (90 * n * docs) // words AS m FROM sizes, totals
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM occurrences, totals GROUP BY term, docs
+), scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN occurrences USING (term) JOIN lengths USING (doc_id) GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
