@@ -33,9 +33,10 @@ PROBES = 6  # with 16 coordinates a term, an absent term is taken for a present
 STEP = 4000  # impacts (below 1,000,000) are kept in steps, rounded up: one byte each
 SEEDS = 2  # the first thresholds come from the SEEDS * k highest bounds
 HALVINGS = 1  # rounds that take the upper half of the remaining bounds before the last takes all
-VOCABULARY = 400_000  # terms one task counts before it hands them on
+VOCABULARY = 200_000  # terms one task counts or remembers the hashes of at once
 QUERY_TERMS = 200_000  # (query, term) pairs of a block of queries
-SCORES_HELD = 1 << 20  # bounds held at once in a task
+SCORES_HELD = 1 << 18  # bounds held at once in a task
+PORTION_ROWS = 1024  # texts a task takes out of Arrow memory at once
 
 SKETCHES = "doc_id long, sketch binary"
 
@@ -139,6 +140,12 @@ def _item_terms(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(split, f"item_id {rows.schema['item_id'].dataType.simpleString()}, term binary").distinct()
 
 
+def _portions(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, PORTION_ROWS):
+            yield batch.slice(start, PORTION_ROWS)
+
+
 def _counted(documents: DataFrame) -> DataFrame:
     """Partial counts (term, n): documents that hold the term; null stands for documents with a
     term at all, the empty term for all terms with repeats."""
@@ -153,7 +160,7 @@ def _counted(documents: DataFrame) -> DataFrame:
                 [pa.array(terms, pa.binary()), pa.array([docs, total, *held.values()], pa.int64())], ["term", "n"]
             )
 
-        for batch in batches:
+        for batch in _portions(batches):
             for text in texts_as_bytes(batch.column(0)):
                 terms = terms_of(text)
                 docs += bool(terms)
@@ -172,8 +179,8 @@ def _sketched(documents: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """(doc_id, sketch) of the documents that hold a term."""
 
     def sketch(batches):
-        hashes = WordHashes()
-        for batch in batches:
+        hashes = WordHashes(VOCABULARY)
+        for batch in _portions(batches):
             ids, sketches = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
                 terms = terms_of(text)
@@ -250,7 +257,7 @@ def _scored(documents: DataFrame, pairs: DataFrame, queries: Queries, n_docs: in
 
     def score(batches):
         wanted = queries.terms_by_query()
-        for batch in batches:
+        for batch in _portions(batches):
             out = []
             asked = zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True)
             for doc_id, text, which in asked:
