@@ -26,15 +26,26 @@ def brute_pairs(pred, true, threshold):
 
 
 def brute_matches(pred, true, threshold):
-    chosen = {}
-    for t, p, v in brute_pairs(pred, true, threshold):
-        if t[0] not in chosen or (v, -p[0]) > (chosen[t[0]][1], -chosen[t[0]][0]):
-            chosen[t[0]] = (p[0], v)
-    taken = {}
-    for t, (p, v) in chosen.items():
-        if p not in taken or (v, -t) > (taken[p][1], -taken[p][0]):
-            taken[p] = (t, v)
-    return {(t, p) for p, (t, _) in taken.items()}
+    """A plain loop over proposals: truths propose in order of their wishes, predictions keep the best."""
+    first = {}
+    for side in (true, pred):
+        for box in sorted(side, reverse=True):
+            first[id(side), box[1:]] = box[0]
+    wishes, wanted = {}, {}
+    for t, p, v in sorted(brute_pairs(pred, true, threshold), key=lambda x: (-x[2], first[id(pred), x[1][1:]], x[1][0])):
+        wishes.setdefault(t[0], []).append(p[0])
+        wanted[p[0], t[0]] = (-v, first[id(true), t[1:]], t[0])
+    free, kept = list(wishes), {}
+    while free:
+        t = free.pop()
+        while wishes[t]:
+            p = wishes[t].pop(0)
+            if p not in kept or wanted[p, t] < wanted[p, kept[p]]:
+                if p in kept:
+                    free.append(kept[p])
+                kept[p] = t
+                break
+    return {(t, p) for p, t in kept.items()}
 
 
 def random_boxes(rng, n, start):
@@ -92,6 +103,40 @@ def test_matches_equal_brute_force(spark, threshold):
         assert row["reward"] == pytest.approx(hits - 0.5 * row["duplicates"] - 0.5 * row["wrong"])
 
 
+def test_second_choices(spark):
+    """Two truths want the same prediction; the one turned down gets its second one."""
+    true = [(1, "i", "a", 0.0, 0.0, 10.0, 10.0), (2, "i", "a", 1.0, 0.0, 11.0, 10.0)]
+    pred = [(11, "i", "a", 0.2, 0.0, 10.2, 10.0), (12, "i", "a", 2.8, 0.0, 12.8, 10.0)]
+    p, t = spark.createDataFrame(pred, SCHEMA), spark.createDataFrame(true, SCHEMA)
+    got = {(r["truth_id"], r["pred_id"]) for r in detection.match_boxes(p, t).collect()}
+    assert got == {(1, 11), (2, 12)} == brute_matches(pred, true, 0.5)
+    score = detection.image_scores(p, t).first()
+    assert (score["matched"], score["duplicates"], score["wrong"]) == (2, 0, 0)
+
+
+def test_rounds_of_crowded_images_are_few(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, f"i{k % 3}", "a", x, y, x + 0.1, y + 0.1) for k in range(900) for x, y in [(rng.random(), rng.random())]]
+    boxes = spark.createDataFrame(rows, SCHEMA)
+    moved = [(k, i, a, x + rng.gauss(0, 0.02), y, x2, y2) for k, i, a, x, y, x2, y2 in rows]
+    written = []
+    keep = detection.materialized
+    monkeypatch.setattr(detection, "materialized", lambda df, name: written.append(name) or keep(df, name))
+    got = detection.match_boxes(spark.createDataFrame(moved, SCHEMA), boxes).collect()
+    assert {(r["truth_id"], r["pred_id"]) for r in got} == brute_matches(moved, rows, 0.5)
+    assert sum(n.startswith("box-matches") for n in written) <= 12
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_grid_rows_are_few(spark, threshold):
+    """At most 8 rows a box on either side, whatever the sizes."""
+    rng = random.Random(3)
+    boxes = spark.createDataFrame(random_boxes(rng, 2000, 0), SCHEMA)
+    truth, pred = detection._prepared(boxes, boxes, threshold)
+    for side, name in zip(detection._with_grid(truth, pred, threshold), ("truth_id", "pred_id"), strict=True):
+        assert side.groupBy(name).count().agg(F.max("count")).first()[0] <= 8
+
+
 def test_threshold_is_checked(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for bad in (0, 1.5):

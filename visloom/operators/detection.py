@@ -9,20 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visloom.functions.boxes import iou
-from visloom.operators.positions import random_positions
+from visloom.operators.positions import random_positions, rerank
 from visloom.session import materialized
 
 GROUP = ["image_id", "label"]
 COORDS = ["x1", "y1", "x2", "y2"]
-RATIO = 2.0  # largest over smallest side of one size level of the grid
+PAIR = [*GROUP, "truth_id", "truth_n", "pred_id", "pred_n"]
+RATIO = 4.0  # largest over smallest side of one level of the grid
 
 
 def _distinct_boxes(boxes: DataFrame, name: str) -> DataFrame:
-    """Equal boxes as one row: smallest id and number of copies.
-
-    Copies have the same overlaps, and the matching rule prefers small ids, so only
-    the first copy can ever be matched: combining them changes nothing.
-    """
+    """Equal boxes as one row: smallest id and number of copies. Copies have the same overlaps."""
     return boxes.groupBy(*GROUP, *COORDS).agg(
         F.min("box_id").alias(f"{name}_id"), F.count(F.lit(1)).alias(f"{name}_n")
     )
@@ -31,88 +28,154 @@ def _distinct_boxes(boxes: DataFrame, name: str) -> DataFrame:
 def _with_grid(truth: DataFrame, pred: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Give both sides grid keys such that every pair with IoU ≥ threshold shares exactly one.
 
-    With IoU ≥ t the shorter of two sides is at least t times the longer one, and the
-    overlap along an axis is at least t times the longer one. A truth takes the cell of
-    its top-left corner on the grid of its own size level; a prediction takes every cell
-    in which the corner of a partner can lie. The sides of a level differ by less than
-    RATIO, and cells are smaller than its boxes and shrink as the threshold rises, so boxes
-    that share a cell mostly overlap.
+    Along an axis, boxes with IoU ≥ t overlap by at least t times the longer side. So one side is at
+    least t times the other, and the centres are at most half the sum of the sides less that
+    overlap apart. Each axis has cells on levels of side lengths a factor RATIO apart. Along x a truth
+    takes the one cell of its own centre and level, and a prediction all those a partner's can be;
+    along y it is the other way round. So each side has about as many rows as one axis has
+    choices (8 at most from threshold 0.5 on), not the product of both.
     """
-    t, ratio = threshold, RATIO
-    share = min(1.0, max(1 - t, 1e-3))
+    t = threshold
+    share = max(1 - t, (1 - t) / (2 * t), 1e-3)  # farthest centre of a partner, in sides of the level's longest
     # A little slack for rounding; extra cells cost time, never results.
     slack = 1e-6
     wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     real = (wide > 0) & (high > 0)
 
     def level(side: Column) -> Column:
-        return F.floor(F.log(side) / math.log(ratio))
+        return F.floor(F.log(side) / math.log(RATIO))
 
-    def cell(edge: Column, at: Column) -> Column:
-        return F.floor(edge / (F.pow(F.lit(ratio), at + 1) * share))
+    def cell(at: Column, size: Column) -> Column:
+        return F.floor(at / (F.pow(F.lit(RATIO), size + 1) * share))
 
-    lw, lh = level(wide), level(high)
-    keyed_truth = truth.where(real).withColumns(
-        {"lw": lw, "lh": lh, "cx": cell(F.col("x1"), lw), "cy": cell(F.col("y1"), lh)}
-    )
+    def reach(side: Column, at: Column) -> Column:
+        """How far the centre of a partner on level ``at`` can be from one's own."""
+        longest = F.pow(F.lit(RATIO), at + 1)
+        # The partner's side that lets the centres be farthest apart.
+        other = F.least(longest, side / t)
+        if t >= 0.5:
+            other = F.least(other, F.greatest(side, longest / RATIO, side * t))
+        return (side + other) / 2 - F.greatest(side, other) * t + side * slack
 
-    def levels(side: Column) -> Column:
-        return F.sequence(level(side * t * (1 - slack)), level(side / t * (1 + slack)))
-
-    def cells(start: str, side: Column, at: str) -> Column:
-        top = F.pow(F.lit(ratio), F.col(at) + 1)
-        longest, shortest = F.least(side / t, top), F.greatest(side * t, top / ratio)
-        before = longest - F.greatest(side, longest) * t
-        after = side - F.greatest(side, shortest) * t
-        low = F.col(start) - before - side * slack
-        up = F.col(start) + after + side * slack
-        # An empty reach still needs a well-formed range.
-        first = cell(low, F.col(at))
-        return F.sequence(first, F.greatest(first, cell(up, F.col(at))))
-
-    keyed_pred = (
-        pred.where(real)
-        .withColumn("lw", F.explode(levels(wide)))
-        .withColumn("lh", F.explode(levels(high)))
-        .withColumn("cx", F.explode(cells("x1", wide, "lw")))
-        .withColumn("cy", F.explode(cells("y1", high, "lh")))
-    )
-    return keyed_truth, keyed_pred
+    def own(boxes: DataFrame, centre: Column, side: Column, at: str, place: str) -> DataFrame:
+        return boxes.withColumn(at, level(side)).withColumn(place, cell(centre, F.col(at)))
+
+    def partners(boxes: DataFrame, centre: Column, side: Column, at: str, place: str) -> DataFrame:
+        levels = F.sequence(level(side * t * (1 - slack)), level(side / t * (1 + slack)))
+        placed = boxes.withColumn(at, F.explode(levels)).withColumn("__reach", reach(side, F.col(at)))
+        first, last = (cell(edge, F.col(at)) for edge in (centre - F.col("__reach"), centre + F.col("__reach")))
+        return placed.withColumn(place, F.explode(F.sequence(first, last))).drop("__reach")
+
+    x = ((F.col("x1") + F.col("x2")) / 2, wide, "lw", "cx")
+    y = ((F.col("y1") + F.col("y2")) / 2, high, "lh", "cy")
+    return partners(own(truth.where(real), *x), *y), partners(own(pred.where(real), *y), *x)
 
 
 def _overlaps(truth: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
-    """(image_id, label, truth_id, pred_id, iou) of distinct boxes with enough overlap."""
+    """(image_id, label, truth_id, truth_n, pred_id, pred_n, iou) of distinct boxes with enough overlap."""
     keyed_truth, keyed_pred = _with_grid(truth, pred, threshold)
     grid = [*GROUP, "lw", "lh", "cx", "cy"]
 
-    def packed(name: str) -> Column:
-        return F.struct(*COORDS).alias(name)
+    def side(keyed: DataFrame, at: str, *columns: str) -> DataFrame:
+        # One hash of the key is what is shuffled and sorted by; equal hashes are checked.
+        return keyed.select(
+            F.xxhash64(*grid).alias("__key"), F.struct(*grid).alias(f"__{at}_at"), *columns, F.struct(*COORDS).alias(at)
+        )
 
-    left = keyed_truth.select(*grid, "truth_id", packed("t"))
-    right = keyed_pred.select(*grid, "pred_id", packed("p"))
+    left = side(keyed_truth, "t", "truth_id", "truth_n")
+    right = side(keyed_pred, "p", "pred_id", "pred_n")
     overlap = iou(F.col("t"), F.col("p"))
-    return left.join(right, grid).where(overlap >= threshold).select(
-        *GROUP, "truth_id", "pred_id", overlap.alias("iou")
-    )
+    met = left.join(right, "__key").where((overlap >= threshold) & (F.col("__t_at") == F.col("__p_at")))
+    return met.select(*[F.col(f"__t_at.{c}").alias(c) for c in GROUP], *PAIR[len(GROUP) :], overlap.alias("iou"))
 
 
 def _best(pairs: DataFrame, of: str, other: str) -> DataFrame:
     """For each ``of`` its pair with the largest IoU, then the smallest ``other``."""
-    top = F.max(F.struct("iou", (-F.col(other)).alias("neg"))).alias("best")
+    rest = [c for c in pairs.columns if c not in (*GROUP, of, other, "iou")]
+    top = F.max(F.struct("iou", (-F.col(other)).alias("neg"), *rest)).alias("best")
     chosen = pairs.groupBy(*GROUP, of).agg(top)
-    return chosen.select(*GROUP, of, (-F.col("best.neg")).alias(other), "best.iou")
+    return chosen.select(*GROUP, of, (-F.col("best.neg")).alias(other), "best.iou", *[f"best.{c}" for c in rest])
 
 
 def match_boxes(pred: DataFrame, true: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-to-one matches (image_id, label, truth_id, pred_id, iou) of equal label.
 
-    Every truth picks its best prediction (largest IoU, then smallest id); a prediction
-    picked by several truths goes to the best of them. This greedy rule is repeatable
-    but not an optimal assignment. Inputs hold box_id, image_id, label, x1, y1, x2, y2.
+    Every truth proposes to its best prediction, a prediction keeps its best truth, and a truth that is
+    turned down proposes to its next one, until none can. Best is the largest IoU, then the box whose first
+    copy has the smallest id, then the smallest id. Inputs hold box_id (an integer), image_id, label, x1, y1, x2, y2.
     """
     truths, preds = _prepared(pred, true, threshold)
-    chosen = _best(_overlaps(truths, preds, threshold), "truth_id", "pred_id")
-    return _best(chosen, "pred_id", "truth_id")
+    matches = settled_matches(materialized(_overlaps(truths, preds, threshold), "box-pairs"))
+    single = (F.col("truth_n") == 1) & (F.col("pred_n") == 1)
+    units = matches.where(~single).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("amount").cast("int") - 1)))
+    copies = _copies({"truth": true, "pred": pred})
+    for side in ("truth", "pred"):
+        mine = copies.where(F.col("side") == side).select(
+            F.col("first").alias(f"{side}_id"), F.col("number").alias("__number"), F.col("box_id").alias("__own")
+        )
+        units = units.withColumn("__number", F.col(f"{side}_from") + F.col("__k"))
+        units = units.join(mine, [f"{side}_id", "__number"], "left").withColumn(
+            f"{side}_id", F.coalesce("__own", f"{side}_id")
+        )
+        units = units.drop("__own", "__number")
+    columns = [*GROUP, "truth_id", "pred_id", "iou"]
+    return matches.where(single).select(*columns).unionByName(units.select(*columns))
+
+
+def _copies(sides: dict[str, DataFrame]) -> DataFrame:
+    """(side, first, box_id, number) of all boxes with copies: the first copy's id and the place among them."""
+    box = ["side", *GROUP, *COORDS]
+    boxes = None
+    for side, rows in sides.items():
+        rows = rows.select(F.lit(side).alias("side"), *GROUP, *COORDS, "box_id")
+        boxes = rows if boxes is None else boxes.unionByName(rows)
+    firsts = boxes.groupBy(*box).agg(F.min("box_id").alias("first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    copies = materialized(boxes.join(firsts.drop("__n"), box).select("side", "first", "box_id"), "box-copies")
+    return rerank(copies, "box_id", "number", partition=["side", "first"])
+
+
+def settled_matches(pairs: DataFrame) -> DataFrame:
+    """The matches of deferred acceptance among ``pairs`` of distinct boxes with copies.
+
+    Returns the pairs with ``amount``, the number of copies matched, and ``truth_from`` and ``pred_from``, the
+    numbers of the first ones (copies are used up in order of their ids).
+
+    A truth and a prediction that are each other's best must be matched, whatever the others do, and so must
+    their copies until one side has none left; that side then leaves with all its pairs. Both sides rank by
+    the same IoU, so among the largest that remain those of smallest id are each other's best:
+    every round settles something in each cluster of boxes, and the outcome is the only one in
+    which no two boxes would rather have each other. Later rounds see only pairs with free copies.
+    """
+    pairs = pairs.withColumns({"truth_left": F.col("truth_n"), "pred_left": F.col("pred_n")})
+    left = [*PAIR, "iou", "truth_left", "pred_left"]
+    found, turn = None, 0
+    while True:
+        by_truth, by_pred = _best(pairs, "truth_id", "pred_id"), _best(pairs, "pred_id", "truth_id")
+        mutual = by_truth.join(by_pred.select(*GROUP, "truth_id", "pred_id"), [*GROUP, "truth_id", "pred_id"])
+        amount = F.least("truth_left", "pred_left")
+        truths = mutual.select(*GROUP, "truth_id", F.col("pred_id").alias("__partner"), amount.alias("__truths"))
+        preds = mutual.select(*GROUP, "pred_id", amount.alias("__preds"))
+        state = pairs.join(truths, [*GROUP, "truth_id"], "left").join(preds, [*GROUP, "pred_id"], "left")
+        truths_used, preds_used = (F.coalesce(c, F.lit(0)) for c in ("__truths", "__preds"))
+        matched = F.coalesce(F.col("__partner") == F.col("pred_id"), F.lit(False))
+        open_ = (F.col("truth_left") > truths_used) & (F.col("pred_left") > preds_used)
+        state = state.select(
+            *PAIR,
+            "iou",
+            (F.col("truth_n") - F.col("truth_left")).alias("truth_from"),
+            (F.col("pred_n") - F.col("pred_left")).alias("pred_from"),
+            F.when(matched, F.col("__truths")).alias("amount"),
+            (F.col("truth_left") - truths_used).alias("truth_left"),
+            (F.col("pred_left") - preds_used).alias("pred_left"),
+            open_.alias("open"),
+        )
+        state = materialized(state.where(F.col("amount").isNotNull() | F.col("open")), f"box-matches{turn}")
+        settled = state.where("amount IS NOT NULL").select(*PAIR, "iou", "truth_from", "pred_from", "amount")
+        found = settled if found is None else found.union(settled)
+        pairs = state.where("open").select(*left)
+        if pairs.isEmpty():
+            return found
+        turn += 1
 
 
 def _prepared(pred: DataFrame, true: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -137,10 +200,9 @@ def image_scores(
     """
     truths, preds = (materialized(side, "boxes") for side in _prepared(pred, true, threshold))
     touched = materialized(_overlaps(truths, preds, threshold), "box-pairs")
-    chosen = _best(touched, "truth_id", "pred_id")
-    matches = _best(chosen, "pred_id", "truth_id")
+    matches = settled_matches(touched)
     touching = touched.select("pred_id").distinct().withColumn("touches", F.lit(True))
-    matched = matches.groupBy("image_id").agg(F.count(F.lit(1)).alias("matched"))
+    matched = matches.groupBy("image_id").agg(F.sum("amount").alias("matched"))
     per_image = (
         preds.join(touching, "pred_id", "left")
         .groupBy("image_id")

@@ -176,7 +176,12 @@ def box_iou(spark, sf):
     )
 
 
-@query("box_match", fx.with_ctes(*MATCH, select="SELECT image_id, label, truth_id, pred_id, round(iou, 6) AS iou FROM matches"))
+@query(
+    "box_match",
+    fx.with_ctes(
+        *MATCH, recursive=True, select="SELECT image_id, label, truth_id, pred_id, round(iou, 6) AS iou FROM matches"
+    ),
+)
 def box_match(spark, sf):
     return rounded(detection.match_boxes(fx.boxes_pred(spark, sf), fx.boxes_true(spark, sf)))
 
@@ -193,6 +198,7 @@ SQL_REWARD = "round(matched - duplicates * 0.5::DOUBLE - wrong * 0.5::DOUBLE - p
     fx.with_ctes(
         *MATCH,
         fx.SQL_SCORES,
+        recursive=True,
         select=f"SELECT image_id, expected, predicted, matched, duplicates, wrong, {SQL_REWARD} AS reward FROM scores",
     ),
 )
@@ -205,6 +211,7 @@ def episode_reward(spark, sf):
     fx.with_ctes(
         *MATCH,
         fx.SQL_SCORES,
+        recursive=True,
         select="""SELECT sum(matched)::BIGINT AS matched, sum(predicted)::BIGINT AS predicted, sum(expected)::BIGINT AS expected,
   round(sum(matched) / sum(predicted)::DOUBLE, 6) AS precision, round(sum(matched) / sum(expected)::DOUBLE, 6) AS recall FROM scores""",
     ),
@@ -218,6 +225,7 @@ def box_precision_recall(spark, sf):
     fx.with_ctes(
         *MATCH,
         fx.SQL_SCORES,
+        recursive=True,
         select=f"""SELECT variant, count(*) AS episodes, round(avg({SQL_REWARD}), 6) AS avg_reward,
   round(avg(predicted), 6) AS avg_tool_calls, round(avg(predicted * 7 + 12), 6) AS avg_tokens,
   round(sum(matched) / sum(expected)::DOUBLE, 6) AS share_correct

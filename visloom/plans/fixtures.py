@@ -40,8 +40,8 @@ def sql_tokens(text: str) -> str:
     )
 
 
-def with_ctes(*ctes: str, select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+def with_ctes(*ctes: str, select: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + select
 
 
 # --- image pairs ------------------------------------------------------------
@@ -407,14 +407,23 @@ def sql_iou(a: str, b: str) -> str:
     return f"CASE WHEN {union} > 0 THEN ({wide}) * ({high}) / {union} ELSE 0.0::DOUBLE END"
 
 
+SQL_FIRST = "min(box_id) OVER (PARTITION BY image_id, label, x1, y1, x2, y2) AS first_copy"
+
 SQL_MATCHES = f"""touching_pairs AS (
-  SELECT t.image_id, t.label, t.box_id AS truth_id, p.box_id AS pred_id, {sql_iou('t', 'p')} AS iou
-  FROM truth t JOIN pred p ON p.image_id = t.image_id AND p.label = t.label AND {sql_iou('t', 'p')} >= 0.5),
-by_truth AS (
-  SELECT *, row_number() OVER (PARTITION BY truth_id ORDER BY iou DESC, pred_id) AS rt FROM touching_pairs),
-by_pred AS (
-  SELECT *, row_number() OVER (PARTITION BY pred_id ORDER BY iou DESC, truth_id) AS rp FROM by_truth WHERE rt = 1),
-matches AS (SELECT image_id, label, truth_id, pred_id, iou FROM by_pred WHERE rp = 1)"""
+  SELECT t.image_id, t.label, t.box_id AS truth_id, p.box_id AS pred_id, t.first_copy AS truth_first, p.first_copy AS pred_first,
+    {sql_iou('t', 'p')} AS iou
+  FROM (SELECT *, {SQL_FIRST} FROM truth) t JOIN (SELECT *, {SQL_FIRST} FROM pred) p ON p.image_id = t.image_id AND p.label = t.label AND {sql_iou('t', 'p')} >= 0.5),
+rounds AS (
+  SELECT *, false AS settled FROM touching_pairs
+  UNION ALL
+  SELECT image_id, label, truth_id, pred_id, truth_first, pred_first, iou, mutual FROM (
+    SELECT *, bool_or(mutual) OVER (PARTITION BY truth_id) AS truth_taken, bool_or(mutual) OVER (PARTITION BY pred_id) AS pred_taken
+    FROM (
+      SELECT *, row_number() OVER (PARTITION BY truth_id ORDER BY iou DESC, pred_first, pred_id) = 1
+        AND row_number() OVER (PARTITION BY pred_id ORDER BY iou DESC, truth_first, truth_id) = 1 AS mutual
+      FROM rounds WHERE NOT settled))
+  WHERE mutual OR NOT (truth_taken OR pred_taken)),
+matches AS (SELECT image_id, label, truth_id, pred_id, iou FROM rounds WHERE settled)"""
 
 SQL_SCORES = """scores AS (
   SELECT image_id, expected, predicted, matched, touching - matched AS duplicates, predicted - touching AS wrong
