@@ -203,15 +203,6 @@ def test_latest_correction_wins(spark):
     assert got == {"a": ("False", True), "b": ("True", True), "c": ("False", False)}
 
 
-def test_topk_in_blocks(spark, monkeypatch):
-    images = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "image_id bigint, vector array<double>")
-    texts = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "text_id bigint, vector array<double>")
-    got = evaluation.embedding_topk(images, texts, 3).orderBy("text_id", "rank").collect()
-    assert [r["image_id"] for r in got] == [19, 18, 17, 0, 1, 2]
-    monkeypatch.setattr(evaluation, "TEXT_BLOCK", 1)
-    assert evaluation.embedding_topk(images, texts, 3).orderBy("text_id", "rank").collect() == got
-
-
 def test_terms_are_whole_words(spark):
     accented = spark.createDataFrame([(3, "édog dogö dog_ 1dog")], "id int, text string")
     assert evaluation.term_slices(accented, "text", ["dog"]).count() == 0

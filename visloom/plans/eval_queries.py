@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from visloom.functions.answers import true_false
 from visloom.functions.text import PAIR_PROMPT
-from visloom.operators import evaluation, uid_cache
+from visloom.operators import evaluation, uid_cache, vector_search
 from visloom.plans import fixtures as fx
 from visloom.plans.registry import query
 from visloom.plans.surprisal_queries import rounded
@@ -222,7 +222,7 @@ def embedding_topk(spark, sf):
         .select(F.col("label").alias("text_id"), F.transform("dims", lambda e: e["m"]).alias("vector"))
     )
     images = vectors.select(F.col("vec_id").alias("image_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return rounded(evaluation.embedding_topk(images, means, 5))
+    return rounded(vector_search.embedding_topk(images, means, 5))
 
 
 # --- uid caches -------------------------------------------------------------
