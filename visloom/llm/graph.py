@@ -77,9 +77,9 @@ def confirmer(sets: DataFrame, percent: int, scratch: Scratch) -> Callable[[Data
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         place = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
         celled = pairs.select(place("a").alias("ca"), place("b").alias("cb"), "a", "b")
-        needs = celled.select(
-            F.col("ca").alias("da"), F.col("cb").alias("db"), F.explode(F.array("a", "b")).alias("node")
-        ).distinct()
+        cell = [F.col("ca").alias("da"), F.col("cb").alias("db")]
+        needs = celled.select(*cell, F.col("a").alias("node")).distinct()
+        needs = needs.union(celled.select(*cell, F.col("b").alias("node")).distinct()).distinct()
         dealt = needs.join(sets.select("node", "shingles"), "node")
         cells = celled.groupBy("ca", "cb").cogroup(dealt.groupBy("da", "db"))
         return scratch.put(cells.applyInArrow(compare, "a long, b long"), name)
