@@ -54,6 +54,13 @@ def test_run_with_a_user_scorer(spark, root, tmp_path):
     assert spark.read.json(meta).first()["total_surprisal_nats"] > 0
 
 
+def test_run_with_token_details(spark, root, tmp_path):
+    data, _ = flows.surprisal_run(spark, root, "stage1", "seeclick", str(tmp_path), timestamp="d", details=True)
+    for r in spark.read.json(data).collect():
+        assert len(r["token_details"]) == r["num_tokens"]
+        assert sum(d["surprisal_bits"] for d in r["token_details"]) == pytest.approx(r["total_surprisal_bits"])
+
+
 def test_run_rejects_unknown_config(spark, root, tmp_path):
     with pytest.raises(ValueError):
         flows.surprisal_run(spark, root, "stage1", "coat", str(tmp_path), timestamp="t")

@@ -113,3 +113,10 @@ def test_json_lines_keep_nulls(spark, tmp_path):
     data, meta = write_run(df, df.limit(1), str(tmp_path), "stage1_coat_train_20240101_000000")
     assert data.endswith("_000000.jsonl") and meta.endswith("_000000_meta.json")
     assert spark.read.json(data).count() == 2
+
+
+def test_samples_without_tokens_have_empty_details(spark):
+    rows = spark.createDataFrame([("a", 0, 5, "x", 1.5)], "sample_id string, pos int, token_id long, token string, surprisal_bits double")
+    samples = spark.createDataFrame([("a",), ("b",)], "sample_id string")
+    got = {r["sample_id"]: [tuple(d) for d in r["token_details"]] for r in surprisal.token_details(rows, samples).collect()}
+    assert got == {"a": [(5, "x", 1.5)], "b": []}

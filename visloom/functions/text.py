@@ -32,8 +32,8 @@ def tokens(text: Column) -> Column:
 
 def hashed_token_id(token: Column) -> Column:
     """Stable positive id from 63 bits of the token's md5; 0 stays free for padding."""
-    half = lambda start: F.conv(F.substring(F.md5(token), start, 8), 16, 10).cast("bigint")
-    return F.greatest(half(1) * (1 << 31) + F.shiftright(half(9), 1), F.lit(1))
+    first = F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("bigint")  # as a signed number
+    return F.greatest(F.shiftrightunsigned(first, 1), F.lit(1))
 
 
 def order_key(seed: int, key: Column) -> Column:

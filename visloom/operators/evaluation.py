@@ -14,8 +14,15 @@ from visloom.operators.joins import spread_join
 
 
 def join_predictions(predictions: DataFrame, gold: DataFrame) -> DataFrame:
-    """Predictions of one or several runs with the gold label of their uid."""
-    return spread_join(predictions, gold.select("uid", "label"), ["uid"])
+    """Predictions of one or several runs with the gold label of their uid.
+
+    A uid given twice with one label counts once; with different labels it is an error.
+    """
+    least, most = F.min(F.struct("label")), F.max(F.struct("label"))
+    unique = gold.groupBy("uid").agg(least.alias("__least"), most.alias("__most"))
+    message = F.concat(F.lit("different gold labels for the uid "), F.col("uid"))
+    label = F.when(F.col("__least") == F.col("__most"), F.col("__least.label")).otherwise(F.raise_error(message))
+    return spread_join(predictions, unique.select("uid", label.alias("label")), ["uid"])
 
 
 def with_verdict(joined: DataFrame) -> DataFrame:

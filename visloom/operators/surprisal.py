@@ -91,11 +91,14 @@ def sample_surprisal(
     )
 
 
-def token_details(tokens: DataFrame) -> DataFrame:
-    """Per sample the scored tokens in order, as array(token_id, token, surprisal_bits)."""
+def token_details(tokens: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """Per sample the scored tokens in order, as array(token_id, token, surprisal_bits).
+
+    With ``samples`` (sample_id, …) every sample has a row, one without tokens an empty array.
+    """
     entry = F.struct("pos", "token_id", "token", "surprisal_bits")
     ordered = F.array_sort(F.collect_list(entry))
-    return tokens.groupBy("sample_id").agg(
+    details = tokens.groupBy("sample_id").agg(
         F.transform(
             ordered,
             lambda t: F.struct(
@@ -105,6 +108,12 @@ def token_details(tokens: DataFrame) -> DataFrame:
             ),
         ).alias("token_details")
     )
+    if samples is None:
+        return details
+    kind = details.schema["token_details"].dataType
+    return samples.join(details, "sample_id", "left").withColumn(
+        "token_details", F.coalesce("token_details", F.array().cast(kind))
+    )
 
 
 def surprisal_records(samples: DataFrame, tokens: DataFrame, is_image: Column | None = None, **kw) -> DataFrame:

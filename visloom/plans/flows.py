@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visloom.functions import chat
-from visloom.functions.text import PAIR_PROMPT, make_sample_id
+from visloom.functions.text import PAIR_PROMPT, hashed_token_id, make_sample_id
 from visloom.operators import counts, evaluation, lookup, sampling, sft, surprisal
 from visloom.operators.pairs import normalize_pairs, with_reject_reason
 from visloom.operators.positions import rerank
@@ -65,9 +65,13 @@ def surprisal_run(
     model: str = "pair counts",
     params: Column | None = None,
     description: str | None = None,
+    details: bool = False,
 ) -> tuple[str, str]:
     """Score one configuration and write its records and metadata; returns both paths.
 
+    With ``details`` each record carries its ``token_details``: token_id, token and bits of its response tokens
+    in order, an empty list for a response without tokens.
+
     ``scorer`` turns (sample_id, tokens, response_start, …) into token rows with
     sample_id, token and surprisal_bits: the pair counts by default, or a model applied
     with :func:`visloom.operators.sft.map_batches`.
@@ -75,7 +79,15 @@ def surprisal_run(
     tokens = materialized(gui_tokens(spark, root, stage, config, split, skip, limit), "tokens")
     samples = tokens.withColumnRenamed("response_start", "prompt_tokens")
     is_image = F.col("token").isin(chat.IMAGE_TOKENS)
-    records = materialized(surprisal.surprisal_records(samples, scorer(tokens), is_image), "records")
+    scored = scorer(tokens)
+    if details:
+        scored = materialized(scored, "scored")
+    records = surprisal.surprisal_records(samples, scored, is_image)
+    if details:
+        if "token_id" not in scored.columns:
+            scored = scored.withColumn("token_id", hashed_token_id(F.col("token")))
+        records = surprisal.token_details(scored, records)
+    records = materialized(records, "records")
     if stage == "stage1":
         records = records.drop("system_len")
     summary = surprisal.run_summary(records).withColumns(

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from visloom.functions import chat
 from visloom.functions import text as tx
-from visloom.functions.images import png_header, png_size
+from visloom.functions.images import image_size, png_header, png_size
 from visloom.operators import lookup, pairs, sampling
 from visloom.plans import fixtures as fx
 from visloom.plans.flows import evaluation_run
 from visloom.plans.registry import query
 from visloom.session import scratch_path
 from visloom.sinks import files
+from visloom.sources import stored_index
 from visloom.sources.scan import first_available, image_files
 
 PAIRS = fx.PAIRS_CTES
@@ -477,6 +478,67 @@ def image_dims(spark, sf):
     return header.withColumn("size", png_size(F.col("content"))).select("doc_id", "idx", "size.width", "size.height")
 
 
+def _headers(width, height, kind):
+    """Headers of seven formats by ``kind``; the last one is broken."""
+
+    def digits(value, n, little=False):
+        text = F.lpad(F.hex(value), 2 * n, "0")
+        return F.concat(*[F.substring(text, 2 * k + 1, 2) for k in (reversed(range(n)) if little else range(n))])
+
+    frame = F.concat(F.lit("FFC2001108"), digits(height, 2), digits(width, 2), F.lit("03"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFFFFE0006616263FF"), frame)
+    riff = F.lit("52494646100000005745425056")
+    lossless = (width - 1) + F.shiftleft((height - 1).cast("bigint"), 14)
+    small = [digits(width, 2, True), digits(height, 2, True)]
+    return (
+        F.when(kind == 0, png_header(width, height))
+        .when(kind == 1, F.unhex(F.concat(F.lit("474946383961"), *small)))
+        .when(kind == 2, F.unhex(jpeg))
+        .when(kind == 3, F.unhex(F.concat(riff, F.lit("5038580A00000000000000"), digits(width - 1, 3, True), digits(height - 1, 3, True))))
+        .when(kind == 4, F.unhex(F.concat(riff, F.lit("50384C0A0000002F"), digits(lossless, 4, True))))
+        .when(kind == 5, F.unhex(F.concat(riff, F.lit("5038200A0000000000009D012A"), *small)))
+        .otherwise(F.unhex(F.lit("FFD8FFE000104A46494600010100000100010000FFC200")))
+    )
+
+
+@query(
+    "image_formats",
+    fx.with_ctes(
+        *PAIRS,
+        select="""SELECT doc_id, i AS idx, CASE WHEN (doc_id + i) % 7 = 6 THEN -1 WHEN i = 0 THEN w0 ELSE w1 END AS width,
+  CASE WHEN (doc_id + i) % 7 = 6 THEN -1 WHEN i = 0 THEN h0 ELSE h1 END AS height
+FROM pairs CROSS JOIN (VALUES (0), (1)) AS v(i)""",
+    ),
+)
+def image_formats(spark, sf):
+    """Sizes from headers of all formats; a broken one gives none."""
+    shown = normalized(spark, sf).select("doc_id", F.posexplode("images").alias("idx", "image"))
+    kind = (F.col("doc_id") + F.col("idx")) % 7
+    sized = shown.withColumn("size", image_size(_headers(F.col("image.width"), F.col("image.height"), kind)))
+    return sized.select(
+        "doc_id", "idx", *[F.coalesce(f"size.{c}", F.lit(-1)).alias(c) for c in ("width", "height")]
+    )
+
+
+@query(
+    "image_export",
+    fx.with_ctes(
+        *PAIRS,
+        select="""SELECT uid, i AS idx, 24::BIGINT AS length, CASE i WHEN 0 THEN w0 ELSE w1 END AS width,
+  CASE i WHEN 0 THEN h0 ELSE h1 END AS height FROM pairs CROSS JOIN (VALUES (0), (1)) AS v(i)""",
+    ),
+)
+def image_export(spark, sf):
+    """Save all images of all samples, then read what the list names."""
+    samples = normalized(spark, sf)
+    shown = samples.select(F.explode("images").alias("image")).select("image.path", "image.width", "image.height").distinct()
+    images = shown.select("path", png_header(F.col("width"), F.col("height")).alias("content"))
+    folder = scratch_path(spark, "export")
+    files.export_samples(files.image_manifest(samples), images, folder)
+    sized = files.exported(spark, folder).withColumn("size", image_size(F.col("content")))
+    return sized.select("uid", "idx", "length", "size.width", "size.height")
+
+
 @query(
     "image_files",
     fx.with_ctes(
@@ -513,3 +575,40 @@ def sample_dump(spark, sf):
     return back.select(
         "s.uid", "s.label", "s.sentence", F.size("s.images").alias("n_images"), "s.metadata.label_raw"
     )
+
+
+# --- stored indexes ---------------------------------------------------------
+
+
+def _folder(spark, sf) -> str:
+    """The pair keys as a folder of several files in the order of their positions."""
+    path = scratch_path(spark, "pair-folder")
+    keys = fx.pair_keys(spark, sf).repartitionByRange(16, "index").sortWithinPartitions("index")
+    keys.select("uid", F.col("index").alias("written")).write.parquet(path)
+    return path
+
+
+@query(
+    "stored_slice",
+    fx.with_ctes(fx.SQL_RAW, fx.SQL_KEYED, select="SELECT idx AS index, uid FROM keyed WHERE idx >= 37 AND idx < 137"),
+)
+def stored_slice(spark, sf):
+    """Rows 37 to 136 through a stored index of row ranges."""
+    index = stored_index.PositionIndex(spark, _folder(spark, sf), scratch_path(spark, "ranges")).refresh()
+    return index.slice(37, 100, ["uid"]).select("index", "uid")
+
+
+@query(
+    "stored_uid_lookup",
+    fx.with_ctes(
+        fx.SQL_RAW,
+        fx.SQL_KEYED,
+        select="""SELECT min(idx) AS index, uid FROM keyed
+WHERE uid IN ('dev-2-0-0', 'dev-42-0-0', 'doc-11', 'id-15', 'doc-121') GROUP BY uid""",
+    ),
+)
+def stored_uid_lookup(spark, sf):
+    """The rows of five uids through a stored uid index."""
+    index = stored_index.UidIndex(spark, _folder(spark, sf), scratch_path(spark, "uids")).refresh()
+    rows = index.lookup(["dev-2-0-0", "dev-42-0-0", "doc-11", "id-15", "doc-121"], strict=False)
+    return rows.select(F.col("written").alias("index"), "uid")

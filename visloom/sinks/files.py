@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,60 @@ def export_images(files: DataFrame, folder: str) -> None:
                 out.write(bytes(row["content"]))
 
     files.select("out_name", "content").foreachPartition(write)
+
+
+EXPORTED = "uid string, idx int, out_name string, file string, length bigint"
+
+
+def export_samples(manifest: DataFrame, images: DataFrame, folder: str) -> DataFrame:
+    """Save the images of all samples as files; returns and writes the list of what was saved.
+
+    ``manifest`` comes from :func:`image_manifest`, ``images`` holds (path, content). Each sample has a folder of
+    its own, and a name that a sample uses twice gets the image's place in front, so nothing is
+    overwritten. A task attempt writes below a name of its own, and the list (uid, idx, out_name, file, length) is
+    committed by Spark after all tasks: files of failed or repeated attempts stand on no list.
+    An image without bytes is an error. Read the export back with :func:`exported`.
+    """
+    names = Window.partitionBy("uid", "out_name").orderBy("idx")
+    unique = F.when(F.row_number().over(names) > 1, F.concat(F.col("idx").cast("string"), F.lit("_"), "out_name"))
+    target = F.concat(F.lit("s-"), F.url_encode("uid"), F.lit("/"), F.coalesce(unique, "out_name"))
+    named = manifest.select("uid", "idx", "out_name", "path", target.alias("target"))
+    found = named.join(images.select("path", "content"), "path", "left")
+    content = F.when(F.col("content").isNotNull(), F.col("content")).otherwise(
+        F.raise_error(F.concat(F.lit("no bytes for the image "), F.coalesce("path", F.lit("without path")))).cast("binary")
+    )
+
+    def save(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(folder)
+        attempt = f"{base}/files/{uuid.uuid4().hex}"
+        for batch in batches:
+            places, sizes = [], []
+            for target, content in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                place = f"{attempt}/{target}"
+                files.create_dir(place.rpartition("/")[0], recursive=True)
+                with files.open_output_stream(place) as out:
+                    out.write(content)
+                places.append(place[len(base) + 1 :])
+                sizes.append(len(content))
+            kept = [batch.column(0), batch.column(1), batch.column(2), pa.array(places, pa.string()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(kept, ["uid", "idx", "out_name", "file", "length"])
+
+    rows = found.select("uid", F.col("idx").cast("int"), "out_name", "target", content.alias("content"))
+    rows.mapInArrow(save, EXPORTED).write.parquet(posixpath.join(folder, "saved"))
+    return saved_list(manifest.sparkSession, folder)
+
+
+def saved_list(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(EXPORTED).parquet(posixpath.join(folder, "saved"))
+
+
+def exported(spark: SparkSession, folder: str) -> DataFrame:
+    """(uid, idx, out_name, file, length, content) of the files on an export's list; no other file is looked at."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(posixpath.join(folder, "files"))
+    place = F.concat(F.lit("files/"), F.substring_index(F.col("path"), "/", -3))
+    return saved_list(spark, folder).join(found.select(place.alias("file"), "content"), "file")
