@@ -10,13 +10,12 @@ from visloom.llm import lm_scoring
 from visloom.llm.common import table
 
 
-def plain_scores(rows, share=lm_scoring.SHARE, discount=lm_scoring.DISCOUNT):
+def plain_scores(rows, least=lm_scoring.LEAST, discount=lm_scoring.DISCOUNT):
     texts = [(d, [*(t or "").encode().lower().split(), b""]) for d, t in rows]
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
     train = [w for d, w in texts if not held(d)]
     one = Counter(x for w in train for x in w)
     total, kinds = sum(one.values()), len(one)
-    least = max(2, share * total)
     good = {w for w, n in one.items() if n >= least}
     two = Counter(g for w in train for g in zip(w, w[1:]))
     two = {g: n for g, n in two.items() if n >= least}
@@ -59,9 +58,9 @@ def same(got, want):
         assert isclose(r["base_score"], base, rel_tol=1e-9) and isclose(r["score"], score, rel_tol=1e-9)
 
 
-@pytest.mark.parametrize("share", [lm_scoring.SHARE, 0.04])
-def test_small_corpus(docs, share):
-    same(lm_scoring.lm_scores(docs(ROWS), share).collect(), plain_scores(ROWS, share))
+@pytest.mark.parametrize("least", [lm_scoring.LEAST, 1, 4])
+def test_small_corpus(docs, least):
+    same(lm_scoring.lm_scores(docs(ROWS), least).collect(), plain_scores(ROWS, least))
 
 
 def test_rare_ngrams_are_kept_in_a_large_corpus(docs):
@@ -71,13 +70,57 @@ def test_rare_ngrams_are_kept_in_a_large_corpus(docs):
     ids = [k for k in range(40) if not lm_scoring.is_held_out(k)]
     rows = list(zip(ids, texts))
     rows.append((next(k for k in range(40) if lm_scoring.is_held_out(k)), "rare words meet"))
-    same(lm_scoring.lm_scores(docs(rows)).collect(), plain_scores(rows, 0.0))
+    same(lm_scoring.lm_scores(docs(rows)).collect(), plain_scores(rows))
 
 
 def test_blocks_change_nothing(docs):
     same(lm_scoring.lm_scores(docs(ROWS), block_tokens=7).collect(), plain_scores(ROWS))
 
 
+def test_probabilities_of_every_state_sum_to_one():
+    """Every word of the vocabulary is tried from every state of a block that holds the whole training text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from visloom.llm.common import WordHashes
+
+    text = [*b"a b c a b c a b d b d b d c a a a".split(), lm_scoring.END]
+    batch = lm_scoring._block([0], [WordHashes().of(text)])
+    b = lm_scoring._Block(next(lm_scoring._rows(batch)))
+    told, masses = [], {}
+    grams = [(1, b.words[b.codes], None, 0), (2, b.pairs, b.words[np.roll(b.codes, 1)], 1), (3, b.triples, np.roll(b.pairs, 1), 2)]
+    for order, keys, contexts, depth in grams:
+        wanted = b.deep[depth]
+        found, first, n = np.unique(keys[wanted], return_index=True, return_counts=True)
+        for k, i, c in zip(found, first, n):
+            if order == 1 or c >= 2:
+                told.append((order, k, int(c)))
+                if order > 1:
+                    of = contexts[wanted][i]
+                    masses[of] = masses.get(of, 0) + c - lm_scoring.DISCOUNT
+    answers = pa.table(
+        {
+            "gram_order": pa.array([o for o, _, _ in told], pa.int32()),
+            "key": pa.array(np.array([k for _, k, _ in told], np.uint64).view(np.int64)),
+            "n": pa.array([n for _, _, n in told], pa.int64()),
+            "mass": pa.array([float(masses.get(k, 0)) for _, k, _ in told], pa.float64()),
+        }
+    )
+    automaton = lm_scoring._Automaton(b, answers, len(text), len(b.words), 2)
+    words = np.arange(len(b.words))
+    states = len(automaton.shorter)
+    assert states > 6
+    unseen = 1 / (len(text) + len(b.words) + 1)  # the share of all words not in the vocabulary
+    for state in range(states):
+        _, price = automaton.step(np.full(len(words), state), words)
+        left = unseen
+        at = state
+        while at:
+            left *= 10 ** automaton.weight[at]
+            at = automaton.shorter[at]
+        assert isclose((10**price).sum() + left, 1, rel_tol=1e-9)
+
+
 def test_edges(docs):
     assert lm_scoring.lm_scores(docs([])).collect() == []
     same(lm_scoring.lm_scores(docs([(None, "a a a")])).collect(), plain_scores([(None, "a a a")]))

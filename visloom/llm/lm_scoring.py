@@ -25,8 +25,7 @@ from pyspark.sql import functions as F
 
 from visloom.llm.common import Scratch, WordHashes, mix, texts_as_bytes
 
-SHARE = 0.0  # of all training tokens; above 0, n-grams below the share are not frequent
-LEAST = 2
+LEAST = 2  # occurrences from which on an n-gram has states and arcs, whatever the corpus
 DISCOUNT = 0.75
 BLOCK = 1 << 21  # tokens
 FOLDS, HELD_OUT = 7, 2
@@ -140,6 +139,96 @@ class _Block:
         return [pa.array(found.view(np.int64)), pa.array(contexts[first].view(np.int64)), pa.array(n, pa.int64())]
 
 
+class _Automaton:
+    """States, arcs and failure arcs of all n-grams of a block.
+
+    State 0 is the empty context. Each frequent word and each frequent pair has a state. A state has an
+    arc for every word it was frequently followed by, with the log-probability of that word there, leading to
+    the longest state the text then allows. For any other word its failure arc leads to the next shorter context
+    at the price of the log-weight; the empty context has an arc for every word.
+    """
+
+    def __init__(self, b: _Block, answers: pa.Table, n_tokens: int, kinds: int, least: int):
+        self.n_words = len(b.words)
+        count, mass = _Answers(answers, 1).of(b.words)
+        self.known = count > 0
+        single = (count + 1) / (n_tokens + kinds + 1)
+        self.single = np.log10(single)
+        frequent = np.flatnonzero(count >= least)
+        self.word_state = np.zeros(self.n_words, np.int64)
+        self.word_state[frequent] = 1 + np.arange(len(frequent))
+
+        pair_n, pair_mass = _Answers(answers, 2).of(b.pairs)
+        is_pair = b.deep[1] & (pair_n > 0)
+        before = np.roll(b.codes, 1).astype(np.int64)
+        place = np.flatnonzero(is_pair)
+        _, first, number = np.unique(before[place] * self.n_words + b.codes[place], return_index=True, return_inverse=True)
+        first = place[first]
+        v, w, n = before[first], b.codes[first], pair_n[first]
+        pair_p = np.maximum(n - DISCOUNT, 0) / count[v] + (1 - mass[v] / count[v]) * single[w]
+        states = 1 + len(frequent) + np.arange(len(first))
+
+        pair_of = np.full(len(b.codes), -1)
+        pair_of[place] = number
+        triple_n, _ = _Answers(answers, 3).of(b.triples)
+        context = np.roll(pair_of, 1)
+        place = np.flatnonzero(b.deep[2] & (context >= 0) & (triple_n > 0))
+        _, once = np.unique(context[place] * self.n_words + b.codes[place], return_index=True)
+        once = place[once]
+        uv, vw = context[once], pair_of[once]
+        rest = 1 - pair_mass[first] / n
+        triple_p = np.maximum(triple_n[once] - DISCOUNT, 0) / n[uv] + rest[uv] * pair_p[vw]
+
+        # Failure arcs: a pair falls back to its second word, a word to the empty context.
+        self.shorter = np.concatenate([[0], np.zeros(len(frequent), np.int64), self.word_state[w]])
+        self.weight = np.log10(np.concatenate([[1.0], 1 - mass[frequent] / count[frequent], rest]))
+        arcs = np.concatenate([self.word_state[v] * self.n_words + w, states[uv] * self.n_words + b.codes[once]])
+        sorting = np.argsort(arcs)
+        self.arcs = arcs[sorting]
+        self.price = np.log10(np.concatenate([pair_p, triple_p]))[sorting]
+        self.target = np.concatenate([states, states[vw]])[sorting]
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state and the log-probability of one word from each state."""
+        price, next_state = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        open_ = np.arange(len(state))
+        while len(open_):
+            at, words = state[open_], word[open_]
+            key = at * self.n_words + words
+            spot = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1) if len(self.arcs) else None
+            hit = (self.arcs[spot] == key) & (at > 0) if spot is not None else np.zeros(len(at), bool)
+            if spot is not None:
+                price[open_[hit]] += self.price[spot[hit]]
+                next_state[open_[hit]] = self.target[spot[hit]]
+            empty = at == 0
+            price[open_[empty]] += self.single[words[empty]]
+            next_state[open_[empty]] = self.word_state[words[empty]]
+            fails = ~hit & ~empty
+            open_, at = open_[fails], at[fails]
+            price[open_] += self.weight[at]
+            state = state.copy()
+            state[open_] = self.shorter[at]
+        return next_state, price
+
+    def traverse(self, b: _Block) -> np.ndarray:
+        """The log-probability of each text, read from left to right with its state carried along.
+
+        All texts of the block advance together, one word at a time; those that have ended stand still.
+        """
+        order = np.argsort(-b.sizes, kind="stable")
+        starts, longest = b.starts[order], int(b.sizes.max(initial=0))
+        going = np.searchsorted(-b.sizes[order], -np.arange(longest), side="left")
+        state, total = np.zeros(len(order), np.int64), np.zeros(len(order))
+        codes = b.codes.astype(np.int64)
+        for t in range(longest):
+            m = going[t]
+            state[:m], price = self.step(state[:m], codes[starts[:m] + t])
+            total[:m] += price
+        out = np.empty(len(order))
+        out[order] = total
+        return out
+
+
 def _asked(blocks: DataFrame, told: DataFrame, order: int, least: float) -> DataFrame:
     """(block, key, context, n): each block's distinct n-grams whose shorter n-grams are all frequent."""
 
@@ -182,7 +271,7 @@ def _told(frequent: DataFrame, order: int) -> DataFrame:
     return frequent.select("block", F.lit(order).alias("gram_order"), "key", "n")
 
 
-def lm_scores(documents: DataFrame, share: float = SHARE, block_tokens: int = BLOCK) -> DataFrame:
+def lm_scores(documents: DataFrame, least: int = LEAST, block_tokens: int = BLOCK) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training texts are those whose crc32(doc_id as text) mod 7 is not 2 (null doc_id: the empty
@@ -209,7 +298,6 @@ def lm_scores(documents: DataFrame, share: float = SHARE, block_tokens: int = BL
     words = scratch.put(words, "words")
     n_tokens = blocks.select(F.explode("counts").alias("n")).agg(F.sum("n")).first()[0] or 0
     kinds = words.where("once AND n > 0").count()
-    least = max(float(LEAST), share * n_tokens)
     words = words.drop("once")
     texts = blocks.drop("counts", "doc_ids")
 
@@ -229,23 +317,11 @@ def lm_scores(documents: DataFrame, share: float = SHARE, block_tokens: int = BL
         for batch in block.to_batches():
             for row in _rows(batch):
                 b = _Block(row)
-                c, mass = (x[b.codes] for x in _Answers(answers, 1).of(b.words))
-                single = (c + 1) / (n_tokens + kinds + 1)
-                p = single.copy()
-                before = lambda x: np.roll(x, 1)
-                # From each state the arc of a frequent n-gram, or the failure arc's weight times the shorter state's.
-                pair_n, pair_mass = _Answers(answers, 2).of(b.pairs)
-                pair_n = np.where(b.deep[1], pair_n, 0)
-                state = b.deep[1] & (before(c) >= least)
-                v = np.where(state, before(c), 1)
-                p = np.where(state, np.maximum(pair_n - DISCOUNT, 0) / v + (1 - before(mass) / v) * p, p)
-                triple_n, _ = _Answers(answers, 3).of(b.triples)
-                state = b.deep[2] & (before(pair_n) > 0)
-                v = np.where(state, before(pair_n), 1)
-                p = np.where(state, np.maximum(triple_n - DISCOUNT, 0) / v + (1 - before(pair_mass) / v) * p, p)
+                automaton = _Automaton(b, answers, n_tokens, kinds, least)
+                single, known = automaton.single[b.codes], automaton.known[b.codes]
                 sums = lambda x: np.add.reduceat(x, b.starts)
-                columns = [row["doc_ids"], row["held_out"], b.sizes, sums((c > 0).astype(np.int64)), [n_tokens] * len(b.sizes)]
-                columns += [sums(np.log10(single)), sums(np.log10(p))]
+                columns = [row["doc_ids"], row["held_out"], b.sizes, sums(known.astype(np.int64)), [n_tokens] * len(b.sizes)]
+                columns += [sums(single), automaton.traverse(b)]
                 parts.append(
                     pa.table(
                         [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], names
