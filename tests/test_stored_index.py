@@ -30,7 +30,7 @@ def answers(frame, *columns):
 
 
 def opened(frame):
-    return len(frame.inputFiles())
+    return sum("/indexed-" in f for f in frame.inputFiles())
 
 
 def test_positions_open_only_their_files(spark, folder):
@@ -77,6 +77,10 @@ def test_uids_open_only_their_files(spark, folder):
     with pytest.raises(KeyError):
         index.lookup(["u7", "nowhere"])
     assert answers(index.lookup(["nowhere"], strict=False), "uid") == []
+    table = spark.createDataFrame([("u7",), ("u9",), ("nowhere",), ("u7",), (None,)], "uid string")
+    got = index.lookup_table(table)
+    assert answers(got, "uid", "value") == answers(index.lookup(["u7", "u9"]), "uid", "value") and opened(got) == 1
+    assert answers(index.lookup_table(table.where("uid = 'nowhere'")), "uid") == []
     assert answers(index.lookup(["u7", "nowhere", "u7"], strict=False), "uid") == [("u7",)]
 
 

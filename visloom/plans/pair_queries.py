@@ -590,12 +590,15 @@ def _folder(spark, sf) -> str:
 
 @query(
     "stored_slice",
-    fx.with_ctes(fx.SQL_RAW, fx.SQL_KEYED, select="SELECT idx AS index, uid FROM keyed WHERE idx >= 37 AND idx < 137"),
+    fx.with_ctes(
+        fx.SQL_RAW, fx.SQL_KEYED, select="SELECT idx AS index, uid FROM keyed WHERE idx >= (SELECT count(*) * 3 // 4 FROM keyed)"
+    ),
 )
 def stored_slice(spark, sf):
-    """Rows 37 to 136 through a stored index of row ranges."""
+    """A run taken up again after three quarters, through a stored index of row ranges."""
     index = stored_index.PositionIndex(spark, _folder(spark, sf), scratch_path(spark, "ranges")).refresh()
-    return index.slice(37, 100, ["uid"]).select("index", "uid")
+    total = index.ranges().agg(F.sum("rows")).first()[0]
+    return index.slice(total * 3 // 4, columns=["uid"]).select("index", "uid")
 
 
 @query(
@@ -604,11 +607,13 @@ def stored_slice(spark, sf):
         fx.SQL_RAW,
         fx.SQL_KEYED,
         select="""SELECT min(idx) AS index, uid FROM keyed
-WHERE uid IN ('dev-2-0-0', 'dev-42-0-0', 'doc-11', 'id-15', 'doc-121') GROUP BY uid""",
+WHERE uid IN (SELECT concat('dev-', doc_id, '-0-0') FROM labels UNION ALL SELECT concat('doc-', doc_id) FROM labels) GROUP BY uid""",
     ),
 )
 def stored_uid_lookup(spark, sf):
-    """The rows of five uids through a stored uid index."""
+    """The records of all labelled documents whose uid follows from the document, through a stored uid index."""
+    doc = F.col("doc_id").cast("string")
+    names = F.array(F.concat(F.lit("dev-"), doc, F.lit("-0-0")), F.concat(F.lit("doc-"), doc))
+    wanted = fx.table(spark, sf, "labels").select(F.explode(names).alias("uid"))
     index = stored_index.UidIndex(spark, _folder(spark, sf), scratch_path(spark, "uids")).refresh()
-    rows = index.lookup(["dev-2-0-0", "dev-42-0-0", "doc-11", "id-15", "doc-121"], strict=False)
-    return rows.select(F.col("written").alias("index"), "uid")
+    return index.lookup_table(wanted).select(F.col("written").alias("index"), "uid")

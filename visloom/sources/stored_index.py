@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from visloom.session import materialized
+
 FILE, ROW = "_metadata.file_path", "_metadata.row_index"
 BUCKETS = 256
 CHUNK = 1 << 20
@@ -139,9 +141,27 @@ class UidIndex:
         buckets = sorted(r["b"] for r in asked.distinct().collect())
         stored = _stored(self.spark, self.entries_path, ENTRIES)
         hits = stored.where(F.col("bucket").isin(buckets) & F.col("uid").isin(wanted))
+        return self._first(hits)
+
+    def _first(self, hits: DataFrame) -> DataFrame:
         first = hits.groupBy("uid").agg(F.min(F.struct("file", "row")).alias("at"))
         return first.select("uid", "at.file", "at.row")
 
+    def lookup_table(self, wanted: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+        """One row per distinct uid of a table that is found, its first place, from the files that hold some of them.
+
+        Index and request meet by bucket and uid; the data is read by place, not searched.
+        """
+        asked = wanted.select(F.col("uid").cast("string")).distinct().withColumn("bucket", self._bucket(F.col("uid")))
+        hits = _stored(self.spark, self.entries_path, ENTRIES).join(asked, ["bucket", "uid"], "left_semi")
+        found = materialized(self._first(hits), "uid-places").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+        names = [r[0] for r in found.select("__file").distinct().collect()]
+        if not names:
+            return self.spark.read.parquet(self.path).select(*(columns or ["*"])).where("false")
+        scan = self.spark.read.parquet(*sorted(names))
+        rows = scan.select(*(columns or scan.columns), F.col(FILE).alias("__file"), F.col(ROW).alias("__row"))
+        return rows.join(found, ["__file", "__row"], "left_semi").drop("__file", "__row")
+
     def lookup(self, uids: Sequence[str], columns: Sequence[str] | None = None, strict: bool = True) -> DataFrame:
         """One row per distinct uid of a list, its first place; ``KeyError`` names missing ones if ``strict``."""
         found = self.entries(uids).collect()
