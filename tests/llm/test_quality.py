@@ -44,46 +44,77 @@ def test_counts_of_odd_texts(docs):
     assert {r["doc_id"]: tuple(r[n] for n in NAMES) for r in got} == {k: plain_counts(t) for k, t in enumerate(texts)}
 
 
+def factor(s):
+    """The inverse Cholesky factor of a scatter whose pivots are at least the squared floors."""
+    low = np.zeros_like(s)
+    for j in range(len(s)):
+        low[j, j] = np.sqrt(max(s[j, j] - low[j, :j] @ low[j, :j], quality.FLOORS[j] ** 2))
+        for i in range(j + 1, len(s)):
+            low[i, j] = (s[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+    return np.linalg.inv(low)
+
+
+def distances(x, m, s):
+    return np.square((x - m) @ factor(s).T).sum(axis=1)
+
+
 def plain_fit(x):
-    """The same estimate of one group with numpy."""
+    """Centre and scaled scatter of one group, with numpy."""
     q = lambda a, p: np.quantile(a, p)
-    floors = np.diag(np.square(quality.FLOORS))
     middle = np.array([q(c, 0.5) for c in x.T])
     spread = np.array([q(np.abs(c - m), 0.5) for c, m in zip(x.T, middle, strict=True)])
     best = None
     for start in (np.diag(np.square(1.4826 * spread)), np.eye(x.shape[1])):
-        m, s = middle, start + floors
+        m, s = middle, start
         for step in range(quality.MAX_STEPS):
-            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-            far = np.floor(np.log1p(d) * quality.STEPS_PER_UNIT + 0.5)
+            far = np.floor(np.log1p(distances(x, m, s)) * quality.STEPS_PER_UNIT + 0.5)
             core = x[far <= q(far, quality.CORE)]
-            m, s = core.mean(axis=0), np.cov(core.T, bias=True) + floors
-        det = np.linalg.slogdet(s)[1]
+            m, s = core.mean(axis=0), np.cov(core.T, bias=True).reshape(len(m), len(m))
+        det = -2 * np.log(np.diag(factor(s))).sum()
         if best is None or det < best[0]:
             best = (det, m, s)
     _, m, s = best
-    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-    return d / max(1.0, np.median(d) / quality.CHI2_MEDIAN)
+    return m, s * max(1.0, np.median(distances(x, m, s)) / quality.CHI2_MEDIAN)
+
+
+def plain_distances(groups):
+    """Distances per group, each fit leaning on its language's and that on all rows'."""
+
+    def lean(n, fit, above):
+        own = n / (n + quality.PRIOR)
+        return tuple(own * a + (1 - own) * b for a, b in zip(fit, above, strict=True))
+
+    top = plain_fit(np.concatenate(list(groups.values())))
+    out = {}
+    for (lang, source), x in groups.items():
+        same = np.concatenate([v for k, v in groups.items() if k[0] == lang])
+        out[lang, source] = distances(x, *lean(len(x), plain_fit(x), lean(len(same), plain_fit(same), top)))
+    return out
 
 
 def test_fits_match_numpy(spark):
     rng = np.random.default_rng(3)
     step = lambda a: np.round(a * quality.STEPS_PER_UNIT) / quality.STEPS_PER_UNIT
+    shape = rng.normal(size=(5, 5)) * 2
     groups = {}
-    for g, n in ((("en", "a"), 400), (("de", None), 200), (("fr", "b"), quality.MIN_ROWS - 1)):
-        x = step(rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) * 2 + 5)
-        x[: n // 10] += 40  # junk
+    for g, n in ((("en", "a"), 400), (("en", "b"), 9), (("de", None), 200), ((None, "b"), 45), (("fr", "c"), 1)):
+        x = rng.normal(size=(n, 5)) @ shape + 5
+        x[: n // 9] += 60  # junk
         groups[g] = step(x)
     rows = [(*g, *map(float, r)) for g, x in groups.items() for r in x]
     df = spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double")
     fits = quality.covariance_fits(df, Scratch(spark, "t"))
-    far = quality._with_fit(df, fits).select("lang", "source", "x0", (quality._distance() / quality.F.col("scale")).alias("d")).collect()
-    assert {(r["lang"], r["source"]) for r in far} == {("en", "a"), ("de", None)}
-    for g in (("en", "a"), ("de", None)):
-        want = sorted(plain_fit(groups[g]))
+    assert fits.count() == len(groups)
+    far = quality._with_fit(df, fits, ["lang", "source"]).select("lang", "source", quality._distance().alias("d")).collect()
+    for g, want in plain_distances(groups).items():
         got = sorted(r["d"] for r in far if (r["lang"], r["source"]) == g)
-        assert np.allclose(got, want, rtol=0.05)
-        assert sum(d > quality.CUTOFF for d in got) == sum(d > quality.CUTOFF for d in want) == len(want) // 10
+        assert np.allclose(got, sorted(want), rtol=0.05)
+        assert sum(d > quality.CUTOFF for d in got) == len(want) // 9
+
+
+def test_each_statistic_can_reject_alone():
+    ranges = [np.log1p(20_000) - np.log1p(400), np.log1p(100) - np.log1p(6), np.log1p(100), np.log1p(100), np.log1p(50)]
+    assert all((r / f) ** 2 > quality.CUTOFF for r, f in zip(ranges, quality.FLOORS, strict=True))
 
 
 def test_junk_goes_and_prose_stays(docs):
@@ -92,10 +123,16 @@ def test_junk_goes_and_prose_stays(docs):
     rows = [(k, say(rng.randint(60, 400)), "en", "hot") for k in range(300)]
     rows += [(1000 + k, " ".join(w + "$$$" for w in say(100).split()), "en", "hot") for k in range(30)]
     rows += [(2000 + k, say(200), "xx", None) for k in range(5)] + [(3000, None), (3001, ""), (3001, "")]
+    rows += [(4000 + k, say(200), "en", "small") for k in range(40)]
+    rows += [(5000 + k, " ".join(w + "$$##|||" for w in say(100).split()), "en", "small") for k in range(5)]
+    rows += [(6000, " ".join(w + "$$##|||" for w in say(100).split()), "yy", "alone")]
+    line = say(30)
+    rows += [(7000, "\n".join([say(30)] + 26 * [line]), "en", "small")]  # already over the plain limit
     got = quality.quality_verdicts(docs(rows)).collect()
     assert len(got) == len(rows)
+    assert all((r["distance"] is None) == r["base_failed"] for r in got)
     kept = {r["doc_id"] for r in got if r["kept"]}
-    assert kept == set(range(300)) | {2000 + k for k in range(5)}
+    assert kept == set(range(300)) | {2000 + k for k in range(5)} | {4000 + k for k in range(40)}
     stays = quality.keep_good(docs(rows))
     assert stays.columns == docs(rows).columns and {r["doc_id"] for r in stays.collect()} == kept
     assert quality.quality_verdicts(docs([])).collect() == []

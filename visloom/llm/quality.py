@@ -3,7 +3,9 @@
 The statistics of a text form a vector. For every (language, source) the minimum
 covariance determinant estimate gives a centre and a scatter that junk cannot pull
 away: concentration steps repeatedly fit them to the ``CORE`` share of rows closest to
-the present fit. Rows far from the centre in Mahalanobis distance are rejected.
+the present fit. The same estimate is made per language and over all rows, and each fit leans on
+the one above it with the weight of ``PRIOR`` rows, so a group of any size has a verdict.
+Rows far from the centre in Mahalanobis distance are rejected.
 Everything is built-in DataFrame functions; only one row per group is ever joined back.
 """
 
@@ -20,12 +22,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 DIMS = 5
 STEPS_PER_UNIT = 256  # statistics are whole multiples of 1/256: exact medians and sums
 CORE = 0.75  # share of a group's rows a concentration step keeps
-MIN_ROWS = 50  # a smaller group gives no verdict; its rows stay
+PRIOR = 50  # rows' worth of weight the fit above (language, then all rows) has in a group's fit
+SHORT = 50  # words added to a text when its repeated words are weighed: one line said twice is little in a short text
 MAX_STEPS = 12
 SETTLED = 1e-3  # steps end when no log determinant moves by this much
-# Least standard deviation of each statistic: one that hardly varies in a group (no symbols, no
-# repeats) must not reject a text for a single symbol or one repeated line.
-FLOORS = (0.5, 0.25, 0.5, 0.75, 0.75)
+# Least standard deviation of each statistic given those before it: one that hardly varies in a group
+# (no symbols, no repeats) must not reject a text for a single symbol or one repeated line. It holds where
+# the estimate is below it, and each statistic's range is above its floor times the root of CUTOFF.
+FLOORS = (0.5, 0.25, 0.5, 0.63, 0.54)
 CHI2_MEDIAN = 4.3515  # median of chi-square with DIMS degrees of freedom
 # Rejection limit on the squared distance: the chi-square quantile of 1 - 1e-9.
 CUTOFF = 52.0
@@ -80,7 +84,8 @@ def statistics(documents: DataFrame) -> DataFrame:
     """One row per document: its key columns, the counts and the transformed vector x0..x4.
 
     The vector: log words, log mean word length, log symbols per 100 words, log repeated
-    lines per 100 lines, log words in repeated windows per 100 words; in steps of 1/256.
+    lines per 100 lines, log words in repeated windows per 100 words (of a text SHORT words longer); in
+    steps of 1/256.
     A null text has no words. Null language and source form groups of their own.
     """
     counted = documents.select("doc_id", "lang", "source", *text_statistics(F.col("text")))
@@ -102,7 +107,7 @@ def statistics(documents: DataFrame) -> DataFrame:
         F.log1p(F.col("word_chars") / least_one("n_words")),
         F.log1p(100 * F.col("n_symbols") / least_one("n_words")),
         F.log1p(100 * F.col("n_dup_lines") / least_one("n_lines")),
-        F.log1p(100 * F.col("n_repeat_words") / least_one("n_words")),
+        F.log1p(100 * F.col("n_repeat_words") / (F.col("n_words") + SHORT)),
     ]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return flat.select(
@@ -112,13 +117,29 @@ def statistics(documents: DataFrame) -> DataFrame:
     )
 
 
-GROUP = ["lang", "source"]
+GROUP = ["level", "lang", "source"]
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
-def _with_fit(rows: DataFrame, fit: DataFrame) -> DataFrame:
-    """Rows beside their group's fit; null keys meet null keys."""
-    keys = [rows[k].eqNullSafe(fit[k]) for k in GROUP]
-    return rows.join(fit, keys[0] & keys[1]).drop(*[fit[k] for k in GROUP])
+def _leveled(rows: DataFrame) -> DataFrame:
+    """Each row as a member of its (language, source), its language and the whole: levels 0, 1 and 2."""
+    levels = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return levels.withColumns(
+        {"lang": F.when(F.col("level") < 2, F.col("lang")), "source": F.when(F.col("level") < 1, F.col("source"))}
+    )
+
+
+def _same(one: DataFrame, other: DataFrame, names: list[str] = GROUP) -> Column:
+    """Equal keys; null keys meet null keys."""
+    equal = F.lit(True)
+    for k in names:
+        equal = equal & one[k].eqNullSafe(other[k])
+    return equal
+
+
+def _with_fit(rows: DataFrame, fit: DataFrame, names: list[str] = GROUP) -> DataFrame:
+    """Rows beside their group's fit."""
+    return rows.join(fit, _same(rows, fit, names)).drop(*[fit[k] for k in names])
 
 
 def _distance() -> Column:
@@ -134,12 +155,11 @@ def _distance() -> Column:
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """From s_ij (with the least variance added) to w_ij, the inverse Cholesky factor, and log det."""
+    """Beside m_i and s_ij: w_ij, the inverse Cholesky factor with FLOORS as least pivots, and log det."""
     out = moments
     for j in range(DIMS):  # column by column: the pivot, then what stands below it
         less = lambda i: sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))  # noqa: B023, E731
-        # The floor keeps every pivot well above zero; the bound only guards the last bit.
-        pivot = F.greatest(F.col(f"s{j}{j}") + FLOORS[j] ** 2 - less(j), F.lit(1e-9))
+        pivot = F.greatest(F.col(f"s{j}{j}") - less(j), F.lit(FLOORS[j] ** 2))
         out = out.withColumn(f"l{j}{j}", F.sqrt(pivot))
         below = {f"l{i}{j}": (F.col(f"s{i}{j}") - less(i)) / F.col(f"l{j}{j}") for i in range(j + 1, DIMS)}
         out = out.withColumns(below) if below else out
@@ -153,13 +173,7 @@ def _factored(moments: DataFrame) -> DataFrame:
             }
         )
     log_det = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(DIMS)), F.lit(0.0))
-    return out.select(
-        *GROUP,
-        "start",
-        *[f"m{i}" for i in range(DIMS)],
-        *[f"w{i}{j}" for i in range(DIMS) for j in range(i + 1)],
-        log_det.alias("log_det"),
-    )
+    return out.withColumn("log_det", log_det).drop(*[f"l{i}{j}" for i, j in PAIRS])
 
 
 def _first_fits(rows: DataFrame) -> DataFrame:
@@ -175,7 +189,8 @@ def _first_fits(rows: DataFrame) -> DataFrame:
     for i in range(DIMS):
         scaled = F.pow(1.4826 * F.col(f"d{i}"), 2)
         scatter[f"s{i}{i}"] = F.when(F.col("start") == 0, scaled).otherwise(1.0)
-    return _factored(starts.withColumns(scatter))
+    starts = starts.withColumns(scatter)
+    return _factored(starts.drop(*[f"d{i}" for i in range(DIMS)]))
 
 
 def _concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
@@ -191,42 +206,43 @@ def _concentrate(rows: DataFrame, fit: DataFrame) -> DataFrame:
         F.round(F.log1p(_distance()) * STEPS_PER_UNIT).cast("int").alias("far"),
     )
     limits = placed.groupBy(*GROUP, "start").agg(F.percentile("far", CORE).alias("limit"))
-    same = (
-        placed["lang"].eqNullSafe(limits["lang"])
-        & placed["source"].eqNullSafe(limits["source"])
-        & (placed["start"] == limits["start"])
-    )
+    same = _same(placed, limits, [*GROUP, "start"])
     core = placed.join(limits, same).where(F.col("far") <= F.col("limit")).select(placed["*"])
     mean = [F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)]
-    cross = [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+    cross = [F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS]
     moments = core.groupBy(*GROUP, "start").agg(*mean, *cross)
-    pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-    return _factored(
-        moments.withColumns({f"s{i}{j}": F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in pairs})
-    )
+    scatter = {f"s{i}{j}": F.col(f"p{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in PAIRS}
+    return _factored(moments.withColumns(scatter).drop(*[f"p{i}{j}" for i, j in PAIRS]))
+
+
+def _leaning(fit: DataFrame, above: DataFrame, names: list[str]) -> DataFrame:
+    """Centre and scatter of each fit averaged with those above it: rows_here against PRIOR rows."""
+    values = [*[f"m{i}" for i in range(DIMS)], *[f"s{i}{j}" for i, j in PAIRS]]
+    top = above.select(*[F.col(k).alias(f"above_{k}") for k in [*names, *values]])
+    equal = F.lit(True)
+    for k in names:
+        equal = equal & F.col(k).eqNullSafe(F.col(f"above_{k}"))
+    own = F.col("rows_here") / (F.col("rows_here") + PRIOR)
+    mean = [(own * F.col(v) + (1 - own) * F.col(f"above_{v}")).alias(v) for v in values]
+    return fit.join(top, equal).select(*GROUP, *mean)
 
 
 def covariance_fits(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The minimum covariance determinant fit of each (language, source) with MIN_ROWS rows or more.
+    """Per (lang, source): the centre m_i and inverse Cholesky factor w_ij of its fit.
 
     Concentration steps run until no determinant shrinks any more (MAX_STEPS at most); of
-    the two starts the one with the smaller determinant stays. ``scale`` makes the median
-    squared distance that of a chi-square law.
+    the two starts the one with the smaller determinant stays, its scatter scaled up so that the median
+    squared distance is that of a chi-square law. Fits of languages lean on that of all rows,
+    fits of groups on that of their language: the fewer rows, the more.
     """
-    large = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("rows_here")).where(F.col("rows_here") >= MIN_ROWS)
-    rows = _with_fit(rows, large).drop("rows_here")
+    rows = scratch.put(_leveled(rows), "leveled")
     fit = scratch.put(_first_fits(rows), "fit0")
     for step in range(1, MAX_STEPS + 1):
         better = scratch.put(_concentrate(rows, fit), f"fit{step}")
-        old = fit.select(
-            *[F.col(k).alias(f"old_{k}") for k in GROUP], F.col("start").alias("old_start"), F.col("log_det").alias("was")
+        old = fit.select(*GROUP, "start", F.col("log_det").alias("was"))
+        moved = better.join(old, _same(better, old, [*GROUP, "start"])).agg(
+            F.max(F.abs(F.col("log_det") - F.col("was"))).alias("moved")
         )
-        moved = better.join(
-            old,
-            better["lang"].eqNullSafe(old["old_lang"])
-            & better["source"].eqNullSafe(old["old_source"])
-            & (better["start"] == old["old_start"]),
-        ).agg(F.max(F.abs(F.col("log_det") - F.col("was"))).alias("moved"))
         change = moved.first()["moved"]
         scratch.drop(f"fit{step - 1}")
         fit = better
@@ -235,31 +251,32 @@ def covariance_fits(rows: DataFrame, scratch: Scratch) -> DataFrame:
     columns = [c for c in fit.columns if c not in GROUP]
     best = fit.groupBy(*GROUP).agg(F.min_by(F.struct(*columns), F.struct("log_det", "start")).alias("best"))
     best = best.select(*GROUP, "best.*").drop("start", "log_det")
-    scales = (
+    sizes = (
         _with_fit(rows, best)
         .select(*GROUP, (F.round(F.log1p(_distance()) * STEPS_PER_UNIT) / STEPS_PER_UNIT).alias("far"))
         .groupBy(*GROUP)
-        .agg(F.expm1(F.percentile("far", 0.5)).alias("middle"))
+        .agg(F.expm1(F.percentile("far", 0.5)).alias("middle"), F.count(F.lit(1)).alias("rows_here"))
     )
-    scales = scales.select(*GROUP, F.greatest(F.col("middle") / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    return _with_fit(best, scales)
+    sizes = sizes.withColumn("scale", F.greatest(F.col("middle") / CHI2_MEDIAN, F.lit(1.0))).drop("middle")
+    scaled = _with_fit(best.drop(*[f"w{i}{j}" for i, j in PAIRS]), sizes)
+    scaled = scratch.put(scaled.withColumns({f"s{i}{j}": F.col("scale") * F.col(f"s{i}{j}") for i, j in PAIRS}), "scaled")
+    level = lambda k: scaled.where(F.col("level") == k)
+    languages = _leaning(level(1), level(2), [])
+    return _factored(_leaning(level(0), languages, ["lang"])).drop("level", "log_det")
 
 
 def quality_verdicts(documents: DataFrame) -> DataFrame:
     """Counts, ``base_failed``, squared ``distance`` and ``kept`` for every row of ``documents``.
 
     Needs doc_id, text, lang, source; other columns are not read. Fits come from rows that
-    pass the plain limits. ``distance`` is null for rows that fail them and for groups
-    below MIN_ROWS, which give no verdict: such rows stay unless they fail the limits.
-    Repeated rows count as often as they occur. An empty table gives an empty result.
+    pass the plain limits; ``distance`` is null for rows that fail them. Repeated rows count as often as they occur. An empty table gives an empty result.
     """
     scratch = Scratch(documents.sparkSession, "quality")
     rows = scratch.put(statistics(documents), "statistics")
-    fits = covariance_fits(rows.where(~F.col("base_failed")).select(*GROUP, *[f"x{i}" for i in range(DIMS)]), scratch)
-    fits = scratch.put(fits, "fits")
-    keys = rows["lang"].eqNullSafe(fits["lang"]) & rows["source"].eqNullSafe(fits["source"])
-    judged = rows.join(fits, keys & ~F.col("base_failed"), "left")
-    distance = _distance() / F.col("scale")
+    passed = rows.where(~F.col("base_failed")).select("lang", "source", *[f"x{i}" for i in range(DIMS)])
+    fits = scratch.put(covariance_fits(passed, scratch), "fits")
+    judged = rows.join(fits, _same(rows, fits, ["lang", "source"]) & ~F.col("base_failed"), "left")
+    distance = _distance()
     return judged.select(
         rows["doc_id"],
         rows["lang"],
