@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import xxhash
 from pyspark.sql import functions as F
 
 from visloom.llm import fingerprints
@@ -10,7 +11,9 @@ from visloom.llm.common import table
 
 
 def plain_edits(rows):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    place = lambda r: (r[0] is None, -(r[0] or 0), signed(xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42)))
+    order = sorted(rows, key=place)
     out = []
     for k, (doc_id, text) in enumerate(order):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
@@ -19,9 +22,12 @@ def plain_edits(rows):
     return out
 
 
+def brief_plain(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1:]))
+
+
 def brief(df):
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
-    return sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in df.collect()), key=key)
+    return brief_plain((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in df.collect())
 
 
 def test_edits_of_all_documents(spark, sf):
@@ -39,12 +45,23 @@ def test_chunk_borders_change_nothing(docs, monkeypatch):
     rng = random.Random(3)
     rows = [(rng.randrange(10**6), " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(0, 30)))) for _ in range(120)]
     rows = list({r[0]: r for r in rows}.values())
-    for chunk, group in ((1, 1), (3, 2), (50, 1), (1000, 4096)):
+    for chunk, span in ((1, 7), (3, 2), (50, 1), (1000, 256)):
         monkeypatch.setattr(fingerprints, "CHUNK", chunk)
-        monkeypatch.setattr(fingerprints, "SUPER", group)
+        monkeypatch.setattr(fingerprints, "SPAN", span)
         assert brief(fingerprints.fingerprints(docs(rows))) == sorted(plain_edits(rows))
 
 
+def test_chunks_are_even_whatever_the_ids(docs, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CHUNK", 50)
+    rows = [(k, f"text {k}") for k in range(1500)] + [(7, f"copy {k}") for k in range(1000)] + [(9_000_000_000, "far"), (-(1 << 63), "low")]
+    rows += [(None, f"none {k}") for k in range(500)]
+    df = docs(rows)
+    chunked, n = fingerprints._chunks(df)
+    sizes = [r["count"] for r in chunked.groupBy("chunk").count().collect()]
+    assert len(sizes) == n > 40 and sum(sizes) == len(rows) and max(sizes) < 200
+    assert brief(fingerprints.fingerprints(df)) == brief_plain(plain_edits(rows))
+
+
 def test_edges(docs):
     assert fingerprints.fingerprints(docs([])).collect() == []
     one = fingerprints.fingerprints(docs([(7, "a b c d e f g")])).collect()[0]

@@ -9,6 +9,8 @@ Everything is built-in DataFrame functions.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,9 @@ from visloom.functions.bind import bind
 from visloom.llm.common import words_of
 
 K, S = 6, 2
-CHUNK = 1000  # documents next to each other that one group holds on average
-SUPER = 4096  # chunks per group when neighbouring chunks are looked up
-NULL_CHUNKS = 1024  # groups of rows without a doc_id
+CHUNK = 1000  # documents next to each other that one chunk holds on average
+MAX_CHUNKS = 65_536  # borders that pass through the driver; above CHUNK times as many rows chunks grow
+SPAN = 256  # borders looked through at once
 
 
 def anchors(text: Column) -> Column:
@@ -93,34 +95,63 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(both_empty, 1.0).when(either_empty, 0.0).otherwise(found)
 
 
-def _chunks(documents: DataFrame) -> DataFrame:
-    """doc_id, text and ``chunk``: consecutive doc_ids, descending, about CHUNK documents each.
+def _place(doc_id: Column, text: Column) -> Column:
+    """What rows are ordered by: doc_id descending (null last), then the hash of the text."""
+    number = doc_id.cast("bigint")
+    return F.struct(
+        number.isNull().cast("int").alias("none"),
+        F.coalesce(F.bitwise_not(number), F.lit(0)).cast("bigint").alias("back"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"),
+    )
+
+
+def _borders(documents: DataFrame) -> list:
+    """The first place of each of up to MAX_CHUNKS even ranges of places, ascending.
+
+    Spark's range partitioning of the places alone (no texts) makes the ranges, so neither far-off
+    ids nor a doc_id with many texts fill one of them.
+    """
+    places = documents.select(_place(F.col("doc_id"), F.col("text")).alias("place"))
+    n = places.count()
+    ranges = places.repartitionByRange(max(1, min(MAX_CHUNKS, -(-n // CHUNK))), "place.none", "place.back", "place.h")
+    first = ranges.groupBy(F.spark_partition_id().alias("range")).agg(F.min("place").alias("place"))
+    return sorted(tuple(r["place"]) for r in first.collect())
+
+
+def _chunks(documents: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text, ``place``, ``chunk`` and ``leads`` (the place begins the chunk); the number of chunks.
 
-    A chunk is a range of ids as wide as CHUNK documents are on average; a chunk of distinct ids has
-    no more rows than its width. Rows without a doc_id come last, in chunks of their own by text.
+    A chunk is looked up in two steps, among every SPAN-th border, then among those that follow it.
     """
-    low, high, n = documents.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    width = 1 if not n else max(1, CHUNK * (high - low + 1) // n)
-    last = 0 if not n else (high - low) // width
-    by_id = F.floor((F.lit(high or 0) - F.col("doc_id")) / width).cast("bigint")
-    by_text = F.lit(last + 1) + F.pmod(F.xxhash64("text"), F.lit(NULL_CHUNKS))
-    rows = documents.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.withColumn("chunk", F.coalesce(by_id, by_text))
+    borders = _borders(documents)
+    groups = [borders[k : k + SPAN] for k in range(0, len(borders), SPAN)]
+    place = "struct<none:int,back:bigint,h:bigint>"
+    named = lambda b: dict(zip(("none", "back", "h"), b, strict=True))
+    tops = F.from_json(F.lit(json.dumps([named(g[0]) for g in groups])), f"array<{place}>")
+    lists = F.from_json(F.lit(json.dumps([[named(b) for b in g] for g in groups])), f"array<array<{place}>>")
+    rows = documents.select(
+        F.col("doc_id").cast("bigint"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        _place(F.col("doc_id"), F.col("text")).alias("place"),
+    )
+
+    def looked_up(at: Column) -> Column:
+        def within(top: Column) -> Column:
+            group = F.get(lists, top)
+            step = F.size(F.filter(group, lambda b: b <= at)) - 1
+            return F.struct((top * SPAN + step).cast("bigint").alias("chunk"), F.array_contains(group, at).alias("leads"))
+
+        return bind(F.size(F.filter(tops, lambda b: b <= at)) - 1, within)
+
+    found = rows.withColumn("found", bind(F.col("place"), looked_up))
+    return found.select("doc_id", "text", "place", "found.chunk", "found.leads"), len(borders)
 
 
-def _heads(chunked: DataFrame) -> DataFrame:
+def _heads(chunked: DataFrame, n_chunks: int) -> DataFrame:
     """The first row of each chunk, with the chunk that comes before it (for the first: the last of all)."""
-    heads = chunked.groupBy("chunk").agg(F.max(F.struct("doc_id", "text")).alias("row"))
-    # Chunks in groups of SUPER; a group's first chunk follows the last one of the group before.
-    numbers = chunked.select("chunk").distinct().withColumn("super", F.floor(F.col("chunk") / SUPER))
-    groups = numbers.groupBy("super").agg(F.max("chunk").alias("final"))
-    whole = groups.agg(F.max("final").alias("final")).first()["final"]
-    before = F.lag("final").over(Window.orderBy("super"))  # one row per SUPER · CHUNK documents
-    groups = groups.select("super", F.coalesce(before, F.lit(whole)).alias("outside"))
-    inside = F.lag("chunk").over(Window.partitionBy("super").orderBy("chunk"))
-    places = numbers.withColumn("inside", inside).join(groups, "super")
-    places = places.select("chunk", F.coalesce("inside", "outside").alias("to"))
-    return heads.join(places, "chunk").select("row.doc_id", "row.text", F.col("to").alias("chunk"))
+    before = F.pmod(F.col("chunk") - 1, F.lit(max(1, n_chunks))).alias("chunk")
+    heads = chunked.where("leads").groupBy("chunk").agg(F.max("text").alias("text"), F.first("doc_id").alias("doc_id"), F.first("place").alias("place"))
+    return heads.select("doc_id", "text", "place", before)
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -130,15 +161,17 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     all) of the next document in descending doc_id order; after the last comes the first. near_edited
     compares the text with its edited text, near_next with the next document.
 
-    Null text is empty: n_chars 0, an empty fingerprint. Of rows sharing a doc_id the greater text comes
-    first; rows without a doc_id come last. A single row is its own next. An empty table gives none.
+    Null text is empty: n_chars 0, an empty fingerprint. Rows sharing a doc_id are ordered by the
+    hash of their text; rows without a doc_id come last. A single row is its own next. An empty table gives none.
 
-    Each text crosses the network once. One row per chunk is copied to the chunk before it.
+    Each text crosses the network once. One row per chunk is copied to the chunk before it. Only rows equal in
+    doc_id and text are bound to stay together.
     """
-    chunked = _chunks(documents)
-    every = chunked.withColumn("copy", F.lit(0)).unionByName(_heads(chunked).withColumn("copy", F.lit(1)))
+    chunked, n_chunks = _chunks(documents)
+    heads = _heads(chunked, n_chunks).withColumn("copy", F.lit(1))
+    every = chunked.drop("leads").withColumn("copy", F.lit(0)).unionByName(heads)
     every = every.repartition("chunk").withColumn("own", anchors(F.col("text")))
-    order = Window.partitionBy("chunk").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("text"))
+    order = Window.partitionBy("chunk").orderBy("copy", "place")
     beside = every.withColumns({"next_text": F.lead("text").over(order), "next_own": F.lead("own").over(order)})
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(
