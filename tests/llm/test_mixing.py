@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -27,6 +28,67 @@ def test_marginals_meet_their_targets(spark):
     assert math.isclose(odds(0), odds(1), rel_tol=1e-6, abs_tol=1e-9)
 
 
+def plain_raking(tokens, powers=mixing.POWERS):
+    """Shares, residuals of the worst marginal and whether the cyclic rounds settled, by dictionaries."""
+    whole = sum(tokens.values())
+    share = {c: n / whole for c, n in tokens.items()}
+    targets = []
+    for k, d in enumerate(mixing.DIMENSIONS):
+        has = Counter()
+        for c, n in tokens.items():
+            has[c[k]] += n
+        raised = {v: n ** powers[d] if n else 0.0 for v, n in has.items()}
+        targets.append({v: x / sum(raised.values()) for v, x in raised.items()})
+
+    def marginal(share, k):
+        has = Counter()
+        for c, x in share.items():
+            has[c[k]] += x
+        return has
+
+    was, together = math.inf, False
+    for _ in range(mixing.MAX_ROUNDS):
+        new = dict(share)
+        for k in range(3):
+            has = marginal(share if together else new, k)
+            new = {c: x * ((targets[k][c[k]] / has[c[k]] if has[c[k]] else 0.0) ** (1 / 3 if together else 1)) for c, x in new.items()}
+        total = sum(new.values()) if together else 1.0
+        share = {c: x / total for c, x in new.items()}
+        off = max(abs(marginal(share, k)[v] - t) for k in range(3) for v, t in targets[k].items())
+        if off <= mixing.TOLERANCE or (together and abs(was - off) <= mixing.TOLERANCE / 10):
+            break
+        together, was = together or off > mixing.STALLED * was, off
+    return share, off, not together
+
+
+def compare(rows):
+    """Weights of a result against plain raking of its own cells."""
+    cell = lambda r: (r["source"], r["lang"], r["topic"])
+    tokens = Counter()
+    for r in rows:
+        tokens[cell(r)] += r["n_tokens"]
+    share, off, settled = plain_raking(tokens)
+    whole = sum(tokens.values())
+    for r in rows:
+        want = share[cell(r)] * whole / tokens[cell(r)] if tokens[cell(r)] else 0.0
+        assert math.isclose(r["weight"], want, rel_tol=1e-6, abs_tol=1e-9)
+    assert math.isclose(max(r["off_target"] for r in rows), off, rel_tol=1e-6, abs_tol=1e-9)
+    return off, settled
+
+
+def test_contradicting_targets_end_at_the_closest_marginals(docs):
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    rows = [(k, say(20 + 60 * (k % 6)), "de" if k % 6 > 3 else "en", f"s{k % 6}") for k in range(240)]
+    got = mixing.mixed(docs(rows)).collect()
+    off, settled = compare(got)
+    assert not settled and mixing.TOLERANCE < off < 0.05
+    shares = Counter()
+    for r in got:
+        shares[r["lang"]] += r["weight"] * r["n_tokens"]
+    assert math.isclose(sum(shares.values()), sum(r["n_tokens"] for r in got), rel_tol=1e-6)
+
+
 def test_the_rate_is_met_beside_vanishing_shares(spark):
     rows = [("a", 1000, 0.5), ("b", 4000, 0.5 - 1e-21), ("c", 5000, 1e-21)]
     cells = spark.createDataFrame(rows, "k string, tokens long, share double")
@@ -43,6 +105,7 @@ def test_all_documents(spark, sf):
     assert all(r["n_tokens"] == words[r["doc_id"]] and 0 <= r["probability"] <= 1 for r in rows)
     whole = sum(r["n_tokens"] for r in rows)
     assert math.isclose(sum(r["probability"] * r["n_tokens"] for r in rows), mixing.KEEP * whole, rel_tol=1e-3)
+    compare(rows)
     again = mixing.mixed(df.repartition(3)).collect()
     assert {r["doc_id"] for r in again if r["sampled"]} == {r["doc_id"] for r in rows if r["sampled"]}
 

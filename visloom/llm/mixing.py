@@ -23,6 +23,7 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
 KEEP = 0.5  # share of all tokens the sample is to have
 MAX_ROUNDS = 30
 TOLERANCE = 1e-4  # largest error of a marginal share
+STALLED = 0.95  # a round that leaves more than this part of the error says the targets contradict each other
 GRID = 64  # candidates for the sampling rate tried at once
 EXACT = 1e-9  # relative error of the sampling rate
 SEED = 42
@@ -69,38 +70,56 @@ def default_targets(cells: DataFrame, powers: Mapping[str, float] = POWERS) -> d
     return out
 
 
+def residuals(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """Per marginal (dimension, key): its ``share``, its ``target`` (none: 0) and ``off``, the difference."""
+    out = None
+    for d in DIMENSIONS:
+        has = cells.groupBy(F.col(f"k_{d}").alias("key")).agg(F.sum("share").alias("share"))
+        both = has.join(targets[d].withColumnRenamed(f"k_{d}", "key"), "key", "left")
+        target = F.coalesce("target", F.lit(0.0))
+        one = both.select(F.lit(d).alias("dimension"), "key", "share", target.alias("target"), F.abs(F.col("share") - target).alias("off"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _factors(cells: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    totals = cells.groupBy(key).agg(F.sum("share").alias("has"))
+    factor = F.when(F.col("has") > 0, F.coalesce("target", F.lit(0.0)) / F.col("has")).otherwise(0.0)
+    return totals.join(target, key, "left").select(key, factor.alias(f"by_{key}"))
+
+
 def raked(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch) -> DataFrame:
     """Cells with ``share``: proportional fitting of their tokens to the target marginals.
 
-    A round scales the cells once per dimension. Rounds end when no marginal is off by more than
-    TOLERANCE, or after MAX_ROUNDS where the targets contradict the empty cells. A value
-    without a target keeps no share.
+    A round scales the cells once per dimension, until no marginal is off by more than TOLERANCE. Targets
+    that contradict the empty cells cannot be met: such rounds go round in circles, each dimension undoing the
+    others. Once a round leaves more than STALLED of the error, all dimensions scale at once, by the
+    cube roots of their factors, which leads to the marginals closest to all targets together (in summed
+    relative entropy); that ends when the error hardly changes any more, or after MAX_ROUNDS in all.
+    ``residuals`` tells what is left. A value without a target keeps no share.
     """
     keys = [f"k_{d}" for d in DIMENSIONS]
+    shares = lambda df, share: df.select(*keys, "tokens", share.alias("share"))
     whole = cells.agg(F.sum("tokens").alias("whole"))
-    current = cells.join(F.broadcast(whole)).select(  # one row
-        *keys, "tokens", F.when(F.col("whole") > 0, F.col("tokens") / F.col("whole")).otherwise(0.0).alias("share")
-    )
-    current = scratch.put(current, "shares0")
+    present = F.when(F.col("whole") > 0, F.col("tokens") / F.col("whole")).otherwise(0.0)
+    current = scratch.put(shares(cells.join(F.broadcast(whole)), present), "shares0")  # one row
+    was, together = float("inf"), False
     for turn in range(1, MAX_ROUNDS + 1):
         step = current
         for d in DIMENSIONS:
-            key = f"k_{d}"
-            totals = step.groupBy(key).agg(F.sum("share").alias("has"))
-            factors = totals.join(targets[d], key, "left").select(
-                key, F.when(F.col("has") > 0, F.coalesce("target", F.lit(0.0)) / F.col("has")).otherwise(0.0).alias("factor")
-            )
-            step = step.join(factors, key).select(*keys, "tokens", (F.col("share") * F.col("factor")).alias("share"))
+            factors = _factors(current if together else step, targets[d], f"k_{d}")
+            by = F.col(f"by_k_{d}")
+            step = shares(step.join(factors, f"k_{d}"), F.col("share") * (F.pow(by, 1 / len(DIMENSIONS)) if together else by))
+        if together:
+            total = step.agg(F.sum("share").alias("total"))
+            step = shares(step.join(F.broadcast(total)), F.when(F.col("total") > 0, F.col("share") / F.col("total")).otherwise(0.0))
         fitted = scratch.put(step, f"shares{turn}")
-        off = 0.0
-        for d in DIMENSIONS[:-1]:  # the last dimension has just been fitted
-            totals = fitted.groupBy(f"k_{d}").agg(F.sum("share").alias("has")).join(targets[d], f"k_{d}", "left")
-            worst = totals.agg(F.max(F.abs(F.col("has") - F.coalesce("target", F.lit(0.0))))).first()[0]
-            off = max(off, worst or 0.0)
+        off = residuals(fitted, targets).agg(F.max("off")).first()[0] or 0.0
         scratch.drop(f"shares{turn - 1}")
         current = fitted
-        if off <= TOLERANCE:
+        if off <= TOLERANCE or (together and abs(was - off) <= TOLERANCE / 10):
             break
+        together, was = together or off > STALLED * was, off
     return current
 
 
@@ -140,7 +159,8 @@ def mixed(
     token shares raised to POWERS. ``weight`` is the cell's target share over its present
     share, ``probability`` is min(1, rate · weight), and a row is sampled if a hash of (seed, doc_id) falls
     below it, so a repeated task draws the same rows. Rows sharing a doc_id are drawn
-    together if their cells agree.
+    together if their cells agree. ``off_target`` is the largest difference between share and target among
+    the cell's three marginals: above TOLERANCE, the targets contradict the cells that exist.
 
     Null source, language or topic (texts without words) are values of their own. Rows without
     tokens weigh nothing and are drawn at their cell's probability, 0. An empty table gives none.
@@ -155,11 +175,18 @@ def mixed(
     rate = sampling_rate(fitted, keep)
     whole = fitted.agg(F.sum("tokens")).first()[0] or 0
     weight = F.when(F.col("tokens") > 0, F.col("share") * whole / F.col("tokens")).otherwise(0.0)
-    weights = fitted.select(*keys, weight.alias("weight"), F.least(F.lit(1.0), rate * weight).alias("probability"))
+    left = scratch.put(residuals(fitted, targets), "residuals")
+    placed = fitted
+    for d in DIMENSIONS:
+        placed = placed.join(
+            left.where(F.col("dimension") == d).select(F.col("key").alias(f"k_{d}"), F.col("off").alias(f"off_{d}")), f"k_{d}"
+        )
+    off = F.greatest(*[f"off_{d}" for d in DIMENSIONS]).alias("off_target")
+    weights = placed.select(*keys, weight.alias("weight"), F.least(F.lit(1.0), rate * weight).alias("probability"), off)
     weights = scratch.put(weights, "weights")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / F.lit(float(1 << 53))
     return rows.join(weights, keys).select(
-        "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled")
+        "doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "off_target", (draw < F.col("probability")).alias("sampled")
     )
 
 
