@@ -13,6 +13,7 @@ from visloom.plans.registry import query
 from visloom.plans.surprisal_queries import rounded
 from visloom.session import scratch_path
 from visloom.sinks import files
+from visloom.sinks.versioned import StoredCache
 
 TERMS = ["the", "that", "und", "les"]
 
@@ -279,9 +280,41 @@ def cache_extend(spark, sf):
     fx.with_ctes(fx.SQL_CACHE, fx.SQL_ARRIVALS, SQL_EXTENDED, select="SELECT position, uid FROM extended"),
 )
 def uid_cache_save(spark, sf):
-    folder = scratch_path(spark, "uid-cache")
-    files.save_cache(cache_extend(spark, sf), folder)
-    return spark.read.parquet(folder)
+    """The cache as a versioned table: the arrivals are written as a change of their own."""
+    cache = StoredCache(spark, scratch_path(spark, "uid-cache"))
+    cache.load(fx.uid_cache(spark, sf))
+    cache.extend(fx.uid_arrivals(spark, sf))
+    return cache.read()
+
+
+@query(
+    "uid_cache_versions",
+    fx.with_ctes(
+        fx.SQL_CACHE,
+        fx.SQL_ARRIVALS,
+        SQL_EXTENDED,
+        select="""SELECT 'extended' AS state, position, uid FROM extended
+UNION ALL
+SELECT 'removed', row_number() OVER (ORDER BY position) - 1, uid FROM extended
+WHERE uid NOT IN (SELECT concat('dev-', doc_id, '-0-0') FROM labels WHERE toxic = 1)""",
+    ),
+)
+def uid_cache_versions(spark, sf):
+    """An older version read beside the newest, after removals and a merge of the changes."""
+    cache = StoredCache(spark, scratch_path(spark, "uid-cache"))
+    cache.load(fx.uid_cache(spark, sf))
+    extended = cache.extend(fx.uid_arrivals(spark, sf))
+    cache.remove(_toxic_uids(spark, sf))
+    cache.table.compact()
+    state = lambda name: F.lit(name).alias("state")
+    return cache.read(extended).select(state("extended"), "position", "uid").unionByName(
+        cache.read().select(state("removed"), "position", "uid")
+    )
+
+
+def _toxic_uids(spark, sf) -> DataFrame:
+    toxic = fx.table(spark, sf, "labels").where(F.col("toxic") == 1)
+    return toxic.select(F.concat(F.lit("dev-"), F.col("doc_id").cast("string"), F.lit("-0-0")).alias("uid"))
 
 
 @query(
@@ -291,9 +324,7 @@ FROM labels WHERE toxic = 0""",
 )
 def cache_remove(spark, sf):
     """Take the toxic documents out of the cache."""
-    toxic = fx.table(spark, sf, "labels").where(F.col("toxic") == 1)
-    uids = toxic.select(F.concat(F.lit("dev-"), F.col("doc_id").cast("string"), F.lit("-0-0")).alias("uid"))
-    return uid_cache.cache_remove(fx.uid_cache(spark, sf), uids)
+    return uid_cache.cache_remove(fx.uid_cache(spark, sf), _toxic_uids(spark, sf))
 
 
 @query(
