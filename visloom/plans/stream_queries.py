@@ -58,7 +58,7 @@ def stream_totals(spark, sf):
     )
     records = surprisal.token_surprisal(scored).withColumnRenamed("surprisal_bits", "total_surprisal_bits")
     folder = scratch_path(spark, "stream-totals")
-    totals = streams.run_totals_to_files(streams.running_totals(records, ["label"]), folder, f"{folder}-checkpoint")
+    totals = streams.run_totals_to_table(streams.running_totals(records, ["label"]), ["label"], folder, f"{folder}-checkpoint")
     return totals.withColumn("total_surprisal_bits", F.round("total_surprisal_bits", 6))
 
 
@@ -73,6 +73,17 @@ def stream_dedup(spark, sf):
     return spark.read.schema(unique.schema).parquet(folder)
 
 
+@query("stream_dedup_ttl", "SELECT DISTINCT concat('dev-', sha256(text)) AS uid FROM documents")
+def stream_dedup_ttl(spark, sf):
+    """The same with states that end a day after a text was first met."""
+    uid = F.concat(F.lit("dev-"), F.sha2("text", 256))
+    records = _stream(spark, sf, "documents").select(uid.alias("uid"), "doc_id")
+    folder = scratch_path(spark, "stream-uids")
+    unique = streams.first_seen(records, keep_seconds=86_400).select("uid")
+    streams.run_to_files(unique, folder, f"{folder}-checkpoint")
+    return spark.read.schema(unique.schema).parquet(folder)
+
+
 @query(
     "stream_append_log",
     """SELECT text AS response, concat(conv_id, '-', turn) AS uid, turn AS index, 64 AS max_new_tokens FROM conversations
