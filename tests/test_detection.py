@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visloom.functions import boxes as bx
+from visloom.operators.terms import term_slices
 from visloom.operators import detection, evaluation
 
 SCHEMA = "box_id bigint, image_id string, label string, x1 double, y1 double, x2 double, y2 double"
@@ -205,11 +206,42 @@ def test_latest_correction_wins(spark):
 
 def test_terms_are_whole_words(spark):
     accented = spark.createDataFrame([(3, "édog dogö dog_ 1dog")], "id int, text string")
-    assert evaluation.term_slices(accented, "text", ["dog"]).count() == 0
+    assert term_slices(accented, "text", ["dog"]).count() == 0
     df = spark.createDataFrame([(1, "A Dog and a television"), (2, "dogma")], "id int, text string")
-    got = {(r["id"], r["term"]) for r in evaluation.term_slices(df, "text", ["dog", "television"]).collect()}
+    got = {(r["id"], r["term"]) for r in term_slices(df, "text", ["dog", "television"]).collect()}
     assert got == {(1, "dog"), (1, "television")}
     odd = spark.createDataFrame([(1, "a.b or c++ (x"), (2, "axb Hot DOG")], "id int, text string")
     terms = ["a.b", "c++", "(x", "hot dog", "Dog", "dog"]
-    got = {(r["id"], r["term"]) for r in evaluation.term_slices(odd, "text", terms).collect()}
+    got = {(r["id"], r["term"]) for r in term_slices(odd, "text", terms).collect()}
     assert got == {(1, "a.b"), (1, "c++"), (1, "(x"), (2, "hot dog"), (2, "Dog"), (2, "dog")}
+
+
+def test_many_terms_at_once(spark):
+    """100,000 terms of one to four words and odd ones, against a look at every place of every text."""
+    rng = random.Random(4)
+    words = [f"w{n}" for n in range(60)] + ["Ähre", "c++", "#tag", "a_b", "ß1"]
+    terms = list({" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(101_000)})
+    terms += ["++", "(", "w1  w2", "W1", "", None]
+    texts = [rng.choice(" ,.\n(").join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(60)] + ["", None, "w1  w2+++w1", "w1 w2" * 400]
+    texts += [t.upper().replace("SS1", "ß1") for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    table = spark.createDataFrame([(t,) for t in terms + terms[:50]], "term string")
+    is_word = lambda c: c == "_" or c.isalnum()
+
+    def mentions(text, term):
+        at = text.find(term)
+        while at >= 0:
+            end = at + len(term)
+            if not (at and is_word(text[at - 1])) and not (end < len(text) and is_word(text[end])):
+                return True
+            at = text.find(term, at + 1)
+        return False
+
+    want = set()
+    for k, text in enumerate(texts):
+        low = (text or "").lower()
+        want |= {(k, t) for t in terms if t and t.lower() in low and mentions(low, t.lower())}
+    rows = [(r["id"], r["term"]) for r in term_slices(df, "text", table).select("id", "term").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    plan = term_slices(df, "text", table)._jdf.queryExecution().toString()
+    assert "w59 w" not in plan

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from visloom.functions.answers import true_false
 from visloom.functions.text import PAIR_PROMPT
 from visloom.operators import evaluation, uid_cache, vector_search
+from visloom.operators.terms import runs, term_slices
 from visloom.plans import fixtures as fx
 from visloom.plans.registry import query
 from visloom.plans.surprisal_queries import rounded
@@ -100,7 +101,36 @@ def term_slice(spark, sf):
     items = fx.table(spark, sf, "benchmark").select(
         F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), "text"
     )
-    return evaluation.term_slices(docs.unionByName(items), "text", TERMS).select("kind", "id", "term")
+    return term_slices(docs.unionByName(items), "text", TERMS).select("kind", "id", "term")
+
+
+def _sql_runs(name: str, table: str, key: str) -> str:
+    """The runs of one to four words in each text, with what stands between the words."""
+    word = lambda at: f"regexp_matches(tok[{at}], '^[\\pL\\pN_]')"
+    sizes = " UNION ALL ".join(
+        f"""SELECT id, unnest([array_to_string(tok[i:i + {n - 1}], '') FOR i IN range(1, len(tok) - {n - 2})
+    IF {word('i')} AND {word(f'i + {n - 1}')}]) AS term FROM {name}_tokens"""
+        for n in (1, 3, 5, 7)
+    )
+    return f"""{name}_tokens AS (
+  SELECT {key} AS id, regexp_extract_all(lower(text), '[\\pL\\pN_]+|[^\\pL\\pN_]') AS tok FROM {table}),
+{name} AS (SELECT DISTINCT id, term FROM ({sizes}))"""
+
+
+@query(
+    "term_table",
+    fx.with_ctes(
+        _sql_runs("asked", "benchmark", "item_id"),
+        _sql_runs("said", "documents", "doc_id"),
+        select="""SELECT term, count(*) AS documents FROM said WHERE term IN (SELECT term FROM asked) GROUP BY term""",
+    ),
+)
+def term_table(spark, sf):
+    """Documents per term, for all runs of one to four words of the benchmark as terms."""
+    words = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(True).alias("head"), F.lit(True).alias("tail")) for n in (1, 3, 5, 7)])
+    terms = fx.table(spark, sf, "benchmark").select(F.explode(runs(F.col("text"), words)).alias("term")).distinct()
+    met = term_slices(fx.table(spark, sf, "documents").select("doc_id", "text"), "text", terms)
+    return met.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query(
