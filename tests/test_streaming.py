@@ -52,7 +52,7 @@ def test_state_size_is_one_row_a_uid(spark, tmp_path):
 
 def test_dedup_within_watermark(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = streams.file_stream(spark, sf, "events.parquet", schema).select("ts", F.col("user_id").alias("uid"))
+    stream = streams.file_stream(spark, sf, "events.parquet*", schema).select("ts", F.col("user_id").alias("uid"))
     target = scratch_path(spark, "within")
     streams.run_to_files(streams.first_seen_within(stream, "ts", "365 days").select("uid"), target, f"{target}-checkpoint")
     users = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
@@ -79,6 +79,14 @@ def test_totals_over_several_batches(spark, tmp_path):
     assert table._list(table.version())["changes"][-1]["rows"] == 1
 
 
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    spark.range(7).repartition(3).write.parquet(f"{tmp_path}/in/t.parquet")
+    spark.range(9).write.parquet(f"{tmp_path}/in/other.parquet")
+    stream = streams.file_stream(spark, f"{tmp_path}/in", "t.parquet*", "id long")
+    streams.run_to_files(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(7))
+
+
 def test_restart_takes_up_new_files_once(spark, tmp_path):
     folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
     spark.range(5).write.parquet(folder)

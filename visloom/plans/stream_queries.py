@@ -16,7 +16,7 @@ from visloom.streaming import streams
 
 def _stream(spark, sf, name):
     schema = fx.table(spark, sf, name).schema
-    return streams.file_stream(spark, sf, f"{name}.parquet", schema)
+    return streams.file_stream(spark, sf, f"{name}.parquet*", schema)
 
 
 @query(

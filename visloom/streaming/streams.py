@@ -29,8 +29,8 @@ def state_on_disk(spark: SparkSession) -> Iterator[None]:
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, fmt: str = "parquet") -> DataFrame:
-    """New files of a folder as a stream."""
-    return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern).load(folder)
+    """New files as a stream: those of a folder whose names match the glob ``pattern``, or inside folders of such names."""
+    return spark.readStream.format(fmt).schema(schema).load(f"{folder.rstrip('/')}/{pattern}")
 
 
 def running_totals(records: DataFrame, by: Sequence[str]) -> DataFrame:
