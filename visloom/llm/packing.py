@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,13 @@ class WordIds(dict):
 
     def learn(self, words: set[bytes]) -> None:
         new = [(w, w.decode()) for w in words.difference(self.keys())]
-        cut = {w: PARTS.findall(t.lower()) for w, t in new if PLAIN.fullmatch(t) and "<|" not in t}
-        missing = sorted(set().union(*cut.values()).difference(self.parts.keys()))
+        # ASCII letters alone are one part.
+        cut = {
+            w: [t.lower()] if t.isascii() and t.isalpha() else PARTS.findall(t.lower())
+            for w, t in new
+            if (t.isascii() and t.isalpha()) or (PLAIN.fullmatch(t) and "<|" not in t)
+        }
+        missing = list(set(chain.from_iterable(cut.values())).difference(self.parts.keys()))
         seen: dict[str, bytes] = {}
         for k in range(0, len(missing), PARTS_AT_ONCE):
             group = missing[k : k + PARTS_AT_ONCE]
@@ -81,7 +87,7 @@ class WordIds(dict):
         if len(self.parts) < self.limit:
             self.parts.update(seen)
         known = lambda p: seen[p] if p in seen else self.parts[p]
-        learned = {w: b"".join(map(known, parts)) for w, parts in cut.items()}
+        learned = {w: known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts)) for w, parts in cut.items()}
         other = [(w, t) for w, t in new if w not in cut]
         learned.update((w, x.tobytes()) for (w, _), x in zip(other, self.encoded([t for _, t in other]), strict=True))
         if len(self) < self.limit:
