@@ -164,19 +164,20 @@ class _Automaton:
         place = np.flatnonzero(is_pair)
         _, first, number = np.unique(before[place] * self.n_words + b.codes[place], return_index=True, return_inverse=True)
         first = place[first]
-        v, w, n = before[first], b.codes[first], pair_n[first]
+        v, w, n, taken = before[first], b.codes[first], pair_n[first], pair_mass[first]
         pair_p = np.maximum(n - DISCOUNT, 0) / count[v] + (1 - mass[v] / count[v]) * single[w]
         states = 1 + len(frequent) + np.arange(len(first))
 
         pair_of = np.full(len(b.codes), -1)
         pair_of[place] = number
+        del pair_n, pair_mass, is_pair, before, place, number  # a block's arrays are large
         triple_n, _ = _Answers(answers, 3).of(b.triples)
         context = np.roll(pair_of, 1)
         place = np.flatnonzero(b.deep[2] & (context >= 0) & (triple_n > 0))
         _, once = np.unique(context[place] * self.n_words + b.codes[place], return_index=True)
         once = place[once]
         uv, vw = context[once], pair_of[once]
-        rest = 1 - pair_mass[first] / n
+        rest = 1 - taken / n
         triple_p = np.maximum(triple_n[once] - DISCOUNT, 0) / n[uv] + rest[uv] * pair_p[vw]
 
         # Failure arcs: a pair falls back to its second word, a word to the empty context.
@@ -307,8 +308,11 @@ def lm_scores(documents: DataFrame, least: int = LEAST, block_tokens: int = BLOC
     with_mass = lambda told, grams: told.join(_masses(grams), F.col("key") == F.col("of"), "left").select(
         *told.columns, F.coalesce("mass", F.lit(0.0)).alias("mass")
     )
-    told = with_mass(words, pairs).unionByName(with_mass(_told(pairs, 2), triples))
-    told = told.unionByName(_told(triples, 3).select("*", no_mass))
+    of_words = scratch.put(with_mass(words, pairs), "of-words")
+    scratch.drop("words")
+    of_pairs = scratch.put(with_mass(_told(pairs, 2), triples), "of-pairs")
+    scratch.drop("pairs")
+    told = of_words.unionByName(of_pairs).unionByName(_told(triples, 3).select("*", no_mass))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
