@@ -77,3 +77,24 @@ def test_close_to_the_bound_on_mixed_lengths():
     plan = packing.Plan(counts, 2048)
     assert plan.sequences <= 1.002 * sum(k * n for k, n in counts.items()) / 2048 + 1
     assert len(plan.rows) < 20_000
+
+
+def test_known_words_are_looked_up_and_not_walked_through():
+    """What a group of texts costs depends on its own words, not on how many the table holds."""
+
+    class Unwalked(dict):
+        def keys(self):
+            raise AssertionError("walked")
+
+        __iter__ = items = values = keys
+
+    class Table(packing.WordIds):
+        keys = __iter__ = items = values = Unwalked.keys
+
+    table = Table(WORD_BPE)
+    table.parts = Unwalked()
+    for words in ({b"Hello", b"it's"}, {b"Hello", b"World", "İx".encode()}):
+        table.learn(words)
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    for word in (b"Hello", b"it's", b"World", "İx".encode()):
+        assert table[word] == np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -69,27 +69,37 @@ class WordIds(dict):
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(parts) or (len(ids) and stops[-1] != len(ids)):
             return [x.tobytes() for x in self.encoded(parts)]
-        return [x.tobytes() for x in np.split(ids, stops[:-1])]
+        whole, ends = ids.tobytes(), (4 * stops).tolist()
+        return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def learn(self, words: set[bytes]) -> None:
-        new = [(w, w.decode()) for w in words.difference(self.keys())]
-        # ASCII letters alone are one part.
-        cut = {
-            w: [t.lower()] if t.isascii() and t.isalpha() else PARTS.findall(t.lower())
-            for w, t in new
-            if (t.isascii() and t.isalpha()) or (PLAIN.fullmatch(t) and "<|" not in t)
-        }
-        missing = list(set(chain.from_iterable(cut.values())).difference(self.parts.keys()))
+        # Only what is asked is looked up: a difference with the keys of a table walks through the whole table.
+        single, cut, other = {}, {}, {}
+        for w in filterfalse(self.__contains__, words):
+            t = w.decode()
+            if t.isascii() and t.isalpha():  # ASCII letters alone are one part
+                single[w] = t.lower()
+            elif not PLAIN.fullmatch(t) or "<|" in t:
+                other[w] = t
+            elif len(parts := PARTS.findall(t.lower())) == 1:
+                single[w] = parts[0]
+            else:
+                cut[w] = parts
+        asked = set(single.values()).union(chain.from_iterable(cut.values()))
+        missing = list(filterfalse(self.parts.__contains__, asked))
         seen: dict[str, bytes] = {}
         for k in range(0, len(missing), PARTS_AT_ONCE):
             group = missing[k : k + PARTS_AT_ONCE]
             seen.update(zip(group, self.part_ids(group), strict=True))
         if len(self.parts) < self.limit:
             self.parts.update(seen)
-        known = lambda p: seen[p] if p in seen else self.parts[p]
-        learned = {w: known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts)) for w, parts in cut.items()}
-        other = [(w, t) for w, t in new if w not in cut]
-        learned.update((w, x.tobytes()) for (w, _), x in zip(other, self.encoded([t for _, t in other]), strict=True))
+            known = self.parts.__getitem__
+        else:
+            seen.update((p, self.parts[p]) for p in asked.difference(seen))
+            known = seen.__getitem__
+        learned = dict(zip(single, map(known, single.values()), strict=True))
+        learned.update((w, b"".join(map(known, parts))) for w, parts in cut.items())
+        learned.update((w, x.tobytes()) for w, x in zip(other, self.encoded(list(other.values())), strict=True))
         if len(self) < self.limit:
             self.update(learned)
             self.now = {}
