@@ -245,3 +245,16 @@ def test_many_terms_at_once(spark):
     assert len(rows) == len(set(rows)) and set(rows) == want
     plan = term_slices(df, "text", table)._jdf.queryExecution().toString()
     assert "w59 w" not in plan
+
+
+def test_runs_are_cut_without_functions_per_token(spark):
+    """Texts of several batches, null and empty ones, in groups smaller than a text; no lambda runs for each token."""
+    texts = ["Ab, cd", None, "", "c++ ab\ncd", "ab " * 40 + "++", "漢字 ab", "👍👍 cd"]
+    df = spark.createDataFrame(list(enumerate(texts * 3)), "id int, text string").repartition(2)
+    terms = ["AB", "ab, cd", "++", "漢字 ab", "👍", "👍👍", "cd", "ab\ncd"]
+    said = term_slices(df, "text", terms)
+    want = {0: {"AB", "ab, cd", "cd"}, 3: {"AB", "cd", "ab\ncd"}, 4: {"AB", "++"}, 5: {"AB", "漢字 ab"}, 6: {"👍", "👍👍", "cd"}}
+    got = [(r["id"], r["term"]) for r in said.select("id", "term").collect()]
+    assert sorted(got) == sorted((k + 7 * n, t) for k, found in want.items() for t in found for n in range(3))
+    plan = said._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan.split("Generate")[1].split("Join")[0]

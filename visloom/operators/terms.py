@@ -7,13 +7,15 @@ with the terms. No term stands in the plan, and Spark broadcasts the terms only
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visloom.functions.bind import bind
-
+TOKENS_AT_ONCE = 1 << 17  # tokens of texts whose runs are held at once, or those of one text
 WORD = r"[\p{L}\p{N}_]"
 TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_]"
 
@@ -38,23 +40,55 @@ def runs(text: Column, shapes: Column) -> Column:
     """The different runs of tokens in a text that have one of the ``shapes`` and stand between word boundaries.
 
     A word is a token, so only a run that begins or ends with another character has to look at its neighbour.
+    Spark cuts the tokens and says which characters are no part of words; the runs are cut out of the tokens' bytes.
     """
-
-    def of_shape(found: Column, word: Column, s: Column) -> Column:
-        def run(i: Column) -> Column:
-            first, last = F.get(word, i), F.get(word, i + s["n"] - 1)
-            before = F.when(i > 0, F.get(word, i - 1)).otherwise(False)
-            after = F.coalesce(F.get(word, i + s["n"]), F.lit(False))
-            whole = (first == s["head"]) & (last == s["tail"]) & (first | ~before) & (last | ~after)
-            return F.when(whole, F.array_join(F.slice(found, i + 1, s["n"]), ""))
-
-        starts = F.when(F.size(found) >= s["n"], F.sequence(F.lit(0), F.size(found) - s["n"])).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, run)
-
-    def all_runs(found: Column) -> Column:
-        return bind(F.transform(found, _is_word), lambda word: F.flatten(F.transform(shapes, lambda s: of_shape(found, word, s))))
-
-    return F.array_distinct(F.array_compact(bind(tokens(text), all_runs)))
+    at_once = TOKENS_AT_ONCE
+
+    def of_texts(found: pa.Array, other: pa.Array, wanted: list[dict]) -> pa.Array:
+        token, sizes = found.flatten().cast(pa.large_string()), pc.list_value_length(found).fill_null(0).to_numpy()
+        ends, count = np.cumsum(sizes, dtype=np.int64), len(token)
+        coded, others = token.dictionary_encode(), set("".join(other.drop_null().to_pylist()))
+        word = np.array([t not in others for t in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy()]
+        text_of, left = np.repeat(np.arange(len(sizes)), sizes), np.repeat(ends, sizes) - np.arange(count)
+        is_first = np.repeat(ends - sizes, sizes) == np.arange(count)
+        heads = {True: word, False: ~word & ~(np.append(False, word[:-1])[:count] & ~is_first)}
+        tails = {True: word, False: ~word & ~(np.append(word[1:], False)[:count] & (left > 1))}
+        keys, known, base = [], [], 0
+        if count:
+            bounds = np.frombuffer(token.buffers()[1], np.int64)[token.offset : token.offset + count + 1]
+            data = np.frombuffer(token.buffers()[2], np.uint8)
+        for n in sorted({s["n"] for s in wanted}) if count else []:
+            at = np.flatnonzero(left >= n)
+            whole = np.zeros(len(at), bool)
+            for s in wanted:
+                if s["n"] == n:
+                    whole |= heads[s["head"]][at] & tails[s["tail"]][at + n - 1]
+            at = at[whole]
+            lengths = bounds[at + n] - bounds[at]
+            starts = np.append(0, np.cumsum(lengths))
+            cut = data[np.repeat(bounds[at] - starts[:-1], lengths) + np.arange(starts[-1])]
+            run = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(starts), pa.py_buffer(cut)).dictionary_encode()
+            keys.append((text_of[at], base + run.indices.to_numpy()))
+            known.append(run.dictionary)
+            base += len(run.dictionary)  # runs of other lengths are other runs
+        if not base:
+            return pa.array([[]] * len(sizes), pa.list_(pa.string()))
+        pairs = np.unique(np.concatenate([t * base + r for t, r in keys]))
+        offsets = np.searchsorted(pairs, np.arange(len(sizes) + 1) * base).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.concat_arrays(known).take(pa.array(pairs % base)).cast(pa.string()))
+
+    @F.arrow_udf("array<string>")
+    def cut_out(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for found, other, shapes in batches:
+            upto = np.cumsum(pc.list_value_length(found).fill_null(0).to_numpy(), dtype=np.int64)
+            start = 0
+            while start < len(found):
+                before = upto[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(upto, before + at_once, "right")))
+                yield of_texts(found[start:stop], other[start:stop], shapes[start].as_py() or [])
+                start = stop
+
+    return cut_out(tokens(text), F.regexp_replace(F.lower(text), f"{WORD}+", ""), shapes)
 
 
 def term_slices(df: DataFrame, text: str, terms: DataFrame | Sequence[str]) -> DataFrame:
