@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 
@@ -103,3 +104,16 @@ def test_one_of_each_group_stays_with_all_columns(docs):
     kept = near_dedup.keep_one_each(df)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 3, 4]
+
+
+def test_tables_that_nothing_reads_any_more_are_deleted(docs, spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(near_dedup, "Scratch", lambda *a: made.append(Scratch(*a)) or made[-1])
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(60)) for _ in range(4)]
+    rows = [(4 * k + n, " ".join(t.split()[: 60 - k])) for n, t in enumerate(texts) for k in range(6)]
+    df = near_dedup.near_duplicates(docs(rows), 2)
+    left = {f.name for f in Path(made[0].root.removeprefix("file://")).iterdir()}
+    assert "sizes" in left and not left & {"signed", "classes", "shared", "involved", "members", "sets", "heads1", "pairs1", "rest"}
+    check(docs(rows), rows, 2)
+    assert df.count() == len(rows)

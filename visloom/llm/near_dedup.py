@@ -165,13 +165,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     classes = scratch.put(classes, "classes")
     repeated = classes.where("copies > 1").select("digest", "digest2", "rep")
     equal = usable.join(repeated, ["digest", "digest2"]).where("doc_id <> rep")
-    equal = equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    equal = scratch.put(equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "equal")
+    sizes = scratch.put(signed.select("doc_id", "n_shingles"), "sizes")
+    scratch.drop("signed")
 
     # Buckets with at least two classes.
     banded = classes.select(F.posexplode("keys").alias("band", "key"), F.col("rep").alias("node"))
     shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     shared = scratch.put(shared.where("low < high").select("key"), "shared")
     members = scratch.put(banded.join(shared, "key"), "members")
+    scratch.drop("shared")
     involved = scratch.put(members.select(F.col("node").alias("__wanted")).distinct(), "involved")
     wanted = documents.join(involved, documents["doc_id"] == F.col("__wanted"), "left_semi")
     sets = scratch.put(full_sets(wanted, width), "sets")
@@ -179,6 +182,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("bands")
     known = classes.join(involved, F.col("rep") == F.col("__wanted"), "left_semi").select(F.col("rep").alias("node"), short)
     traits = scratch.put(sets.select("node", "sketch").join(known, "node"), "traits")
+    scratch.drop("classes", "involved")
     links = bucket_links(
         members,
         traits,
@@ -186,8 +190,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         confirmer(sets, percent, scratch),
         scratch,
     )
+    scratch.drop("members", "sets")
     labels = components(links.union(equal), scratch, "all")
-    return signed.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left").select(
+    return sizes.join(labels, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id",
         "n_shingles",
         F.coalesce("component", "doc_id").alias("component_id"),
