@@ -5,10 +5,11 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from visloom.llm import near_dedup
-from visloom.llm.common import Scratch, table
-from visloom.llm.graph import components
+from visloom.llm.common import Scratch, parity_allows, parity_sketches, table
+from visloom.llm.graph import bucket_links, components
 
 
 def shingles(text, width):
@@ -117,3 +118,58 @@ def test_tables_that_nothing_reads_any_more_are_deleted(docs, spark, monkeypatch
     assert "sizes" in left and not left & {"signed", "classes", "shared", "involved", "members", "sets", "heads1", "pairs1", "rest"}
     check(docs(rows), rows, 2)
     assert df.count() == len(rows)
+
+
+def test_parity_sketches_lose_no_pair_and_tell_those_just_below_the_limit(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for differing in (0, 100, 111, 140, 200, 900):  # of 1,000 elements on each side; 111 is the limit of 80%
+        for _ in range(20):
+            a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+            b = np.concatenate([a[differing:], rng.integers(0, 1 << 63, differing, dtype=np.uint64)])
+            x, y = parity_sketches(np.concatenate([a, b]), np.array([0, 1000]), 64)
+            rows.append((differing, 1000, 1000, x.tolist(), y.tolist()))
+    df = spark.createDataFrame(rows, "differing int, n_a int, n_b int, parity_a array<long>, parity_b array<long>")
+    passed = df.where(parity_allows(64, 80)).groupBy("differing").count().collect()
+    assert {r["differing"]: r["count"] for r in passed} == {0: 20, 100: 20, 111: 20}
+
+
+def test_sets_of_both_kinds_of_sketches_meet(docs, monkeypatch):
+    """Sets on both sides of the size from which on sketches are sampled."""
+    monkeypatch.setattr(near_dedup, "PARITY_MOST", 100)
+    rng = random.Random(7)
+    rows = []
+    for group in range(6):
+        base = [f"w{rng.randrange(5000)}" for _ in range(112)]
+        for k in range(8):
+            words = base[: 112 - 4 * k]
+            words[rng.randrange(60)] = f"x{k}"
+            rows.append((10 * group + k, " ".join(words)))
+    check(docs(rows), rows, 2)
+
+
+def test_nodes_ask_the_head_they_meet_most_often(spark):
+    """A crowd shares 4 buckets, and each of its nodes another with each of 12 strangers, as one common word makes them."""
+    crowd, strangers = range(100), range(-12, 0)
+    members = [(band, band, n) for band in range(4) for n in crowd]
+    members += [(1000 * n - s, 3 - s, x) for s in strangers for n in crowd for x in (n, s)]
+    traits = [(n, [0, 1, 2, 3] + [1000 * n - s for s in range(-1, -13, -1)]) for n in crowd] + [(s, [None] * 16) for s in strangers]
+    scratch, asked = Scratch(spark, "t"), []
+
+    def confirm(pairs, name):
+        found = scratch.put(pairs.where("a >= 0 AND b >= 0"), name)
+        asked.append((pairs.where("a >= 0").count(), found.count()))
+        return found
+
+    links = bucket_links(
+        spark.createDataFrame(members, "key long, band int, node long"),
+        spark.createDataFrame(traits, "node long, bands array<int>"),
+        F.lit(True),
+        confirm,
+        scratch,
+        rounds=1,
+    )
+    # Four heads at most: who is none asks one of them, and few pairs are left for the last join.
+    assert asked[0][1] >= 90
+    labels = components(links, Scratch(spark, "t"), "c").collect()
+    assert {r["node"] for r in labels} == set(crowd) and {r["component"] for r in labels} == {0}

@@ -1,10 +1,11 @@
 """Near duplicates: MinHash bands find candidates, odd sketches and full sets decide.
 
 Texts with equal shingle sets are one class from the start. One member of each class goes
-into BANDS bands of ROWS MinHash values. Documents that share a band with another one get an
-odd sketch: SAMPLES further MinHash values folded into a bitmap of parities. The population
-count of two bitmaps' XOR tells precisely how many values differ, and only pairs that may reach the
-limit are compared on their full sets.
+into BANDS bands of ROWS MinHash values. Documents that share a band with another one get a sketch, a bitmap of parities. The population
+count of two bitmaps' XOR tells how much the sets differ, and only pairs that may reach the
+limit are compared on their full sets. A set of up to PARITY_MOST elements has a parity sketch of the elements themselves, which
+is nearly exact and loses no pair; one of `percent` of that or more has an odd sketch of SAMPLES further MinHash values.
+Sets in between have both, so any two sets similar enough have one kind in common.
 
 No bucket emits all its pairs. In each round every document is held against one
 representative of its buckets, and what is linked becomes one component. Only documents of
@@ -20,7 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visloom.llm.common import Scratch, WordHashes, mix, shingle_hashes, texts_as_bytes
+from visloom.llm.common import (
+    Scratch,
+    WordHashes,
+    mix,
+    parity_allows,
+    parity_sketches,
+    shingle_hashes,
+    sizes_allow,
+    texts_as_bytes,
+)
 from visloom.llm.graph import bucket_links, components, confirmer
 
 # 40 bands of 5 values: a pair at similarity 0.8 is missed with probability (1 - 0.8^5)^40 = 1.2e-7.
@@ -29,6 +39,8 @@ VALUES = BANDS * ROWS
 SAMPLES = 2048  # MinHash values in an odd sketch: estimates 0.8 with a deviation of 0.009
 SKETCH_WORDS = 64
 SKETCH_BITS = 64 * SKETCH_WORDS
+# Sets at the limit of 80% differ in a ninth of their elements together: up to here in 1,333, a third of the bits.
+PARITY_MOST = 6000
 DEVIATIONS = 4.5  # a pair at the limit passes its sketch unless it is off by so many standard deviations
 STEP = 1 << 17  # hash values held at once: bounds the memory of a very long text
 
@@ -113,8 +125,15 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(sign, SIGNED)
 
 
-def full_sets(documents: DataFrame, width: int) -> DataFrame:
-    """(node, shingles, sketch): the whole set of each row as 64-bit hashes, and its odd sketch."""
+def full_sets(documents: DataFrame, width: int, percent: int = 80) -> DataFrame:
+    """(node, shingles, parity, sketch): the whole set of each row as 64-bit hashes, and its sketches by size (else null)."""
+    sampled_least = PARITY_MOST * percent // 100
+
+    def parity(shingles):
+        return parity_sketches(shingles, np.zeros(1, np.int64), SKETCH_WORDS)[0] if len(shingles) <= PARITY_MOST else None
+
+    def sampled(shingles):
+        return odd_sketch(minhash(shingles, FOR_SKETCH)) if len(shingles) >= sampled_least else None
 
     def fill(batches):
         hashes = WordHashes()
@@ -125,22 +144,25 @@ def full_sets(documents: DataFrame, width: int) -> DataFrame:
                 [
                     pa.array([d for d, _ in found], pa.int64()),
                     pa.array([s.view(np.int64) for _, s in found], lists),
-                    pa.array([odd_sketch(minhash(s, FOR_SKETCH)) for _, s in found], lists),
+                    pa.array([parity(s) for _, s in found], lists),
+                    pa.array([sampled(s) for _, s in found], lists),
                 ],
-                ["node", "shingles", "sketch"],
+                ["node", "shingles", "parity", "sketch"],
             )
 
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        fill, "node long, shingles array<long>, sketch array<long>"
+        fill, "node long, shingles array<long>, parity array<long>, sketch array<long>"
     )
 
 
-def _close(limit: int):
+def _close(percent: int):
+    """Whether a pair may reach the limit, by its sizes and by each kind of sketch that both have."""
     differing = sum(
         (F.bit_count(F.get(F.col("sketch_a"), k).bitwiseXOR(F.get(F.col("sketch_b"), k))) for k in range(SKETCH_WORDS)),
         F.lit(0),
     )
-    return differing <= limit
+    sampled = F.coalesce(differing <= most_odd_bits(percent / 100), F.lit(True))
+    return sizes_allow(percent) & F.coalesce(parity_allows(SKETCH_WORDS, percent), F.lit(True)) & sampled
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -177,16 +199,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     scratch.drop("shared")
     involved = scratch.put(members.select(F.col("node").alias("__wanted")).distinct(), "involved")
     wanted = documents.join(involved, documents["doc_id"] == F.col("__wanted"), "left_semi")
-    sets = scratch.put(full_sets(wanted, width), "sets")
+    sets = scratch.put(full_sets(wanted, width, percent), "sets")
     # 32 bits of each band's key tell which bands two documents share.
     short = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("bands")
     known = classes.join(involved, F.col("rep") == F.col("__wanted"), "left_semi").select(F.col("rep").alias("node"), short)
-    traits = scratch.put(sets.select("node", "sketch").join(known, "node"), "traits")
+    traits = scratch.put(sets.select("node", F.size("shingles").alias("n"), "parity", "sketch").join(known, "node"), "traits")
     scratch.drop("classes", "involved")
     links = bucket_links(
         members,
         traits,
-        _close(most_odd_bits(percent / 100)),
+        _close(percent),
         confirmer(sets, percent, scratch),
         scratch,
     )
