@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from visloom.functions.images import image_size
 from visloom.session import scratch_path
 from visloom.sinks import files
+from visloom.sources.scan import image_files
 
 
 def jpeg(width, height, *segments, frame=0xC0):
@@ -72,3 +73,18 @@ def test_image_without_bytes_is_an_error(spark):
     folder = scratch_path(spark, "export")
     with pytest.raises(Exception, match="no bytes for the image"):
         files.export_samples(manifest(spark), images, folder)
+
+
+def test_many_small_files_share_a_task(spark):
+    images = spark.range(400).select(F.format_string("%d.png", "id").alias("out_name"), F.encode(F.col("id").cast("string"), "utf-8").alias("content"))
+    folder = scratch_path(spark, "images")
+    files.export_images(images, folder)
+    found = image_files(spark, folder)
+    assert found.rdd.getNumPartitions() <= 8  # 13 when 32 files fill a task
+    assert {(r["filename"], bytes(r["content"]), r["length"]) for r in found.collect()} == {
+        (f"{k}.png", str(k).encode(), len(str(k))) for k in range(400)
+    }
+    here, beside = spark.conf.getAll, found.sparkSession.conf.getAll
+    assert {k: v for k, v in here.items() if beside.get(k) != v and "openCostInBytes" not in k} == {}
+    joined = spark.createDataFrame([("7.png",)], "filename string").join(found, "filename")
+    assert [bytes(r["content"]) for r in joined.collect()] == [b"7"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visloom.schemas import CONFIGS
+from visloom.session import for_small_files
 
 MAX_BROADCAST_FILES = 100_000
 CHUNK_ROWS = 1 << 20
@@ -97,7 +98,8 @@ def unknown_configs(df: DataFrame) -> DataFrame:
 def image_files(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     """Image files of a folder: path, length and content (read only when selected)."""
     return (
-        spark.read.format("binaryFile")
+        for_small_files(spark)
+        .read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(path)
