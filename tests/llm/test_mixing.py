@@ -89,6 +89,20 @@ def test_contradicting_targets_end_at_the_closest_marginals(docs):
     assert math.isclose(sum(shares.values()), sum(r["n_tokens"] for r in got), rel_tol=1e-6)
 
 
+def test_a_round_makes_small_plans(docs, monkeypatch):
+    """A plan that nests the dimensions' factors has every step several times, which the driver has to hold."""
+    joins, put = [], Scratch.put
+
+    def counted(self, df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return put(self, df, name)
+
+    monkeypatch.setattr(Scratch, "put", counted)
+    rows = [(k, "word " * (20 + 60 * (k % 6)), "de" if k % 6 > 3 else "en", f"s{k % 6}") for k in range(24)]
+    off, settled = compare(mixing.mixed(docs(rows)).collect())
+    assert not settled and max(joins) <= len(mixing.DIMENSIONS)
+
+
 def test_the_rate_is_met_beside_vanishing_shares(spark):
     rows = [("a", 1000, 0.5), ("b", 4000, 0.5 - 1e-21), ("c", 5000, 1e-21)]
     cells = spark.createDataFrame(rows, "k string, tokens long, share double")

@@ -107,15 +107,16 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch)
     for turn in range(1, MAX_ROUNDS + 1):
         step = current
         for d in DIMENSIONS:
-            factors = _factors(current if together else step, targets[d], f"k_{d}")
+            # Factors are written: a plan that held them would hold the steps before it twice per dimension.
+            factors = scratch.put(_factors(current if together else step, targets[d], f"k_{d}"), f"factors{turn}-{d}")
             by = F.col(f"by_k_{d}")
             step = shares(step.join(factors, f"k_{d}"), F.col("share") * (F.pow(by, 1 / len(DIMENSIONS)) if together else by))
-        if together:
-            total = step.agg(F.sum("share").alias("total"))
-            step = shares(step.join(F.broadcast(total)), F.when(F.col("total") > 0, F.col("share") / F.col("total")).otherwise(0.0))
         fitted = scratch.put(step, f"shares{turn}")
+        scratch.drop(f"shares{turn - 1}", *[f"factors{turn}-{d}" for d in DIMENSIONS])
+        if together:
+            total = fitted.agg(F.sum("share")).first()[0] or 0.0
+            fitted = shares(fitted, F.col("share") / total if total > 0 else F.lit(0.0))
         off = residuals(fitted, targets).agg(F.max("off")).first()[0] or 0.0
-        scratch.drop(f"shares{turn - 1}")
         current = fitted
         if off <= TOLERANCE or (together and abs(was - off) <= TOLERANCE / 10):
             break
