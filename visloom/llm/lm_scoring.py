@@ -4,12 +4,13 @@ States are the empty context, frequent words and frequent word pairs; arcs carry
 log-probabilities and lead to the longest state the text allows; every other state has a failure
 arc with its backoff weight to the next shorter one. A text is scored in one left-to-right traversal.
 
-An n-gram is frequent from LEAST occurrences in the training texts on, whatever the corpus. All of them stand
-in tables; a block gets the states and arcs of its own texts by joins, and nothing is
-broadcast or collected.
+An n-gram is frequent from LEAST occurrences in the training texts on, whatever the corpus. A block gets
+the states and arcs of its own texts by asking for them, and nothing is broadcast or collected.
 
 The corpus is kept as blocks: the texts of up to BLOCK tokens coded by a vocabulary of their own.
-A block asks for each of its words, pairs and triples once.
+A block asks for each of its words, pairs and triples once. Its keys are sorted and dealt by their leading bits into
+slices of about SLICE tokens of the corpus; one row holds all a block asks of a slice. A slice adds up what the blocks
+brought and answers each of them in the order of its keys, so answers need no keys.
 """
 
 from __future__ import annotations
@@ -20,16 +21,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visloom.llm.common import Scratch, WordHashes, mix, texts_as_bytes
 
 LEAST = 2  # occurrences from which on an n-gram has states and arcs, whatever the corpus
 DISCOUNT = 0.75
-BLOCK = 1 << 21  # tokens
+BLOCK = 1 << 20  # tokens
+SLICE = 1 << 21  # tokens of the corpus for each slice of the keys
+WORDS, PAIRS, TRIPLES, WORD_MASSES, PAIR_MASSES = range(1, 6)  # what is asked for
 FOLDS, HELD_OUT = 7, 2
 END = b""  # no word is empty
+ASKED = "kind int, slice long, block long, keys binary, parts binary"
+TOLD = "kind int, slice long, block long, totals binary, once binary, n_new long, n_all double"
 BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<int>"
 
 
@@ -131,12 +136,86 @@ class _Block:
         self.triples = np.zeros(len(tokens), np.uint64)
         self.triples[1:] = _longer(self.pairs[:-1], tokens[1:], 3)
 
-    def asked(self, keys: np.ndarray, contexts: np.ndarray, wanted: np.ndarray) -> list[pa.Array]:
-        """Distinct n-grams among the ``wanted`` tokens, their contexts and training counts."""
+    def asked(self, keys: np.ndarray, contexts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams among the ``wanted`` tokens in ascending order, their contexts and training counts."""
         keys, contexts, train = keys[wanted], contexts[wanted], ~self.held[wanted]
         found, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        n = np.bincount(inverse[train], minlength=len(found))
-        return [pa.array(found.view(np.int64)), pa.array(contexts[first].view(np.int64)), pa.array(n, pa.int64())]
+        return found, contexts[first], np.bincount(inverse[train], minlength=len(found))
+
+
+class _Grams:
+    """A block's n-grams, as far as it has been told of the shorter ones."""
+
+    def __init__(self, b: _Block, told: pa.Table, least: float):
+        self.b, self.least = b, least
+        self.told = {}
+        for kind in set(told.column("kind").to_pylist()):
+            rows = told.filter(pa.compute.equal(told.column("kind"), kind)).sort_by("slice")
+            totals, once = _joined(rows.column("totals"))[0], _joined(rows.column("once"))[0]
+            self.told[kind] = np.frombuffer(totals, "<f8"), np.frombuffer(once, np.uint8) > 0
+
+    def _told(self, kind: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the n-grams asked for, and whether this block is the one to answer for them."""
+        return self.told[kind] if size else (np.zeros(0), np.zeros(0, bool))
+
+    def words(self) -> None:
+        self.word_n, _ = self._told(WORDS, len(self.b.words))
+        self.common = self.word_n >= self.least
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and training counts of pairs of frequent words."""
+        good = self.common[self.b.codes]
+        contexts = np.roll(self.b.words[self.b.codes], 1)
+        self.pair_keys, self.pair_contexts, n = self.b.asked(self.b.pairs, contexts, good & np.roll(good, 1) & self.b.deep[1])
+        return self.pair_keys, n
+
+    def told_of_pairs(self) -> None:
+        """Only the frequent pairs stay."""
+        n, once = self._told(PAIRS, len(self.pair_keys))
+        frequent = n >= self.least
+        self.pair_keys, self.pair_contexts = self.pair_keys[frequent], self.pair_contexts[frequent]
+        self.pair_n, self.pair_once = n[frequent], once[frequent]
+
+    def triples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and training counts of triples of two frequent pairs."""
+        at = np.minimum(np.searchsorted(self.pair_keys, self.b.pairs), max(len(self.pair_keys) - 1, 0))
+        good = (self.pair_keys[at] == self.b.pairs) & self.b.deep[1] if len(self.pair_keys) else np.zeros(len(at), bool)
+        del at
+        found = self.b.asked(self.b.triples, np.roll(self.b.pairs, 1), good & np.roll(good, 1) & self.b.deep[2])
+        self.triple_keys, self.triple_contexts, n = found
+        return self.triple_keys, n
+
+    def told_of_triples(self) -> None:
+        """Only the frequent triples stay."""
+        n, once = self._told(TRIPLES, len(self.triple_keys))
+        frequent = n >= self.least
+        self.triple_keys, self.triple_contexts = self.triple_keys[frequent], self.triple_contexts[frequent]
+        self.triple_n, self.triple_once = n[frequent], once[frequent]
+
+    def _taken(self, keys: np.ndarray, contexts: np.ndarray, n: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and what frequent followers this block answers for take of each after the discount."""
+        return keys, np.bincount(np.searchsorted(keys, contexts[once]), n[once] - DISCOUNT, len(keys))
+
+    def word_masses(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._taken(self.b.words[self.common], self.pair_contexts, self.pair_n, self.pair_once)
+
+    def pair_masses(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._taken(self.pair_keys, self.triple_contexts, self.triple_n, self.triple_once)
+
+    def answers(self) -> pa.Table:
+        """All the block has been told: order, key, n, and the mass that followers seen take."""
+        mass = np.zeros(len(self.b.words))
+        mass[self.common], _ = self._told(WORD_MASSES, int(self.common.sum()))
+        masses = mass, self._told(PAIR_MASSES, len(self.pair_keys))[0], np.zeros(len(self.triple_keys))
+        keys = self.b.words, self.pair_keys, self.triple_keys
+        return pa.table(
+            {
+                "gram_order": np.repeat(np.arange(1, 4, dtype=np.int32), [len(k) for k in keys]),
+                "key": np.concatenate(keys).view(np.int64),
+                "n": np.concatenate([self.word_n, self.pair_n, self.triple_n]).astype(np.int64),
+                "mass": np.concatenate(masses),
+            }
+        )
 
 
 class _Automaton:
@@ -230,46 +309,107 @@ class _Automaton:
         return out
 
 
-def _asked(blocks: DataFrame, told: DataFrame, order: int, least: float) -> DataFrame:
-    """(block, key, context, n): each block's distinct n-grams whose shorter n-grams are all frequent."""
+def _joined(column: pa.ChunkedArray) -> tuple[pa.Buffer, np.ndarray]:
+    """Binary cells one after the other, and where each begins and the last one ends."""
+    cells = column.combine_chunks()
+    if not len(cells):
+        return pa.py_buffer(b""), np.zeros(1, np.int32)
+    ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    whole = cells.buffers()[2] or pa.py_buffer(b"")
+    return whole.slice(ends[0], ends[-1] - ends[0]), ends - ends[0]
+
+
+def _cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary cells of the values; ``ends``, in values, is where each begins and the last one ends."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _dealt(kind: int, block: int, bits: int, keys: np.ndarray, parts: np.ndarray) -> pa.Table:
+    """One ASKED row per slice the ascending keys fall into."""
+    slices = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    begins = np.flatnonzero(np.diff(slices, prepend=-1))
+    ends = np.append(begins, len(keys))
+    rows = len(begins)
+    columns = [pa.array(np.full(rows, kind, np.int32)), pa.array(slices[begins]), pa.array(np.full(rows, block, np.int64))]
+    return pa.table([*columns, _cells(keys, ends), _cells(parts.astype("<f8"), ends)], _names(ASKED))
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _empty(schema: str) -> pa.Table:
+    types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.table([pa.array([], types[f.split()[1]]) for f in schema.split(", ")], _names(schema))
+
+
+def _asked(blocks: DataFrame, told: DataFrame, least: float, bits: int, kinds: tuple[int, ...]) -> DataFrame:
+    """ASKED rows of these kinds, of all blocks."""
 
     def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
         parts = []
         for batch in block.to_batches():
             for row in _rows(batch):
-                b = _Block(row)
-                if order == 2:
-                    good = (_Answers(answers, 1).of(b.words)[0] >= least)[b.codes]
-                    keys, contexts = b.pairs, np.roll(b.words[b.codes], 1)
-                else:
-                    good = (_Answers(answers, 2).of(b.pairs)[0] > 0) & b.deep[1]
-                    keys, contexts = b.triples, np.roll(b.pairs, 1)
-                columns = b.asked(keys, contexts, good & np.roll(good, 1) & b.deep[order - 1])
-                parts.append(pa.table([pa.array(np.full(len(columns[0]), row["block"], np.int64)), *columns], names))
-        return pa.concat_tables(parts) if parts else pa.table([pa.array([], pa.int64())] * 4, names)
-
-    names = ["block", "key", "context", "n"]
-    pairs = blocks.groupBy("block").cogroup(told.groupBy("block"))
-    return pairs.applyInArrow(ask, "block long, key long, context long, n long")
+                g = _Grams(_Block(row), answers, least)
+                for kind, asked in _steps(g, kinds):
+                    parts.append(_dealt(kind, row["block"], bits, *asked))
+        return pa.concat_tables(parts) if parts else _empty(ASKED)
+
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, ASKED)
+
+
+def _steps(g: _Grams, kinds: tuple[int, ...]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """What a block asks for, of these kinds, once it knows all there is before them."""
+    g.words()
+    pairs = g.pairs()
+    if PAIRS in kinds:
+        yield PAIRS, pairs
+        return
+    g.told_of_pairs()
+    triples = g.triples()
+    if TRIPLES in kinds:
+        yield TRIPLES, triples
+        yield WORD_MASSES, g.word_masses()
+        return
+    g.told_of_triples()
+    if PAIR_MASSES in kinds:
+        yield PAIR_MASSES, g.pair_masses()
+
+
+def _asked_words(blocks: DataFrame, bits: int) -> DataFrame:
+    def ask(batches):
+        for batch in batches:
+            for row in _rows(batch):
+                keys, n = row["words"].to_numpy().view(np.uint64), row["counts"].to_numpy()
+                yield from _dealt(WORDS, row["block"], bits, keys, n).to_batches()
 
+    return blocks.select("block", "words", "counts").mapInArrow(ask, ASKED)
 
-def _frequent(asked: DataFrame, least: float) -> DataFrame:
-    """``asked`` with training counts, for n-grams that have at least ``least``; ``once`` in one row of each."""
-    # An n-gram has one row per block it is in, so none makes a large group.
-    same = Window.partitionBy("key")
-    counted = asked.select(
-        "block", "key", "context", F.sum("n").over(same).alias("n"), (F.row_number().over(same.orderBy("block")) == 1).alias("once")
-    )
-    return counted.where(F.col("n") >= least)
 
+def _totals(asked: DataFrame) -> DataFrame:
+    """TOLD: per ASKED row the totals of its keys over all blocks, in their order; ``once`` marks a key in one block only.
 
-def _masses(frequent: DataFrame) -> DataFrame:
-    """(of, mass): what the frequent followers of each context take after the discount."""
-    return frequent.where("once").groupBy(F.col("context").alias("of")).agg(F.sum(F.col("n") - DISCOUNT).alias("mass"))
+    n_new and n_all count and add up the keys marked that occur in training texts. Keys are hashes and a block brings each of
+    them once, so slices are even and no n-gram makes a large one.
+    """
 
+    def add(group: pa.Table) -> pa.Table:
+        keys, ends = _joined(group.column("keys"))
+        keys, parts, ends = np.frombuffer(keys, "<u8"), np.frombuffer(_joined(group.column("parts"))[0], "<f8"), ends // 8
+        order = np.argsort(keys, kind="stable")
+        new = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
+        sums = np.add.reduceat(parts[order], np.flatnonzero(new))
+        totals, once = np.empty(len(keys)), np.empty(len(keys), np.uint8)
+        totals[order] = sums[np.cumsum(new) - 1]
+        once[order] = new
+        counted = np.where(once, totals, 0.0)
+        n_all = np.add.reduceat(counted, ends[:-1])
+        n_new = np.add.reduceat((counted > 0).astype(np.int64), ends[:-1])
+        columns = [group.column(c).combine_chunks() for c in ("kind", "slice", "block")]
+        return pa.table([*columns, _cells(totals, ends), _cells(once, ends), pa.array(n_new), pa.array(n_all)], _names(TOLD))
 
-def _told(frequent: DataFrame, order: int) -> DataFrame:
-    return frequent.select("block", F.lit(order).alias("gram_order"), "key", "n")
+    return asked.groupBy("kind", "slice").applyInArrow(add, TOLD)
 
 
 def lm_scores(documents: DataFrame, least: int = LEAST, block_tokens: int = BLOCK) -> DataFrame:
@@ -285,34 +425,16 @@ def lm_scores(documents: DataFrame, least: int = LEAST, block_tokens: int = BLOC
     """
     scratch = Scratch(documents.sparkSession, "lm")
     blocks = scratch.put(coded_blocks(documents, block_tokens), "blocks")
-    asked = blocks.select("block", F.explode(F.arrays_zip("words", "counts")).alias("x"))
-    asked = asked.select("block", F.col("x.words").alias("key"), F.col("x.counts").alias("n"))
-    # A word has one row per block it is in, so no word makes a large group.
-    same = Window.partitionBy("key")
-    words = asked.select(
-        "block",
-        F.lit(1).alias("gram_order"),
-        "key",
-        F.sum("n").over(same).alias("n"),
-        (F.row_number().over(same.orderBy("block")) == 1).alias("once"),
-    )
-    words = scratch.put(words, "words")
-    n_tokens = blocks.select(F.explode("counts").alias("n")).agg(F.sum("n")).first()[0] or 0
-    kinds = words.where("once AND n > 0").count()
-    words = words.drop("once")
+    size = blocks.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
+    bits = max(4, (size // SLICE).bit_length())
+    told = scratch.put(_totals(_asked_words(blocks, bits)), "words")
+    kinds, n_tokens = told.agg(F.sum("n_new"), F.sum("n_all").cast("bigint")).first()
+    kinds, n_tokens = kinds or 0, n_tokens or 0
     texts = blocks.drop("counts", "doc_ids")
-
-    pairs = scratch.put(_frequent(_asked(texts, words, 2, least), least), "pairs")
-    triples = scratch.put(_frequent(_asked(texts, _told(pairs, 2), 3, least), least), "triples")
-    no_mass = F.lit(0.0).alias("mass")
-    with_mass = lambda told, grams: told.join(_masses(grams), F.col("key") == F.col("of"), "left").select(
-        *told.columns, F.coalesce("mass", F.lit(0.0)).alias("mass")
-    )
-    of_words = scratch.put(with_mass(words, pairs), "of-words")
-    scratch.drop("words")
-    of_pairs = scratch.put(with_mass(_told(pairs, 2), triples), "of-pairs")
-    scratch.drop("pairs")
-    told = of_words.unionByName(of_pairs).unionByName(_told(triples, 3).select("*", no_mass))
+    for step in ((PAIRS,), (TRIPLES, WORD_MASSES), (PAIR_MASSES,)):
+        asked = _asked(texts, told.select("kind", "slice", "block", "totals", "once"), least, bits, step)
+        told = told.unionByName(scratch.put(_totals(asked), f"told{step[0]}"))
+    told = told.select("kind", "slice", "block", "totals", "once")
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -321,7 +443,11 @@ def lm_scores(documents: DataFrame, least: int = LEAST, block_tokens: int = BLOC
         for batch in block.to_batches():
             for row in _rows(batch):
                 b = _Block(row)
-                automaton = _Automaton(b, answers, n_tokens, kinds, least)
+                g = _Grams(b, answers, least)
+                for _ in _steps(g, ()):
+                    pass
+                automaton = _Automaton(b, g.answers(), n_tokens, kinds, least)
+                del g
                 single, known = automaton.single[b.codes], automaton.known[b.codes]
                 sums = lambda x: np.add.reduceat(x, b.starts)
                 columns = [row["doc_ids"], row["held_out"], b.sizes, sums(known.astype(np.int64)), [n_tokens] * len(b.sizes)]
@@ -331,8 +457,8 @@ def lm_scores(documents: DataFrame, least: int = LEAST, block_tokens: int = BLOC
                         [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], names
                     )
                 )
-        return pa.concat_tables(parts) if parts else pa.table([pa.array([], t) for t in types], names)
+        return pa.concat_tables(parts) if parts else _empty(schema)
 
-    names = [f.split()[0] for f in schema.split(", ")]
+    names = _names(schema)
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     return blocks.drop("counts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
