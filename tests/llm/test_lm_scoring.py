@@ -131,3 +131,18 @@ def test_edges(docs):
 def test_held_out_texts_score_above_the_base(spark, sf):
     rows = lm_scoring.lm_scores(table(spark, sf, "documents")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_a_block_asks_in_one_row_per_slice():
+    """Rows per n-gram would cost memory and disk: keys go packed, and come out as they went in."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**64 - 1, 5_000, dtype=np.uint64))
+    counts = rng.integers(0, 9, len(keys))
+    rows = lm_scoring._dealt(lm_scoring.PAIRS, 7, 4, keys, counts).to_pylist()
+    assert [r["slice"] for r in rows] == list(range(16)) and {r["block"] for r in rows} == {7}
+    back = [np.cumsum(lm_scoring._loose(r["keys"], r["size"], "<u8"), dtype=np.uint64) for r in rows]
+    assert (np.concatenate(back) == keys).all() and sum(len(r["keys"]) + len(r["parts"]) for r in rows) < 8 * len(keys)
+    assert (np.concatenate([lm_scoring._loose(r["parts"], r["size"], "<f8") for r in rows]) == counts).all()
+    assert lm_scoring._dealt(lm_scoring.PAIRS, 7, 4, keys[:0], counts[:0]).num_rows == 0

@@ -33,7 +33,8 @@ SLICE = 1 << 21  # tokens of the corpus for each slice of the keys
 WORDS, PAIRS, TRIPLES, WORD_MASSES, PAIR_MASSES = range(1, 6)  # what is asked for
 FOLDS, HELD_OUT = 7, 2
 END = b""  # no word is empty
-ASKED = "kind int, slice long, block long, keys binary, parts binary"
+ASKED = "kind int, slice long, block long, size int, keys binary, parts binary"
+CODEC = pa.Codec("zstd", compression_level=1)
 TOLD = "kind int, slice long, block long, totals binary, once binary, n_new long, n_all double"
 BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<int>"
 
@@ -42,9 +43,24 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on, compressed: high bytes are mostly zero."""
+    return CODEC.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), asbytes=True)
+
+
+def _loose(packed: pa.Buffer, size: int, dtype: str) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(CODEC.decompress(packed, size * width), np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
 def _block(doc_ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
-    """One row: documents as codes into the block's own vocabulary, with its training counts."""
-    words, codes = np.unique(np.concatenate(parts), return_inverse=True)
+    """One row: documents as codes into the block's own vocabulary, frequent words first, with its training counts."""
+    words, codes, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    words, codes = words[order], rank[codes]
     sizes = np.array([len(p) for p in parts], np.int32)
     held = np.array([is_held_out(d) for d in doc_ids])
     counts = np.bincount(codes[np.repeat(~held, sizes)], minlength=len(words)).astype(np.int32)
@@ -53,7 +69,7 @@ def _block(doc_ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
         pa.array([doc_ids], pa.list_(pa.int64())),
         pa.array([held.tolist()], pa.list_(pa.bool_())),
         pa.array([sizes], pa.list_(pa.int32())),
-        pa.array([codes.astype("<u4").tobytes()], pa.binary()),
+        pa.array([_packed(codes.astype("<u4"))], pa.binary()),
         pa.array([words.view(np.int64)], pa.list_(pa.int64())),
         pa.array([counts], pa.list_(pa.int32())),
     ]
@@ -92,7 +108,7 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes, sizes and the held-out mark of each token of a block row."""
     sizes = row["sizes"].to_numpy().astype(np.int64)
     held = np.repeat(row["held_out"].to_numpy(zero_copy_only=False), sizes)
-    return np.frombuffer(row["codes"], "<u4"), sizes, held
+    return _loose(row["codes"], int(sizes.sum()), "<u4"), sizes, held
 
 
 def _longer(context: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
@@ -125,7 +141,11 @@ class _Block:
 
     def __init__(self, row: dict):
         self.codes, self.sizes, self.held = _unpacked(row)
-        self.words = row["words"].to_numpy().view(np.uint64)
+        words = row["words"].to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words))
+        self.words, self.codes = words[order], rank[self.codes]
         starts = np.cumsum(self.sizes) - self.sizes
         self.starts = starts
         place = np.arange(len(self.codes)) - np.repeat(starts, self.sizes)
@@ -332,7 +352,11 @@ def _dealt(kind: int, block: int, bits: int, keys: np.ndarray, parts: np.ndarray
     ends = np.append(begins, len(keys))
     rows = len(begins)
     columns = [pa.array(np.full(rows, kind, np.int32)), pa.array(slices[begins]), pa.array(np.full(rows, block, np.int64))]
-    return pa.table([*columns, _cells(keys, ends), _cells(parts.astype("<f8"), ends)], _names(ASKED))
+    spans = list(zip(ends[:-1], ends[1:], strict=True))
+    steps = pa.array([_packed(np.diff(keys[i:k], prepend=np.uint64(0))) for i, k in spans], pa.binary())
+    parts = parts.astype("<f8")
+    brought = pa.array([_packed(parts[i:k]) for i, k in spans], pa.binary())
+    return pa.table([*columns, pa.array(np.diff(ends).astype(np.int32)), steps, brought], _names(ASKED))
 
 
 def _names(schema: str) -> list[str]:
@@ -382,7 +406,8 @@ def _asked_words(blocks: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 keys, n = row["words"].to_numpy().view(np.uint64), row["counts"].to_numpy()
-                yield from _dealt(WORDS, row["block"], bits, keys, n).to_batches()
+                order = np.argsort(keys)
+                yield from _dealt(WORDS, row["block"], bits, keys[order], n[order]).to_batches()
 
     return blocks.select("block", "words", "counts").mapInArrow(ask, ASKED)
 
@@ -395,8 +420,10 @@ def _totals(asked: DataFrame) -> DataFrame:
     """
 
     def add(group: pa.Table) -> pa.Table:
-        keys, ends = _joined(group.column("keys"))
-        keys, parts, ends = np.frombuffer(keys, "<u8"), np.frombuffer(_joined(group.column("parts"))[0], "<f8"), ends // 8
+        sizes = group.column("size").to_pylist()
+        loose = lambda c, dtype: [_loose(x.as_buffer(), n, dtype) for x, n in zip(group.column(c), sizes, strict=True)]
+        keys = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in loose("keys", "<u8")])
+        parts, ends = np.concatenate(loose("parts", "<f8")), np.cumsum([0, *sizes])
         order = np.argsort(keys, kind="stable")
         new = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
         sums = np.add.reduceat(parts[order], np.flatnonzero(new))
