@@ -35,7 +35,7 @@ FOLDS, HELD_OUT = 7, 2
 END = b""  # no word is empty
 ASKED = "kind int, slice long, block long, size int, keys binary, parts binary"
 CODEC = pa.Codec("zstd", compression_level=1)
-TOLD = "kind int, slice long, block long, totals binary, once binary, n_new long, n_all double"
+TOLD = "kind int, slice long, block long, size int, totals binary, once binary, n_new long, n_all double"
 BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, codes binary, words array<long>, counts array<int>"
 
 
@@ -171,8 +171,8 @@ class _Grams:
         self.told = {}
         for kind in set(told.column("kind").to_pylist()):
             rows = told.filter(pa.compute.equal(told.column("kind"), kind)).sort_by("slice")
-            totals, once = _joined(rows.column("totals"))[0], _joined(rows.column("once"))[0]
-            self.told[kind] = np.frombuffer(totals, "<f8"), np.frombuffer(once, np.uint8) > 0
+            totals, once = _cells_of(rows, "totals", "<f8"), _cells_of(rows, "once", "u1")
+            self.told[kind] = np.concatenate(totals), np.concatenate(once) > 0
 
     def _told(self, kind: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Totals of the n-grams asked for, and whether this block is the one to answer for them."""
@@ -329,20 +329,13 @@ class _Automaton:
         return out
 
 
-def _joined(column: pa.ChunkedArray) -> tuple[pa.Buffer, np.ndarray]:
-    """Binary cells one after the other, and where each begins and the last one ends."""
-    cells = column.combine_chunks()
-    if not len(cells):
-        return pa.py_buffer(b""), np.zeros(1, np.int32)
-    ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
-    whole = cells.buffers()[2] or pa.py_buffer(b"")
-    return whole.slice(ends[0], ends[-1] - ends[0]), ends - ends[0]
+def _cells_of(rows: pa.Table, name: str, dtype: str) -> list[np.ndarray]:
+    return [_loose(x.as_buffer(), n, dtype) for x, n in zip(rows.column(name), rows.column("size").to_pylist(), strict=True)]
 
 
 def _cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary cells of the values; ``ends``, in values, is where each begins and the last one ends."""
-    offsets = (ends * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    """A packed cell from each of ``ends`` to the next."""
+    return pa.array([_packed(values[i:k]) for i, k in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
 
 
 def _dealt(kind: int, block: int, bits: int, keys: np.ndarray, parts: np.ndarray) -> pa.Table:
@@ -352,11 +345,10 @@ def _dealt(kind: int, block: int, bits: int, keys: np.ndarray, parts: np.ndarray
     ends = np.append(begins, len(keys))
     rows = len(begins)
     columns = [pa.array(np.full(rows, kind, np.int32)), pa.array(slices[begins]), pa.array(np.full(rows, block, np.int64))]
-    spans = list(zip(ends[:-1], ends[1:], strict=True))
-    steps = pa.array([_packed(np.diff(keys[i:k], prepend=np.uint64(0))) for i, k in spans], pa.binary())
-    parts = parts.astype("<f8")
-    brought = pa.array([_packed(parts[i:k]) for i, k in spans], pa.binary())
-    return pa.table([*columns, pa.array(np.diff(ends).astype(np.int32)), steps, brought], _names(ASKED))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[begins] = keys[begins]
+    columns += [pa.array(np.diff(ends).astype(np.int32)), _cells(steps, ends), _cells(parts.astype("<f8"), ends)]
+    return pa.table(columns, _names(ASKED))
 
 
 def _names(schema: str) -> list[str]:
@@ -420,10 +412,9 @@ def _totals(asked: DataFrame) -> DataFrame:
     """
 
     def add(group: pa.Table) -> pa.Table:
-        sizes = group.column("size").to_pylist()
-        loose = lambda c, dtype: [_loose(x.as_buffer(), n, dtype) for x, n in zip(group.column(c), sizes, strict=True)]
-        keys = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in loose("keys", "<u8")])
-        parts, ends = np.concatenate(loose("parts", "<f8")), np.cumsum([0, *sizes])
+        keys = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in _cells_of(group, "keys", "<u8")])
+        parts = np.concatenate(_cells_of(group, "parts", "<f8"))
+        ends = np.append(0, np.cumsum(group.column("size").to_numpy()))
         order = np.argsort(keys, kind="stable")
         new = np.diff(keys[order], prepend=~keys[order[:1]]) != 0
         sums = np.add.reduceat(parts[order], np.flatnonzero(new))
@@ -433,7 +424,7 @@ def _totals(asked: DataFrame) -> DataFrame:
         counted = np.where(once, totals, 0.0)
         n_all = np.add.reduceat(counted, ends[:-1])
         n_new = np.add.reduceat((counted > 0).astype(np.int64), ends[:-1])
-        columns = [group.column(c).combine_chunks() for c in ("kind", "slice", "block")]
+        columns = [group.column(c).combine_chunks() for c in ("kind", "slice", "block", "size")]
         return pa.table([*columns, _cells(totals, ends), _cells(once, ends), pa.array(n_new), pa.array(n_all)], _names(TOLD))
 
     return asked.groupBy("kind", "slice").applyInArrow(add, TOLD)
@@ -459,9 +450,9 @@ def lm_scores(documents: DataFrame, least: int = LEAST, block_tokens: int = BLOC
     kinds, n_tokens = kinds or 0, n_tokens or 0
     texts = blocks.drop("counts", "doc_ids")
     for step in ((PAIRS,), (TRIPLES, WORD_MASSES), (PAIR_MASSES,)):
-        asked = _asked(texts, told.select("kind", "slice", "block", "totals", "once"), least, bits, step)
+        asked = _asked(texts, told.select("kind", "slice", "block", "size", "totals", "once"), least, bits, step)
         told = told.unionByName(scratch.put(_totals(asked), f"told{step[0]}"))
-    told = told.select("kind", "slice", "block", "totals", "once")
+    told = told.select("kind", "slice", "block", "size", "totals", "once")
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
